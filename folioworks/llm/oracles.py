@@ -7,6 +7,17 @@ from folioworks.llm.url_filter import RULES
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
 ORACLES = {
+    "op6_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+                                  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS ss FROM w),
+        n AS (SELECT doc_id, len(ss) AS n_shingles FROM s),
+        e AS (SELECT doc_id, unnest(ss) AS x FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 90 * (na.n_shingles + nb.n_shingles - common)),
+        g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (SELECT doc_id AS a, doc_id AS r FROM n UNION SELECT g.b, reach.r FROM reach JOIN g ON reach.a = g.a WHERE reach.r < g.b)
+        SELECT n.doc_id, n_shingles, min(r) AS component_id FROM n JOIN reach ON n.doc_id = reach.a GROUP BY ALL""",
     "op7_url_filter": f"""
         WITH r(verdict, h, p) AS (VALUES {_RULES}),
         u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, url_filter
+from folioworks.llm import mixing, ngram_join, url_filter
 from folioworks.llm.common import table
 
 
@@ -13,8 +13,12 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("listed")
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mixing, op7_url_filter)}
+QUERIES = {f.__name__: f for f in (op5_source_mixing, op6_ngram_jaccard, op7_url_filter)}
