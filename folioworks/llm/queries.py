@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, ngram_join, url_filter
+from folioworks.llm import mixing, ngram_join, packing, url_filter
 from folioworks.llm.common import table
 
 
+def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -21,4 +25,4 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("listed")
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mixing, op6_ngram_jaccard, op7_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_vector_packing, op5_source_mixing, op6_ngram_jaccard, op7_url_filter)}
