@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from folioworks.llm import mixing, ngram_join, packing, quality, url_filter
+from folioworks.llm import mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
 from folioworks.llm.common import table
 
 
@@ -29,4 +28,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).drop("listed")
 
 
-QUERIES = {f.__name__: f for f in (op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter)}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan)}
