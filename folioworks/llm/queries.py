@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.llm import mixing, ngram_join, packing, pii, quality, secret_scan, url_filter
+from folioworks.llm import mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
 from folioworks.llm.common import table
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,4 +41,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan)}
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup)}
