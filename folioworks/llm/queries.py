@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.llm import mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
+from folioworks.llm import license_scan, mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
 from folioworks.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.exact_top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -45,4 +49,4 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup)}
