@@ -4,15 +4,20 @@ A document's set holds its distinct word shingles. Two documents link when the J
 least `percent` / 100.
 
 PartEnum. Sizes fall into bands. Sets that link differ in at most k elements, k known from the band's largest size.
-The domain of hashes is cut into n1 = (k + 2) // 2 partitions, so two such sets differ in at most one element in
-some partition; each partition is cut into three parts, so two of its three parts agree in full. A set therefore has
-3 n1 signatures for a band, one for each partition and pair of parts, and linked sets share one. A set close enough
-to the next band's sizes also signs for that band. Nothing is sampled or capped.
+The domain of hashes is cut into n1 partitions, so many that two such sets differ in at most k2 elements in some
+partition; each partition is cut into n2 parts, so n2 - k2 of its parts agree in full. A set therefore has
+n1 * C(n2, k2) signatures for a band, one for each partition and choice of parts, and linked sets share one. A set
+close enough to the next band's sizes also signs for that band. Nothing is sampled or capped.
 
-Equal sets form a class and are joined once. In a bucket of equal signatures, classes first meet the bucket's
-smallest (and a few other leaders); classes that are then in one component need no further comparison. In the end
-every pair of classes that share a bucket has either been compared or lies in one component, so the components are
-exact, and a group of n near copies costs about n comparisons rather than n squared.
+Choices of parts that hold none of a set's elements would be shared by unrelated sets. There are `slack` partitions
+more than needed, so linked sets agree in more than `slack` partitions; a set in which at most `slack` partitions have
+an empty choice can leave the empty ones out, and others sign them too.
+
+Equal sets form a class and are joined once. In a bucket of equal signatures, classes first meet a few leaders; classes
+that are then in one component need no further comparison; all others that share a bucket meet. Each class has a
+parity sketch: 512 bits, in each the parity of the elements that fall on it. Sketches differ in no more bits than sets
+in elements, so a pair whose sketches differ in too many can't link and is dropped inside the join, before it becomes
+a row. The remaining pairs are compared exactly.
 
 Defined cases: null and blank text has an empty set, 0 shingles, and links with nothing; with fewer words than
 `words` the whole sequence is one shingle; repeated rows each get a row; a null id belongs to the class of its text but
@@ -22,6 +27,7 @@ carries no link. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,9 @@ from folioworks.llm.wordhash import mix, shingles, slices, words as words_of
 BAND = (4, 3)
 #: Ids up to this number go to each task as a broadcast (16 MB); more are joined with a shuffle.
 BROADCAST_IDS = 1 << 20
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+_P = [f"p{i}" for i in range(SKETCH)]
 
 
 def bands(most: int) -> np.ndarray:
@@ -50,46 +59,72 @@ def differences(size: np.ndarray, percent: int) -> np.ndarray:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
+def plan(low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n1, n2, k2, slack) for bands of sizes low to high; n1 is 0 where linked sets are equal."""
+    k = differences(high, percent)
+    small = k <= 40
+    n2, k2 = np.where(small, 5, 3), np.where(small, 2, 1)
+    n1 = np.where(k > 0, k // (k2 + 1) + 1, 0)
+    some = np.maximum(n1, 1)
+    empty = some * np.where(small, 10, 3) * np.exp(-low * (n2 - k2) / n2 / some)
+    slack = np.where((n1 >= 8) & (empty > 0.01), np.ceil(empty + 3 * np.sqrt(empty)), 0).astype(np.int64)
+    return n1 + slack, n2, k2, slack
+
+
 def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document), sorted by document, for the sets given as (element, document) sorted by document.
+    """(signature, document) for the sets given as (element, document) sorted by document.
 
     Bands in which linked sets can't differ have no signatures: their sets link when they are equal.
     """
     size = np.bincount(d, minlength=n_docs)
     low = bands(int(size.max(initial=1)))
+    n1_of, n2_of, k2_of, slack_of = (np.append(x, 0) for x in plan(low[:-1], low[1:] - 1, percent))
     own = np.searchsorted(low, size, "right") - 1
     all_sigs, all_docs = [], []
     for step in (0, 1):
         band = own + step
-        k = differences(low[band + 1] - 1, percent)
-        takes = (size > 0) & (k > 0)
+        takes = (size > 0) & (n1_of[band] > 0)
         if step:
             takes &= 100 * size >= percent * low[band]
-        n1 = np.where(takes, (k + 2) // 2, 0)
-        if not n1.any():
-            continue
-        base = np.cumsum(n1) - n1
-        use = takes[d]
-        e, w = s[use], d[use]
-        # The seed belongs to the band: both sets of a pair are cut alike.
-        h = mix(e ^ mix(band[w].astype(np.uint64) + np.uint64(1)))
-        part = (h >> np.uint64(11)) % (3 * n1[w]).astype(np.uint64)
-        at = 3 * base[w] + part.astype(np.int64)
-        v = mix(h + np.uint64(0x51ED270B))
-        total = 3 * int(n1.sum())
-        halves = [np.bincount(at, weights=(v >> np.uint64(x) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total) for x in (0, 32)]
-        sums = (halves[0].astype(np.uint64) + mix(halves[1].astype(np.uint64))).reshape(-1, 3)
-        doc = np.repeat(np.arange(n_docs), n1)
-        f = np.arange(len(doc)) - base[doc]
-        tag = mix(band[doc].astype(np.uint64) * np.uint64(1 << 32) + f.astype(np.uint64) * np.uint64(4))
-        for x, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-            all_sigs.append(mix(mix(sums[:, i] + tag) * np.uint64(3) + sums[:, j] + tag + np.uint64(x)))
-            all_docs.append(doc)
+        for parts, differ in ((5, 2), (3, 1)):
+            n1 = np.where(takes & (n2_of[band] == parts), n1_of[band], 0)
+            if not n1.any():
+                continue
+            base = np.cumsum(n1) - n1
+            use = n1[d] > 0
+            e, w = s[use], d[use]
+            # The seed belongs to the band: both sets of a pair are cut alike.
+            h = mix(e ^ mix(band[w].astype(np.uint64) + np.uint64(1)))
+            at = parts * base[w] + ((h >> np.uint64(11)) % (parts * n1[w]).astype(np.uint64)).astype(np.int64)
+            v = mix(h + np.uint64(0x51ED270B))
+            total = parts * int(n1.sum())
+            halves = [np.bincount(at, weights=(v >> np.uint64(x) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total) for x in (0, 32)]
+            sums = (halves[0].astype(np.uint64) + mix(halves[1].astype(np.uint64))).reshape(-1, parts)
+            held = np.bincount(at, minlength=total).reshape(-1, parts)
+            doc = np.repeat(np.arange(n_docs), n1)
+            f = np.arange(len(doc)) - base[doc]
+            tag = mix(band[doc].astype(np.uint64) * np.uint64(1 << 32) + f.astype(np.uint64) * np.uint64(4))
+            chosen = list(combinations(range(parts), parts - differ))
+            full = np.column_stack([held[:, c].sum(axis=1) > 0 for c in map(list, chosen)])
+            holes = np.bincount(doc[~full.all(axis=1)], minlength=n_docs)
+            sign_holes = (holes > slack_of[band])[doc]
+            for x, c in enumerate(chosen):
+                g = tag + np.uint64(x + 1)
+                for part in c:
+                    g = mix(g * np.uint64(3) + sums[:, part])
+                keep_ = full[:, x] | sign_holes
+                all_sigs.append(g[keep_])
+                all_docs.append(doc[keep_])
     if not all_sigs:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sigs, docs = np.concatenate(all_sigs), np.concatenate(all_docs)
-    order = np.argsort(docs, kind="stable")
-    return sigs[order], docs[order]
+    return np.concatenate(all_sigs), np.concatenate(all_docs)
+
+
+def sketches(s: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
+    """A row of SKETCH 64-bit words for each document: bit b is the parity of its elements that fall on b."""
+    at = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(23)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(d * 64 * SKETCH + at.astype(np.int64), minlength=n_docs * 64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(n_docs, SKETCH)
 
 
 def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
@@ -98,37 +133,57 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
+def _measure(size: int):
+    """Rows of (id, size, two set fingerprints, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in slices(batch.column(1)):
+                n = j - i
+                h, doc, _, _ = words_of(data, offsets)
+                s, d = shingles(h, doc, n, size)
+                count = np.bincount(d, minlength=n)
+                columns = [*_prints(s, count), *sketches(s, d, n).T]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)],
+                    ["id", "n", "f1", "f2", *_P],
+                )
+
+    return run
+
+
+def _prints(s: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """Two fingerprints of each set."""
+    out, some = [], np.flatnonzero(count)
+    for seed in (1, 2):
+        v, total = mix(s * np.uint64(2 * seed + 1) + np.uint64(seed)), np.zeros(len(count), np.uint64)
+        if len(some):
+            total[some] = np.add.reduceat(v, (np.cumsum(count) - count)[some])
+        out.append(mix(total + count.astype(np.uint64)))
+    return out
+
+
 def _sign(size: int, percent: int):
-    """Rows of (id, size, two set fingerprints, signatures). In a task only the first of equal sets has signatures."""
+    """Rows of (signature, set fingerprint). In a task only the first of equal sets signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1)):
+            for i, j, data, offsets in slices(batch.column(0)):
                 n = j - i
                 h, doc, _, _ = words_of(data, offsets)
                 s, d = shingles(h, doc, n, size)
                 count = np.bincount(d, minlength=n)
-                prints = []
-                for seed in (1, 2):
-                    v, out = mix(s * np.uint64(2 * seed + 1) + np.uint64(seed)), np.zeros(n, np.uint64)
-                    some = np.flatnonzero(count)
-                    if len(some):
-                        out[some] = np.add.reduceat(v, (np.cumsum(count) - count)[some])
-                    prints.append(mix(out + count.astype(np.uint64)))
+                print_ = _prints(s, count)[0]
                 fresh = np.zeros(n, bool)
                 for x in np.flatnonzero(count):
-                    key = int(prints[0][x])
+                    key = int(print_[x])
                     if key not in seen:
                         seen.add(key)
                         fresh[x] = True
                 use = fresh[d]
                 sigs, sd = signatures(s[use], d[use], n, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints),
-                     _lists(sigs, np.bincount(sd, minlength=n))],
-                    ["id", "n", "f1", "f2", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(print_[sd].view(np.int64))], ["sig", "f1"])
 
     return run
 
@@ -161,7 +216,15 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, leaders: int = 2,
+def _may_link(a: str, b: str, percent: int) -> F.Column:
+    """Whether two classes' sizes and sketches leave room for a link. a, b: prefixes of their columns."""
+    n = lambda x: F.col(f"{x}n")
+    apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in _P), F.lit(0))
+    close = 100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))
+    return close & ((100 + percent) * apart <= (100 - percent) * (n(a) + n(b)))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leaders: int = 2,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of `docs`.
 
@@ -169,34 +232,38 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, leade
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    signed = keep(docs.mapInArrow(_sign(words, percent), f"id {id_type}, n long, f1 long, f2 long, sigs array<long>"), "jaccard-signed")
+    sketch = ", ".join(f"{p} long" for p in _P)
+    measured = keep(docs.mapInArrow(_measure(words), f"id {id_type}, n long, f1 long, f2 long, {sketch}"), "jaccard-measured")
 
     of_class = ["f1", "f2", "n"]
-    classes = keep(signed.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep")).where("rep is not null"), "jaccard-classes")
-    sigs = signed.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "f1")
+    classes = measured.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in _P))
+    classes = keep(classes.where("rep is not null"), "jaccard-classes")
     bucket = Window.partitionBy("sig")
-    shared = sigs.withColumn("lo", F.min("f1").over(bucket)).withColumn("hi", F.max("f1").over(bucket)).where("lo != hi").select("sig", "f1").distinct()
-    members = keep(shared.join(classes.select("f1", "rep"), "f1").select("sig", F.col("rep").alias("id")).distinct(), "jaccard-buckets")
+    sigs = docs.select("text").mapInArrow(_sign(words, percent), "sig long, f1 long")
+    shared = sigs.withColumn("lo", F.min("f1").over(bucket)).withColumn("hi", F.max("f1").over(bucket)).where("lo != hi").select("sig", "f1")
+    members = shared.distinct().join(classes, "f1").select("sig", F.col("rep").alias("id"), "n", *_P).dropDuplicates(["sig", "id"])
+    members = keep(members, "jaccard-buckets")
     sets = keep(_only(docs, members.select("id").distinct()).mapInArrow(_sets(words), f"id {id_type}, set array<long>").dropDuplicates(["id"]), "jaccard-sets")
 
-    done, links, labels = None, None, members.select("id", F.col("id").alias("label"))
+    done, links = None, None
     for turn in range(leaders + 1):
         if turn:
             parts = connected_components(links)
-            labels = members.select("sig", "id").join(parts.withColumnRenamed("node", "id"), "id", "left")
-            labels = labels.select("sig", "id", F.coalesce("component", "id").alias("label"))
+            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", *_P, F.coalesce("component", "id").alias("label"))
             # Buckets within one component are done with.
-            apart = labels.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi")
-            members_now = keep(apart.select("sig", "id", "label"), "jaccard-apart")
+            now = now.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi")
+            now = keep(now.drop("lo", "hi"), "jaccard-apart")
         else:
-            members_now = members.withColumn("label", F.col("id"))
+            now = members.withColumn("label", F.col("id"))
         if turn < leaders:
             first = F.col("id") if not turn else F.xxhash64(F.lit(turn), "id")
-            lead = F.min(F.struct(first.alias("x"), "id", "label")).over(bucket)
-            met = members_now.withColumn("lead", lead).where("label != lead.label").select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
+            lead = F.min(F.struct(first.alias("x"), "id", "label", "n", *_P)).over(bucket)
+            met = now.withColumn("lead", lead).where("label != lead.label")
+            met = met.where(_may_link("", "lead.", percent)).select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
         else:
-            other = members_now.select("sig", F.col("id").alias("y"), F.col("label").alias("other"))
-            met = members_now.join(other, "sig").where("id < y and label != other").select(F.col("id").alias("x"), "y")
+            other = now.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", *_P)))
+            both = F.expr("id < o_id and label != o_label") & _may_link("", "o_", percent)
+            met = now.join(other, (now["sig"] == other["sig"]) & both).select(F.col("id").alias("x"), F.col("o_id").alias("y"))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -206,7 +273,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90, leade
         links = found if links is None else links.union(found)
     parts = connected_components(links)
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*of_class, F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "f1", "f2").join(named, of_class, "left")
+    out = measured.select("id", "n", "f1", "f2").join(named, of_class, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
