@@ -48,7 +48,7 @@ class Packer:
     def add(self, item, tokens: int, loss: int) -> None:
         self.need[len(self.items)] = tokens, 1, loss
         self.items.append(item)
-        if len(self.items) >= self.window:
+        while len(self.items) >= self.window:  # a cut places a piece and keeps the item
             self._step()
 
     def _close(self) -> None:
