@@ -207,7 +207,7 @@ def parse_item_blocks(pages: DataFrame, details: bool = False) -> DataFrame:
 
     details: also a source is needed, and mark and date are read from the part id="detailn_N" only.
     """
-    blocks = F.slice(F.split("html", r'(?=<div id="item_\d+">)'), 2, 100_000)
+    blocks = F.slice(F.split(F.concat(F.lit(" "), "html"), r'(?=<div id="item_\d+">)'), 2, 100_000)
     b = pages.select("page_id", F.explode(blocks).alias("b"))
     tail = F.when(F.col("b").rlike(r'id="detailn_\d+"'), F.regexp_extract("b", r'(?s)id="detailn_\d+"(.*)$', 1)).otherwise(F.lit("") if details else F.col("b"))
     source = tail if details else F.col("b")
