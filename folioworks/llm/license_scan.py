@@ -87,10 +87,11 @@ class Notice:
             if last is not None and s - last <= self.room // 2:
                 continue
             last = s
-            lo, hi = max(0, s - self.room), min(len(words), s + len(self.words) + 2 * self.room)
-            pairs = patience(self.words, words[lo:hi])
-            if len(pairs) >= self.least:
-                out.append((len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
+            # With room on both sides for changed copies; without, so that a neighbouring copy repeats no word.
+            for lo, hi in ((max(0, s - self.room), s + len(self.words) + 2 * self.room), (max(0, s), s + len(self.words))):
+                pairs = patience(self.words, words[lo:hi])
+                if len(pairs) >= self.least:
+                    out.append((len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
         return out
 
 
