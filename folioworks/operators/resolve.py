@@ -230,6 +230,7 @@ def unresolved_report(rows: DataFrame, history: DataFrame | None = None, title:
 
 def replay_unresolved(rows: DataFrame, alias: DataFrame, communes: DataFrame, places: list[str], name: str = "commune_raw", dept: str = "dept_expected") -> DataFrame:
     """`rows` with `insee` filled where it was null and a richer reference resolves it; the others are untouched."""
-    steps = [("reordered", T.reorder_article(name)), ("bracketed", T.clean_commune_paren(name, places)), ("slash", T.clean_commune_slash(name))]
-    todo = resolve_cascade(rows.where("insee is null").drop("insee"), alias, communes, steps, dept).drop("method", "resolved_name")
+    forms = {"reordered": T.reorder_article(name), "bracketed": T.clean_commune_paren(name, places), "slash": T.clean_commune_slash(name)}
+    todo = keep(rows.where("insee is null").drop("insee").withColumns({f"{k}_": c for k, c in forms.items()}), "replay")  # each form is worked out once
+    todo = resolve_cascade(todo, alias, communes, [(k, F.col(f"{k}_")) for k in forms], dept)
     return rows.where("insee is not null").unionByName(todo.select(*rows.columns))
