@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import manifests, stats
 from folioworks.plans import fixtures, jobs
-from folioworks.plans.operator_queries import _ALIAS, _COMPACT, _DIFF, _KEY, _STATS
+from folioworks.plans.operator_queries import _ALIAS, _COMPACT, _DIFF, _KEY, _LEAVES, _LISTED, _LOCAL, _RUBRIC, _STATS
 from folioworks.plans.registry import ORACLES, QUERIES, query
 from folioworks.sources import readers
 from folioworks.streaming import inserts
@@ -38,7 +38,21 @@ def notices_to_stats(view):
     return stats.stats_by_dept(_documents(view).withColumn("licence_overlay_ok", F.substring("service_id", 2, 9).cast("int") % 3 != 0))
 
 
-@query()
+_FROM_TITLE = r"""CASE WHEN trim(coalesce(title, '')) <> '' AND NOT regexp_matches(lower(trim(title)), '^(tableau|section|plan|feuille|matrice|état|etat|atlas|registre|cadastre)')
+    THEN regexp_replace(regexp_replace(trim(title), '[\s,]+\d{3,4}.*$', ''), '^[\s.,]+|[\s.,]+$', '', 'g') END"""
+_W2 = f"""
+    WITH leaf AS ({_LEAVES.replace("SELECT l.id, c.title AS commune, o.title AS parent_title, 3 AS depth", "SELECT l.id, l.title, c.title AS commune, l.begin_year, l.manifest, str_split(rtrim(l.service_uri, '/'), '/')[-1] AS service_id")}),
+    n AS (SELECT leaf.*, s.dept, {_LISTED.format("(" + _FROM_TITLE + ")")} AS t, {_LISTED.format("leaf.commune")} AS c FROM leaf LEFT JOIN v_service s ON leaf.service_id = s.id),
+    al AS {_ALIAS}, l AS {_LOCAL.format(k=_KEY.format('nom'))}, everywhere AS (SELECT {_KEY.format('nom')} AS key, arg_min(insee, (-population, insee)) AS code FROM v_commune GROUP BY 1),
+    names AS (SELECT DISTINCT dept, name FROM (SELECT dept, t AS name FROM n UNION ALL SELECT dept, c FROM n) x WHERE name IS NOT NULL),
+    f AS (SELECT names.dept, names.name, coalesce(al.code, CASE WHEN NOT {_RUBRIC.format('names.name')} THEN CASE WHEN names.dept IS NULL THEN everywhere.code ELSE l.code END END) AS code
+          FROM names LEFT JOIN al ON names.dept = al.dept AND {_KEY.format('names.name')} = al.key LEFT JOIN l ON names.dept = l.dept AND {_KEY.format('names.name')} = l.key LEFT JOIN everywhere ON {_KEY.format('names.name')} = everywhere.key)
+    SELECT n.id, coalesce(f1.code, f2.code) AS insee, CASE WHEN f1.code IS NOT NULL THEN 'title' WHEN f2.code IS NOT NULL THEN 'branch' END AS method,
+           CASE WHEN lower(title) LIKE '%tableau%' THEN 'tableau_assemblage' WHEN lower(title) LIKE '%section%' THEN 'section' ELSE 'feuille' END AS type, begin_year AS annee, manifest AS iiif_manifest, service_id
+    FROM n LEFT JOIN f f1 ON n.dept IS NOT DISTINCT FROM f1.dept AND t = f1.name LEFT JOIN f f2 ON n.dept IS NOT DISTINCT FROM f2.dept AND c = f2.name"""
+
+
+@query(_W2)
 def tree_to_documents(view):
     return jobs.documents_from_tree(view("v_node"), view("v_edge"), "root", view("v_alias"), view("v_commune"), view("v_service"))
 
