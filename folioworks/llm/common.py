@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Words are runs of bytes other than these: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,10 +31,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the running job's tasks, not the jobs before it. The reread
-    table has sizes that the planner can trust when it chooses between a broadcast and a shuffle.
+    table has sizes that the planner can trust when it chooses between a broadcast and a shuffle. The write's own
+    shuffle files are no longer needed after it and are removed at once.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = df.sparkSession.conf.get(CLEAN, "false")
+    df.sparkSession.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        df.sparkSession.conf.set(CLEAN, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

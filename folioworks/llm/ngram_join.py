@@ -9,15 +9,17 @@ partition; each partition is cut into n2 parts, so n2 - k2 of its parts agree in
 n1 * C(n2, k2) signatures for a band, one for each partition and choice of parts, and linked sets share one. A set
 close enough to the next band's sizes also signs for that band. Nothing is sampled or capped.
 
-Choices of parts that hold none of a set's elements would be shared by unrelated sets. There are `slack` partitions
-more than needed, so linked sets agree in more than `slack` partitions; a set in which at most `slack` partitions have
-an empty choice can leave the empty ones out, and others sign them too.
+Choices of parts that hold no element, or only elements that many sets hold (a passage that goes round), would be
+shared by unrelated sets. There are `slack` partitions more than needed, so linked sets agree in more than `slack`
+partitions; a set in which at most `slack` partitions have such a hollow choice leaves its hollow ones out, any other
+set signs them too. Equal choices are hollow alike, so linked sets still share a signature, whichever elements count as
+frequent: those come from a bounded sample of classes and change the work, never the result.
 
 Equal sets form a class and are joined once. In a bucket of equal signatures, classes first meet a few leaders; classes
 that are then in one component need no further comparison; all others that share a bucket meet. Each class has a
-parity sketch: 512 bits, in each the parity of the elements that fall on it. Sketches differ in no more bits than sets
-in elements, so a pair whose sketches differ in too many can't link and is dropped inside the join, before it becomes
-a row. The remaining pairs are compared exactly.
+parity sketch: 512 bits, in each the parity of the elements that fall on it, and a wide one that grows with its size. Sketches differ
+in no more bits than sets in elements, so a pair whose sketches differ in too many can't link; in the last round it is
+dropped inside the join, before it becomes a row. Only pairs that both sketches leave are compared set by set.
 
 Defined cases: null and blank text has an empty set, 0 shingles, and links with nothing; with fewer words than
 `words` the whole sequence is one shingle; repeated rows each get a row; a null id belongs to the class of its text but
@@ -41,6 +43,9 @@ from folioworks.llm.wordhash import mix, shingles, slices, words as words_of
 BAND = (4, 3)
 #: Ids up to this number go to each task as a broadcast (16 MB); more are joined with a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Classes, by hash, from which frequent shingles are learnt, in how many of them a frequent one occurs, and the share
+#: of a usual set's shingles that are not frequent (it sets the slack).
+SAMPLE_CLASSES, FREQUENT, RARE = 4096, 4, 0.85
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 _P = [f"p{i}" for i in range(SKETCH)]
@@ -66,13 +71,13 @@ def plan(low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, n
     n2, k2 = np.where(small, 5, 3), np.where(small, 2, 1)
     n1 = np.where(k > 0, k // (k2 + 1) + 1, 0)
     some = np.maximum(n1, 1)
-    empty = some * np.where(small, 10, 3) * np.exp(-low * (n2 - k2) / n2 / some)
+    empty = some * np.where(small, 10, 3) * np.exp(-RARE * low * (n2 - k2) / n2 / some)
     slack = np.where((n1 >= 8) & (empty > 0.01), np.ceil(empty + 3 * np.sqrt(empty)), 0).astype(np.int64)
     return n1 + slack, n2, k2, slack
 
 
-def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) for the sets given as (element, document) sorted by document.
+def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, document) for the sets given as (element, document) sorted by document; frequent: sorted elements.
 
     Bands in which linked sets can't differ have no signatures: their sets link when they are equal.
     """
@@ -80,6 +85,9 @@ def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int) -> tuple
     low = bands(int(size.max(initial=1)))
     n1_of, n2_of, k2_of, slack_of = (np.append(x, 0) for x in plan(low[:-1], low[1:] - 1, percent))
     own = np.searchsorted(low, size, "right") - 1
+    rare = np.ones(len(s), bool)
+    if frequent is not None and len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
     all_sigs, all_docs = [], []
     for step in (0, 1):
         band = own + step
@@ -100,7 +108,7 @@ def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int) -> tuple
             total = parts * int(n1.sum())
             halves = [np.bincount(at, weights=(v >> np.uint64(x) & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=total) for x in (0, 32)]
             sums = (halves[0].astype(np.uint64) + mix(halves[1].astype(np.uint64))).reshape(-1, parts)
-            held = np.bincount(at, minlength=total).reshape(-1, parts)
+            held = np.bincount(at[rare[use]], minlength=total).reshape(-1, parts)
             doc = np.repeat(np.arange(n_docs), n1)
             f = np.arange(len(doc)) - base[doc]
             tag = mix(band[doc].astype(np.uint64) * np.uint64(1 << 32) + f.astype(np.uint64) * np.uint64(4))
@@ -127,6 +135,19 @@ def sketches(s: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(n_docs, SKETCH)
 
 
+def wide_sketches(s: np.ndarray, d: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all documents in a row, words of each): parity sketches of four bits or more for each element, a power of two.
+
+    A sketch of twice the length folds into one of the length: its halves are added bit by bit.
+    """
+    size = np.bincount(d, minlength=n_docs)
+    bits = np.where(size > 0, np.maximum(64, 4 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)), 0)
+    base = np.cumsum(bits) - bits
+    at = base[d] + ((mix(s ^ np.uint64(0x7FB5D329728EA185)) >> np.uint64(13)) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64), bits // 64
+
+
 def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(count) + 1, np.int32)
     np.cumsum(count, out=offsets[1:])
@@ -134,7 +155,7 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
 
 
 def _measure(size: int):
-    """Rows of (id, size, two set fingerprints, sketch)."""
+    """Rows of (id, size, two set fingerprints, sketch, wide sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,8 +166,8 @@ def _measure(size: int):
                 count = np.bincount(d, minlength=n)
                 columns = [*_prints(s, count), *sketches(s, d, n).T]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns)],
-                    ["id", "n", "f1", "f2", *_P],
+                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns), _lists(*wide_sketches(s, d, n))],
+                    ["id", "n", "f1", "f2", *_P, "wide"],
                 )
 
     return run
@@ -163,8 +184,8 @@ def _prints(s: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sign(size: int, percent: int):
-    """Rows of (signature, set fingerprint). In a task only the first of equal sets signs."""
+def _sign(size: int, percent: int, frequent):
+    """Rows of (signature, set fingerprint). In a task only the first of equal sets signs. frequent: a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -182,7 +203,7 @@ def _sign(size: int, percent: int):
                         seen.add(key)
                         fresh[x] = True
                 use = fresh[d]
-                sigs, sd = signatures(s[use], d[use], n, percent)
+                sigs, sd = signatures(s[use], d[use], n, percent, frequent.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(print_[sd].view(np.int64))], ["sig", "f1"])
 
     return run
@@ -207,13 +228,29 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, F.col("id") == F.col("id_"), "left_semi")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link."""
+def _apart(x: str, y: str) -> F.Column:
+    """Bits in which two wide sketches differ, the longer one folded."""
+    fold = lambda v, w: F.when(
+        F.size(v) > F.size(w), F.zip_with(F.slice(v, F.lit(1), F.size(w)), F.slice(v, F.size(w) + 1, F.size(w)), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(v))
+    return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, v: n + v)
+
+
+def _verify(pairs: DataFrame, measured: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose sets link: wide sketches rule out nearly all others, then the sets themselves decide."""
+    w = measured.select("id", "n", "wide").where("n > 0")
+    side = lambda k: w.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"), F.col("wide").alias(f"{k}w"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    near = both.where(close).where((100 + percent) * _apart("aw", "bw") <= (100 - percent) * (F.col("an") + F.col("bn")))
+    near = keep(near.select("a", "b").distinct(), "jaccard-near")
+    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, set array<long>"
+    sets = keep(_only(docs, keep(ids, "jaccard-ids")).mapInArrow(_sets(words), kind), "jaccard-sets")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(b, "b").join(a, "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    linked = near.join(b, "b").join(a, "a").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
+    return linked.select("a", "b").distinct()
 
 
 def _may_link(a: str, b: str, percent: int) -> F.Column:
@@ -233,23 +270,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
     sketch = ", ".join(f"{p} long" for p in _P)
-    measured = keep(docs.mapInArrow(_measure(words), f"id {id_type}, n long, f1 long, f2 long, {sketch}"), "jaccard-measured")
+    measured = keep(docs.mapInArrow(_measure(words), f"id {id_type}, n long, f1 long, f2 long, {sketch}, wide array<long>"), "jaccard-measured")
 
     of_class = ["f1", "f2", "n"]
     classes = measured.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in _P))
     classes = keep(classes.where("rep is not null"), "jaccard-classes")
     bucket = Window.partitionBy("sig")
-    sigs = docs.select("text").mapInArrow(_sign(words, percent), "sig long, f1 long")
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_CLASSES).select(F.col("rep").alias("id"))
+    seen = _only(docs, keep(sample, "jaccard-sample")).dropDuplicates(["id"]).mapInArrow(_sets(words), f"id {id_type}, set array<long>")
+    often = seen.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("x").toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often["x"].to_numpy(np.int64).view(np.uint64)))  # a few MB at most
+    sigs = docs.select("text").mapInArrow(_sign(words, percent, frequent), "sig long, f1 long")
     shared = sigs.withColumn("lo", F.min("f1").over(bucket)).withColumn("hi", F.max("f1").over(bucket)).where("lo != hi").select("sig", "f1")
-    members = shared.distinct().join(classes, "f1").select("sig", F.col("rep").alias("id"), "n", *_P).dropDuplicates(["sig", "id"])
+    members = shared.distinct().join(classes.select("f1", "rep"), "f1").select("sig", F.col("rep").alias("id")).distinct()
     members = keep(members, "jaccard-buckets")
-    sets = keep(_only(docs, members.select("id").distinct()).mapInArrow(_sets(words), f"id {id_type}, set array<long>").dropDuplicates(["id"]), "jaccard-sets")
+    sketched = classes.select(F.col("rep").alias("id"), "n", *_P).dropDuplicates(["id"])
 
     done, links = None, None
     for turn in range(leaders + 1):
         if turn:
             parts = connected_components(links)
-            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", "n", *_P, F.coalesce("component", "id").alias("label"))
+            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
             # Buckets within one component are done with.
             now = now.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi")
             now = keep(now.drop("lo", "hi"), "jaccard-apart")
@@ -257,18 +298,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
             now = members.withColumn("label", F.col("id"))
         if turn < leaders:
             first = F.col("id") if not turn else F.xxhash64(F.lit(turn), "id")
-            lead = F.min(F.struct(first.alias("x"), "id", "label", "n", *_P)).over(bucket)
-            met = now.withColumn("lead", lead).where("label != lead.label")
-            met = met.where(_may_link("", "lead.", percent)).select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
+            lead = F.min(F.struct(first.alias("x"), "id", "label")).over(bucket)
+            met = now.withColumn("lead", lead).where("label != lead.label").select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
         else:
-            other = now.select("sig", *(F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", *_P)))
-            both = F.expr("id < o_id and label != o_label") & _may_link("", "o_", percent)
-            met = now.join(other, (now["sig"] == other["sig"]) & both).select(F.col("id").alias("x"), F.col("o_id").alias("y"))
+            now = now.join(sketched, "id")
+            other = now.select(F.col("sig").alias("o_sig"), *(F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", *_P)))
+            met = now.join(other, F.expr("sig = o_sig and id < o_id and label != o_label") & _may_link("", "o_", percent)).select(F.col("id").alias("x"), F.col("o_id").alias("y"))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = keep(pairs, "jaccard-pairs")
-        found = keep(_verify(pairs, sets, percent), "jaccard-links")
+        found = keep(_verify(pairs, measured, docs, words, percent), "jaccard-links")
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
     parts = connected_components(links)

@@ -16,8 +16,8 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Pieces of these characters only: every library classes them alike.
 _PLAIN = re.compile("[ -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]+")
-#: Pieces kept by one Python worker, about 100 MB; later ones are merged anew each time.
-MOST_PIECES = 400_000
+#: Pieces kept by one Python worker, about 50 MB; later ones are merged anew each time.
+MOST_PIECES = 200_000
 
 
 class Pieces(dict):

@@ -19,7 +19,7 @@ _LOWER_BYTE = _BYTE[LOWER]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _K = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE = 1 << 21
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
