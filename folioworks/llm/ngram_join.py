@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import connected_components, keep
+from folioworks.llm.common import connected_components, keep, some_rows
 from folioworks.llm.wordhash import mix, shingles, slices, words as words_of
 
 #: A band reaches from its least size l to l * 4 // 3.
@@ -46,6 +46,8 @@ BROADCAST_IDS = 1 << 20
 #: Classes, by hash, from which frequent shingles are learnt, in how many of them a frequent one occurs, and the share
 #: of a usual set's shingles that are not frequent (it sets the slack).
 SAMPLE_CLASSES, FREQUENT, RARE = 4096, 4, 0.85
+#: Frequent shingles that tasks are told of, 8 MB; leaving some out costs work only.
+MOST_FREQUENT = 1 << 20
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 _P = [f"p{i}" for i in range(SKETCH)]
@@ -276,10 +278,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
     classes = measured.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in _P))
     classes = keep(classes.where("rep is not null"), "jaccard-classes")
     bucket = Window.partitionBy("sig")
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_CLASSES).select(F.col("rep").alias("id"))
+    sample = some_rows(classes, SAMPLE_CLASSES, "rep").select(F.col("rep").alias("id"))
     seen = _only(docs, keep(sample, "jaccard-sample")).dropDuplicates(["id"]).mapInArrow(_sets(words), f"id {id_type}, set array<long>")
-    often = seen.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("x").toPandas()
-    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often["x"].to_numpy(np.int64).view(np.uint64)))  # a few MB at most
+    often = seen.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("x").limit(MOST_FREQUENT).toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often["x"].to_numpy(np.int64).view(np.uint64)))
     sigs = docs.select("text").mapInArrow(_sign(words, percent, frequent), "sig long, f1 long")
     shared = sigs.withColumn("lo", F.min("f1").over(bucket)).withColumn("hi", F.max("f1").over(bucket)).where("lo != hi").select("sig", "f1")
     members = shared.distinct().join(classes.select("f1", "rep"), "f1").select("sig", F.col("rep").alias("id")).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import keep
+from folioworks.llm.common import keep, some_rows
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -153,7 +153,7 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: i
     if not one["n"] or not two["n"]:
         return spark.createDataFrame([], names)
     dim = max(one["dim"], two["dim"], 1)
-    rows = x.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+    rows = some_rows(x, sample_rows, "id").collect()
     sample = np.array([r["id"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim)
     table = Pivots(sample[1], one["most"], pivots)
 
