@@ -2,7 +2,9 @@
 
 A stretch of a document and a notice are aligned as patience sorting does it: words that occur once in both are
 anchors, the longest increasing subsequence of anchors is kept, and the gaps between anchors are aligned in the same
-way. The share of the notice's words that are aligned is its coverage.
+way. The share of the notice's words that are aligned is its coverage. Beside the coverage, the phrases that tell a
+notice from its relatives (name, version, NC, SA; MARKS) must stand whole and in their place, so that another licence in
+the same sentence, or one with a word more ('Lesser'), isn't taken for it.
 
 Where to align: for each notice, so many of its (longest) words are key words that a stretch without any of them can't
 reach the coverage asked for. Each key word found in a document proposes the place where the notice would then begin,
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.license_texts import NOTICES
+from folioworks.llm.license_texts import MARKS, NOTICES
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -64,8 +66,13 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _place(words: list[str], phrase: list[str]) -> int | None:
+    """Where `phrase` first stands in `words`, word after word."""
+    return next((i for i in range(len(words) - len(phrase) + 1) if words[i] == phrase[0] and words[i : i + len(phrase)] == phrase), None)
+
+
 class Notice:
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, marks: tuple[str, ...] = ()):
         self.name = name
         self.words = [w.lower() for w in WORDS.findall(text)]
         self.least = -int(-coverage * len(self.words) // 1)
@@ -78,6 +85,20 @@ class Notice:
             total += count[w]
         self.at = {w: [i for i, x in enumerate(self.words) if x == w] for w in self.keys}
         self.room = len(self.words) // 4 + 2
+        self.marks = [(_place(self.words, m), m) for m in ([w.lower() for w in WORDS.findall(m)] for m in marks)]
+        if any(i is None for i, _ in self.marks):
+            raise ValueError(f"a mark of {name} isn't in its text")
+
+    def hold(self, pairs: list[tuple[int, int]], words: list[str]) -> list[tuple[int, int]] | None:
+        """The alignment with each mark aligned word by word to its place in `words`; None if one doesn't stand there."""
+        for i, m in self.marks:
+            before, after = [p for p in pairs if p[0] < i], [p for p in pairs if p[0] >= i + len(m)]
+            lo = before[-1][1] + 1 if before else 0
+            at = _place(words[lo : after[0][1] if after else len(words)], m)
+            if at is None:
+                return None
+            pairs = [*before, *((i + x, lo + at + x) for x in range(len(m))), *after]
+        return pairs
 
     def find(self, words: list[str], hits: dict[str, list[int]]) -> list[tuple[int, int, int]]:
         """(aligned words, first word, end word) of stretches that reach the coverage."""
@@ -90,7 +111,7 @@ class Notice:
             # With room on both sides for changed copies; without, so that a neighbouring copy repeats no word.
             for lo, hi in ((max(0, s - self.room), s + len(self.words) + 2 * self.room), (max(0, s), s + len(self.words))):
                 pairs = patience(self.words, words[lo:hi])
-                if len(pairs) >= self.least:
+                if len(pairs) >= self.least and (pairs := self.hold(pairs, words[lo:hi])):
                     out.append((len(pairs), lo + pairs[0][1], lo + pairs[-1][1] + 1))
         return out
 
@@ -118,11 +139,11 @@ def find_notices(text: str, notices: list[Notice], wanted: set[str]) -> list[tup
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("coverage", pa.float64())]))
 
 
-def _scan(texts: dict[str, str], coverage: float):
+def _scan(texts: dict[str, str], marks: dict[str, tuple[str, ...]], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        notices = [Notice(n, t, coverage) for n, t in texts.items()]
+        notices = [Notice(n, t, coverage, marks.get(n, ())) for n, t in texts.items()]
         wanted = set().union(*(t.keys for t in notices))
         automaton = ahocorasick.Automaton()
         for w in wanted:
@@ -139,14 +160,18 @@ def _scan(texts: dict[str, str], coverage: float):
     return run
 
 
-def scan(docs: DataFrame, texts: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, texts: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
+         marks: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """(id, licenses) for each row; licenses: array of (license, start, end, coverage) by start.
 
-    texts: notices by name, by default NOTICES. coverage: the least share of a notice's words.
+    texts: notices by name, by default NOTICES. coverage: the least share of a notice's words. marks: by notice, the
+    phrases that must stand whole, by default MARKS for NOTICES and none for other texts.
     """
+    if marks is None:
+        marks = {} if texts else MARKS
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = f"id {docs.schema['id'].dataType.simpleString()}, licenses array<struct<license:string,start:int,end:int,coverage:double>>"
-    return docs.mapInArrow(_scan(texts or NOTICES, coverage), kind).withColumnRenamed("id", id_col)
+    return docs.mapInArrow(_scan(texts or NOTICES, marks, coverage), kind).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -28,3 +28,17 @@ NOTICES = {
         distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
         FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
 }
+
+#: By notice, the phrases that tell it from its relatives: they must stand in a copy word for word.
+MARKS = {
+    "Apache-2.0-line": ("Apache License, Version 2.0",),
+    "GPL-3.0-line": ("the GNU General Public License, version 3",),
+    "MIT-line": ("the MIT License",),
+    "CC-BY-NC-4.0-line": ("CC BY-NC 4.0",),
+    "CC-BY-4.0-line": ("Creative Commons Attribution 4.0",),
+    "CC-BY-SA-4.0-line": ("Creative Commons Attribution-ShareAlike 4.0",),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "MIT": ("the above copyright notice and this permission notice",),
+    "ISC": ("provided that the above copyright notice and this permission notice",),
+    "GPL-3.0": ("GNU General Public License", "version 3 of the License"),
+}

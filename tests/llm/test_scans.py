@@ -69,6 +69,25 @@ def test_no_stretch_is_missed_by_key_words():
                 assert license_scan.find_notices(text, notices, wanted), notice.name
 
 
+@pytest.mark.parametrize("name, was, others", [
+    ("MIT-line", "MIT", ("BSD", "ISC", "Zlib")),
+    ("Apache-2.0-line", "2.0", ("1.1", "3.0")),
+    ("GPL-3.0-line", "version 3", ("version 2", "version 1")),
+    ("GPL-3.0-line", "General", ("Lesser General", "Affero General")),
+    ("CC-BY-NC-4.0-line", "BY-NC 4.0", ("BY-SA 4.0", "BY-ND 4.0", "BY-NC-SA 4.0", "BY-NC-ND 4.0", "BY-NC 3.0")),
+    ("CC-BY-4.0-line", "Attribution", ("Attribution-NonCommercial", "Attribution-NoDerivatives", "Attribution-NonCommercial-ShareAlike")),
+    ("CC-BY-SA-4.0-line", "Attribution-ShareAlike 4.0", ("Attribution-NonCommercial-ShareAlike 4.0", "Attribution-ShareAlike 3.0", "Attribution-NoDerivatives 4.0")),
+    ("GPL-3.0", "GNU General", ("GNU Lesser General", "GNU Affero General", "GNU Library General")),
+    ("GPL-3.0", "version 3", ("version 2", "version 1")),
+])
+def test_a_relative_is_not_taken_for_a_notice(spark, name, was, others):
+    text = NOTICES[name]
+    assert was in text
+    docs = documents(spark, f"so {text} end", *(f"so {text.replace(was, x)} end" for x in others))
+    got = {r["doc_id"]: {x["license"] for x in r["licenses"]} for r in license_scan.scan(docs).collect()}
+    assert got[0] == {name} and not any(name in got[i + 1] for i in range(len(others)))
+
+
 # Personal data -------------------------------------------------------------------------------------------------------
 
 def base_pii(t):
