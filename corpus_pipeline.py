@@ -6,6 +6,7 @@ quality classifier -> n-gram Jaccard join -> secret scans -> mixing sources to t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioworks.llm import mixing, ngram_join, packing, quality, secret_scan
 from folioworks.llm.common import keep, table
@@ -15,14 +16,15 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, doesn't reject. A repeated id stays if one of its rows does."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.groupBy("doc_id").max("predicted").where("`max(predicted)` = 0").select("doc_id")
-    return docs.join(keep(rejected, "rejected"), "doc_id", "left_anti").select(docs.columns)
+    """Documents that the classifier, trained on the labels, doesn't reject. Each row is judged by its own text, whatever its id."""
+    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), with_print=True)
+    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
+    return docs.join(keep(rejected, "rejected"), same, "left_anti").select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more. Rows of one id are one document."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more. Rows of one id count one by one."""
     return ngram_join.keep_first(docs, words=5, percent=80)
 
 

@@ -56,6 +56,11 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_print(id_col: str, text_col: str, source_col: str) -> F.Column:
+    """A hash of a row's id, source and text, nulls told from values."""
+    return F.xxhash64(F.col(id_col), F.col(source_col).isNull(), F.col(source_col), F.col(text_col))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(source, source_size, n_docs, rank, target) per source.
 
@@ -92,7 +97,9 @@ def _apportion(votes: str, block: int, most: int, seats: str | None):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_words: int = 16, seed: int = 7,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted.
+    """(id, size, source_size, target, taken, print): how many words of each document the mix takes, repeats counted.
+
+    print: a hash of id, source and text, by which `take` finds the row again.
 
     weights: shares of the sources, repeated over them in order; together the targets make up all words.
     block_words: words of a block, the unit of a quota; a source's taken words differ from its target by a block or so.
@@ -100,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     """
     s = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("turn"),
+        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("turn"), row_print(id_col, text_col, source_col).alias("print"),
     )
     s = keep(s, "mix-sizes")
     sources = source_targets(s, weights, most)
@@ -136,18 +143,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least("end", hi) - F.greatest(start, lo))
     part = overlap(first, first + rest) + overlap(first - length, first + rest - length)
     taken = F.when(some, rounds * F.col("size") + part).otherwise(F.lit(0)).cast("long")
-    return s.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return s.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "print")
 
 
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus, with the columns of `docs`: a document's text becomes the words that the mix takes.
 
     A document that the mix takes none of is left out. One taken more than once keeps one row: its text repeats, a
     line feed between, and the last turn stops at the words taken. A document taken exactly once is unchanged.
+    Rows meet their plans by id (null too), source and text; rows equal in all three share out their plans one by one.
     """
-    plan = mixed.where("taken > 0").select(F.col(id_col).alias("_id"), "size", "taken")
-    plan = plan.groupBy("_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    out = docs.join(plan, F.col(id_col) == F.col("_id"))
+    plan = mixed.where("size > 0").select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    plan = keep(plan, "mix-plan")
+    again = keep(plan.groupBy(F.col("_print").alias("_again")).count().where("count > 1").select("_again"), "mix-again")
+    mine = row_print(id_col, text_col, source_col)
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (mine == F.col("_print"))
+    if again.isEmpty():
+        out = docs.join(plan.where("_taken > 0"), same).drop("_print")
+    else:
+        once = plan.join(again, F.col("_print") == F.col("_again"), "left_anti").where("_taken > 0")
+        out = docs.join(once, same).drop("_print")
+        place = lambda of, by: F.row_number().over(Window.partitionBy(of).orderBy(by))
+        twice = plan.join(again, F.col("_print") == F.col("_again"), "left_semi").withColumn("_place", place("_print", F.desc("_taken"))).where("_taken > 0")
+        rows = docs.join(again, mine == F.col("_again"), "left_semi").withColumn("_mine", mine).withColumn("_row", place("_mine", F.lit(0)))
+        met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_print")) & (F.col("_row") == F.col("_place"))
+        out = out.union(rows.join(twice, met).drop("_mine", "_row", "_print", "_place"))
     whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
     rest = (F.col("_taken") - whole * F.col("_size")).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), rest), " ")

@@ -319,8 +319,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """`docs` without those whose component has a smaller id; all columns stay."""
-    parts = jaccard_components(docs, id_col=id_col, **kwargs)
-    drop = parts.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct()
-    return docs.join(keep(drop, "jaccard-drop"), F.col(id_col) == F.col("_drop"), "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
+    """`docs` with one row of each component, that of the smallest id (null last); all columns stay.
+
+    Rows are told apart by a hash of id and text, so repeated and null ids are compared as any others are, and of rows
+    that are equal in both one stays. Rows without shingles all stay.
+    """
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    parts = jaccard_components(docs.select(key.alias("_key"), text_col), id_col="_key", text_col=text_col, **kwargs)
+    parts = parts.where("n_shingles > 0").groupBy("_key").agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    parts = keep(parts, "jaccard-rows")
+    many = parts.where(F.col("_key") != F.col("component"))
+    many = many.select("_key", "component").union(many.select(F.col("component").alias("_key"), "component").distinct())
+    named = docs.select(key.alias("_key"), F.col(id_col).alias("_id")).distinct().join(many, "_key")
+    named = keep(named.withColumn("place", F.struct(F.col("_id").isNull(), "_id", "_key")), "jaccard-named")
+    first = named.groupBy("component").agg(F.min("place")["_key"].alias("_drop"))
+    drop = named.select(F.col("_key").alias("_drop")).join(first.select("_drop"), "_drop", "left_anti").distinct()
+    out = docs.join(keep(drop, "jaccard-drop"), key == F.col("_drop"), "left_anti")
+    again = keep(parts.where("rows > 1").select(F.col("_key").alias("_again")), "jaccard-again")
+    if again.isEmpty():
+        return out
+    equal = out.join(again, key == F.col("_again"), "left_semi").withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    return out.join(again, key == F.col("_again"), "left_anti").union(equal)

@@ -182,18 +182,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(batch.column(1)).astype(np.float32)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], ["id", "x", "print"])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_fold: int = 2, folds: int = 4, curve_fold: int = 3,
-                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", with_print: bool = False, **fitting) -> DataFrame:
     """(id, held_out, score, predicted) for each row of `docs`.
 
     A row's fold is crc32(id as text) mod `folds`. Labels of `held_out_fold` are never read, those of `curve_fold`
-    calibrate, the others fit.
+    calibrate, the others fit. with_print: a last column `print`, the text's hash, tells rows of one id apart.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    measured = keep(docs.mapInArrow(_measure, f"id {docs.schema['id'].dataType.simpleString()}, x array<float>"), "quality-measured")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
+    measured = keep(docs.mapInArrow(_measure, f"id {docs.schema['id'].dataType.simpleString()}, x array<float>, print long"), "quality-measured")
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds
     labels = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("y")).where("id_ is not null and y is not null")
     labelled = measured.withColumn("fold", fold).where(F.col("fold") != held_out_fold).join(labels, F.col("id") == F.col("id_"))
@@ -201,8 +201,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1)))), batch.column(2)], ["id", "score", "print"])
 
-    scored = measured.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    scored = measured.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, print long")
     out = F.coalesce(fold == held_out_fold, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(F.col("id").alias(id_col), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["print"] if with_print else []))

@@ -394,6 +394,35 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in mix.collect()}
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_go_through_the_stages(spark):
+    rng = random.Random(12)
+    texts = [words(rng, n) for n in (40, 70, 90, 120, 50, 60)]
+    ids = [None, None, 5, 5, 6, 7]
+    d = spark.createDataFrame([(i, t, "en", "a" if n % 2 else None, 0, None, 7, 1) for n, (i, t) in enumerate(zip(ids, texts, strict=True))], DOC)
+    plans = mixing.mix(d.union(d), block_words=1)
+    got = mixing.take(d.union(d), plans).collect()
+    assert sorted(len(r["text"].split()) for r in got) == sorted(r["taken"] for r in plans.collect() if r["taken"])
+    for source in ("a", None):
+        want = {r["target"] for r in plans.collect() if r["source_size"] == 2 * sum(len(t.split()) for n, t in enumerate(texts) if (n % 2 == 1) == (source == "a"))}
+        assert abs(sum(len(r["text"].split()) for r in got if r["source"] == source) - want.pop()) <= 2
+    near = texts[3] + " more"
+    more = spark.createDataFrame([(None, near, "en", "a", 0, None, 7, 1), (8, near, "en", "a", 0, None, 7, 1), (9, "", "en", "a", 0, None, 7, 1), (9, "", "en", "a", 0, None, 7, 1)], DOC)
+    kept = ngram_join.keep_first(d.union(d).union(more))
+    assert rows(kept, "doc_id", "text") == sorted([*zip(ids, texts, strict=True), (9, ""), (9, "")], key=str)
+
+
+def test_each_row_is_judged_by_its_own_text(spark, monkeypatch):
+    import corpus_pipeline as pipe
+
+    d = spark.createDataFrame([(i, t, "en", "a", 0, None, 7, 1) for i, t in ((None, "bad x"), (None, "good x"), (1, "bad y"), (1, "good y"), (2, "good z"))], DOC)
+
+    def scores(docs, labels, with_print=False):
+        return docs.select("doc_id", F.startswith("text", F.lit("good")).cast("int").alias("predicted"), *([F.xxhash64("text").alias("print")] if with_print else []))
+
+    monkeypatch.setattr(pipe.quality, "score_documents", scores)
+    assert rows(pipe.good_quality(spark, d, "/root/testdata/sf0.001"), "doc_id", "text") == sorted([(None, "good x"), (1, "good y"), (2, "good z")], key=str)
+
+
 def test_pipeline_of_nothing(spark, sf):
     import corpus_pipeline as pipe
 
