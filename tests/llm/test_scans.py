@@ -88,6 +88,15 @@ def test_a_relative_is_not_taken_for_a_notice(spark, name, was, others):
     assert got[0] == {name} and not any(name in got[i + 1] for i in range(len(others)))
 
 
+def test_each_notice_is_found_under_its_own_name_and_whole(spark):
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "Unlicense"]
+    names += [n for n in NOTICES if n not in names]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(documents(spark, *(f"so {NOTICES[n]} end" for n in names))).collect()}
+    for i, n in enumerate(names):
+        assert [(x["license"], x["coverage"]) for x in got[i]] == [(n, 1.0)] and got[i][0]["end"] >= len(NOTICES[n]), n
+    assert NOTICES["MIT"].endswith("DEALINGS IN THE SOFTWARE.") and NOTICES["BSD-3-Clause"].endswith("SUCH DAMAGE.")
+
+
 # Personal data -------------------------------------------------------------------------------------------------------
 
 def base_pii(t):
