@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode) a new local one.
+
+    On a cluster a local folder would hold only the rows of its own machine, so an unset one is an error there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -41,7 +46,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         df.sparkSession.conf.set(CLEAN, was)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete tables that `keep` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            jvm = t.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(t.kept_at)
+            path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that `df` has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def some_rows(df: DataFrame, n: int, *by: str, seed: int = 0) -> DataFrame:
@@ -60,7 +87,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Alternates large-star and small-star: each node tells its neighbours the smallest node it knows, so every
     round is two aggregations by node with a partial sum before the shuffle, hubs included, and the number of
-    rounds grows with the logarithm of the longest path. Edges with a null end and loops are left out.
+    rounds grows with the logarithm of the longest path. Edges with a null end and loops are left out. The result is a kept
+    table: `free` it when it isn't read any more.
     """
     e = keep(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -76,7 +104,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = keep(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, keep(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        free(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -85,4 +114,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     own = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return own.union(roots)
+    out = keep(own.union(roots), "components")
+    free(e)
+    return out

@@ -15,11 +15,16 @@ partitions; a set in which at most `slack` partitions have such a hollow choice
 set signs them too. Equal choices are hollow alike, so linked sets still share a signature, whichever elements count as
 frequent: those come from a bounded sample of classes and change the work, never the result.
 
-Equal sets form a class and are joined once. In a bucket of equal signatures, classes first meet a few leaders; classes
-that are then in one component need no further comparison; all others that share a bucket meet. Each class has a
-parity sketch: 512 bits, in each the parity of the elements that fall on it, and a wide one that grows with its size. Sketches differ
-in no more bits than sets in elements, so a pair whose sketches differ in too many can't link; in the last round it is
-dropped inside the join, before it becomes a row. Only pairs that both sketches leave are compared set by set.
+Equal sets form a class and are joined once. Signatures are made and met in `passes` rounds, each with its own share of
+the partitions, so that only that share is on disk at a time. Most signatures belong to one class alone and end there; a
+bucket is what several classes share, and buckets of the same members count once.
+
+In a bucket, classes first meet a few leaders; classes that are then in one component need no further comparison; all
+others that share a bucket meet. Each class has a parity sketch, whose length grows with its size: each bit is the
+parity of the elements that fall on it. Sketches differ in no more bits than sets in elements, so a pair whose sketches
+differ in too many can't link. In the last round the sketches, folded to a length that the bucket's band sets, meet in
+groups of bounded size, so a pair that can't link never becomes a row. What is left is compared set by set. No bucket holds more than one signature of a set, so of a crowd's rows it has a share of one in as many
+as a set has signatures.
 
 Defined cases: null and blank text has an empty set, 0 shingles, and links with nothing; with fewer words than
 `words` the whole sequence is one shingle; repeated rows each get a row; a null id belongs to the class of its text but
@@ -36,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import connected_components, keep, some_rows
+from folioworks.llm.common import connected_components, free, keep, new_names, some_rows
 from folioworks.llm.wordhash import mix, shingles, slices, words as words_of
 
 #: A band reaches from its least size l to l * 4 // 3.
@@ -48,9 +53,12 @@ BROADCAST_IDS = 1 << 20
 SAMPLE_CLASSES, FREQUENT, RARE = 4096, 4, 0.85
 #: Frequent shingles that tasks are told of, 8 MB; leaving some out costs work only.
 MOST_FREQUENT = 1 << 20
-#: 64-bit words of a parity sketch.
-SKETCH = 8
-_P = [f"p{i}" for i in range(SKETCH)]
+#: 64-bit words of the smallest parity sketch.
+LEAST = 8
+#: Members of a bucket that meet in one group, about; a larger bucket is dealt over several groups.
+BLOCK = 4096
+#: A signature's low bits hold its band.
+BAND_BITS = 7
 
 
 def bands(most: int) -> np.ndarray:
@@ -78,9 +86,10 @@ def plan(low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return n1 + slack, n2, k2, slack
 
 
-def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int, frequent: np.ndarray | None = None, passes: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(signature, document) for the sets given as (element, document) sorted by document; frequent: sorted elements.
 
+    Those of partitions number turn, turn + passes, turn + 2 passes and so on; a signature's low bits are its band.
     Bands in which linked sets can't differ have no signatures: their sets link when they are equal.
     """
     size = np.bincount(d, minlength=n_docs)
@@ -118,32 +127,28 @@ def signatures(s: np.ndarray, d: np.ndarray, n_docs: int, percent: int, frequent
             full = np.column_stack([held[:, c].sum(axis=1) > 0 for c in map(list, chosen)])
             holes = np.bincount(doc[~full.all(axis=1)], minlength=n_docs)
             sign_holes = (holes > slack_of[band])[doc]
+            now = f % passes == turn
+            tag, sums, doc, full, sign_holes = tag[now], sums[now], doc[now], full[now], sign_holes[now]
+            mark = band[doc].astype(np.uint64)
             for x, c in enumerate(chosen):
                 g = tag + np.uint64(x + 1)
                 for part in c:
                     g = mix(g * np.uint64(3) + sums[:, part])
                 keep_ = full[:, x] | sign_holes
-                all_sigs.append(g[keep_])
+                all_sigs.append((g >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | mark)[keep_])
                 all_docs.append(doc[keep_])
     if not all_sigs:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(all_sigs), np.concatenate(all_docs)
 
 
-def sketches(s: np.ndarray, d: np.ndarray, n_docs: int) -> np.ndarray:
-    """A row of SKETCH 64-bit words for each document: bit b is the parity of its elements that fall on b."""
-    at = (mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(23)) % np.uint64(64 * SKETCH)
-    odd = np.bincount(d * 64 * SKETCH + at.astype(np.int64), minlength=n_docs * 64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(n_docs, SKETCH)
-
-
 def wide_sketches(s: np.ndarray, d: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(words of all documents in a row, words of each): parity sketches of four bits or more for each element, a power of two.
+    """(words of all documents in a row, words of each): parity sketches of four bits or more for each element and LEAST words or more, a power of two.
 
     A sketch of twice the length folds into one of the length: its halves are added bit by bit.
     """
     size = np.bincount(d, minlength=n_docs)
-    bits = np.where(size > 0, np.maximum(64, 4 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)), 0)
+    bits = np.where(size > 0, np.maximum(64 * LEAST, 4 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)), 0)
     base = np.cumsum(bits) - bits
     at = base[d] + ((mix(s ^ np.uint64(0x7FB5D329728EA185)) >> np.uint64(13)) & (bits[d] - 1).astype(np.uint64)).astype(np.int64)
     odd = np.bincount(at, minlength=int(bits.sum())) & 1
@@ -157,7 +162,7 @@ def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
 
 
 def _measure(size: int):
-    """Rows of (id, size, two set fingerprints, sketch, wide sketch)."""
+    """Rows of (id, size, two set fingerprints, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +171,9 @@ def _measure(size: int):
                 h, doc, _, _ = words_of(data, offsets)
                 s, d = shingles(h, doc, n, size)
                 count = np.bincount(d, minlength=n)
-                columns = [*_prints(s, count), *sketches(s, d, n).T]
+                prints = [pa.array(c.view(np.int64)) for c in _prints(s, count)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns), _lists(*wide_sketches(s, d, n))],
-                    ["id", "n", "f1", "f2", *_P, "wide"],
-                )
+                    [batch.column(0).slice(i, n), pa.array(count.astype(np.int64)), *prints, _lists(*wide_sketches(s, d, n))], ["id", "n", "f1", "f2", "wide"])
 
     return run
 
@@ -186,7 +189,7 @@ def _prints(s: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sign(size: int, percent: int, frequent):
+def _sign(size: int, percent: int, frequent, passes: int, turn: int):
     """Rows of (signature, set fingerprint). In a task only the first of equal sets signs. frequent: a broadcast array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +208,37 @@ def _sign(size: int, percent: int, frequent):
                         seen.add(key)
                         fresh[x] = True
                 use = fresh[d]
-                sigs, sd = signatures(s[use], d[use], n, percent, frequent.value)
+                sigs, sd = signatures(s[use], d[use], n, percent, frequent.value, passes, turn)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(print_[sd].view(np.int64))], ["sig", "f1"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a stream sorted by (sig, f1), without repeats, the rows whose sig occurs with several f1. One row is held back between batches."""
+    sig, f1, used = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row, and whether the one before it has its sig
+
+    def rows(sig: np.ndarray, f1: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(f1)], ["sig", "f1"])
+
+    for batch in batches:
+        sig, f1 = (np.concatenate([x, np.asarray(batch.column(i))]) for i, x in ((0, sig), (1, f1)))
+        if not len(sig):
+            continue
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (f1[1:] != f1[:-1])
+        sig, f1 = sig[new], f1[new]
+        like = sig[1:] == sig[:-1]
+        before = np.append(used, like)
+        several = before.copy()
+        several[:-1] |= like
+        use = several[:-1]
+        yield rows(sig[:-1][use], f1[:-1][use])
+        used, sig, f1 = bool(before[-1]), sig[-1:], f1[-1:]
+    if used:
+        yield rows(sig, f1)
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,64 +266,168 @@ def _apart(x: str, y: str) -> F.Column:
 
 
 def _verify(pairs: DataFrame, measured: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets link: wide sketches rule out nearly all others, then the sets themselves decide."""
+    """Those pairs (a, b) whose sets link: wide sketches rule out nearly all others, then the sets themselves decide. A kept table."""
     w = measured.select("id", "n", "wide").where("n > 0")
     side = lambda k: w.select(F.col("id").alias(k), F.col("n").alias(f"{k}n"), F.col("wide").alias(f"{k}w"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     close = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
     near = both.where(close).where((100 + percent) * _apart("aw", "bw") <= (100 - percent) * (F.col("an") + F.col("bn")))
-    near = keep(near.select("a", "b").distinct(), "jaccard-near")
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    near = keep(near.select("a", "b"), "jaccard-near")
+    ids = keep(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "jaccard-ids")
     kind = f"id {docs.schema['id'].dataType.simpleString()}, set array<long>"
-    sets = keep(_only(docs, keep(ids, "jaccard-ids")).mapInArrow(_sets(words), kind), "jaccard-sets")
+    sets = keep(_only(docs, ids).mapInArrow(_sets(words), kind), "jaccard-sets")
     a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     linked = near.join(b, "b").join(a, "a").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
-    return linked.select("a", "b").distinct()
+    out = keep(linked.select("a", "b"), "jaccard-links")
+    free(near, ids, sets)
+    return out
+
+
+def _folded(most: int, percent: int) -> F.Column:
+    """The sketch `wide` folded to the length that `band` sets; each set that signs for the band has as many words."""
+    least = percent * bands(most)[: 1 << BAND_BITS] // 100
+    count = np.maximum(LEAST, 1 << np.floor(np.log2(np.maximum(4 * least // 64, 1))).astype(np.int64))
+    own = F.element_at(F.array(*(F.lit(int(x)) for x in count)), F.col("band") + 1)
+    turns = F.sequence(F.lit(0), (F.size("wide") / own).cast("int") - 1)
+    word = lambda i: F.aggregate(turns, F.lit(0).cast("long"), lambda sum_, k: sum_.bitwiseXOR(F.get("wide", i + k * own)))
+    return F.transform(F.sequence(F.lit(0), own - 1), word)
 
 
-def _may_link(a: str, b: str, percent: int) -> F.Column:
-    """Whether two classes' sizes and sketches leave room for a link. a, b: prefixes of their columns."""
-    n = lambda x: F.col(f"{x}n")
-    apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in _P), F.lit(0))
-    close = 100 * F.least(n(a), n(b)) >= percent * F.greatest(n(a), n(b))
-    return close & ((100 + percent) * apart <= (100 - percent) * (n(a) + n(b)))
+def _dealt(now: DataFrame) -> DataFrame:
+    """`now` (key, band, id, label) with the groups (i, j) in which a member meets others, its side there, and whether only the sides meet (two).
 
+    A bucket of at most BLOCK members is one group. In a larger one the members of the commonest label and the others
+    (strangers) lie in blocks; each block of strangers meets each block. So a crowd that is linked already doesn't
+    meet itself, and no group holds more than about two blocks.
+    """
+    often = now.groupBy("key", "band", "label").count().groupBy("key", "band").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("top"))
+    often = often.select("key", "band", "all", F.col("top.count").alias("crowd"), F.col("top.label").alias("common"))
+    now = now.join(often, ["key", "band"])
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    crowd, strangers = blocks(F.col("crowd")), blocks(F.col("all") - F.col("crowd"))
+    stranger = F.col("label") != F.col("common")
+    mine = F.pmod(F.xxhash64("id"), F.when(stranger, strangers).otherwise(crowd)).cast("int")
+    group = lambda i, j, side, two: F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"), two.alias("two"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    whole = F.array(group(F.lit(0), F.lit(0), F.lit(0), F.lit(False)))
+    met = F.transform(up_to(crowd), lambda c: group(mine, c, F.lit(0), F.lit(True)))
+    among = F.transform(up_to(strangers), lambda t: group(F.least(mine, t), crowd + F.greatest(mine, t), (mine > t).cast("int"), mine != t))
+    other = F.transform(up_to(strangers), lambda t: group(t, mine, F.lit(1), F.lit(True)))
+    groups = F.when(F.col("all") <= BLOCK, whole).when(stranger, F.concat(met, among)).otherwise(other)
+    return now.select("key", "band", "id", "label", F.inline(groups))
+
+
+def _meet(percent: int):
+    """Pairs (x, y) that may link within the groups of a stream sorted by (key, band, i, j): labels differ, sizes and sketches are close."""
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        at = np.arange(t.num_rows)
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([(x := np.asarray(t.column(c)))[1:] != x[:-1] for c in ("key", "band", "i", "j")], axis=0)
+        first = np.flatnonzero(new)
+        end = np.append(first[1:], len(at))[np.cumsum(new) - 1]
+        label = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices)
+        n, side, two = (np.asarray(t.column(c)) for c in ("n", "side", "two"))
+        w = t.column("w").combine_chunks()
+        length, start = np.asarray(w.value_lengths()), np.asarray(w.offsets)[:-1] - w.offsets[0].as_py()
+        word = np.asarray(w.flatten()).view(np.uint64)
+        rows = lambda own, many: word[start[own][:, None] + np.arange(many)]
+        short = np.zeros((len(at), LEAST), np.uint64)
+        for many in np.unique(length):
+            own = np.flatnonzero(length == many)
+            short[own] = np.bitwise_xor.reduce(rows(own, many).reshape(len(own), -1, LEAST), axis=1)
+        near = lambda p, q, a, b: (100 + percent) * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[a] + n[b])
+        found: list[np.ndarray] = []
+        step = 1
+        while len(at := at[at + step < end[at]]):
+            b = at + step
+            use = (label[at] != label[b]) & (100 * np.minimum(n[at], n[b]) >= percent * np.maximum(n[at], n[b])) & (~two[at] | (side[at] != side[b]))
+            a, b = at[use], b[use]
+            use = near(short[a], short[b], a, b)
+            a, b = a[use], b[use]
+            for many in np.unique(length[a]):
+                if many > LEAST:
+                    for own in np.array_split(some := np.flatnonzero(length[a] == many), len(some) * many // (1 << 20) + 1):
+                        far = ~near(rows(a[own], many), rows(b[own], many), a[own], b[own])
+                        a[own[far]] = -1
+            found.append(np.column_stack([a, b])[a >= 0])
+            step += 1
+        hit = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        ids = t.column("id").combine_chunks()
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(hit[:, 0])), ids.take(pa.array(hit[:, 1]))], ["x", "y"])
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leaders: int = 2,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            last = tuple(t.column(c)[-1].as_py() for c in ("key", "band", "i", "j"))
+            same = np.all([np.asarray(t.column(c)) == x for c, x in zip(("key", "band", "i", "j"), last, strict=True)], axis=0)
+            a = int(np.flatnonzero(same)[0])  # sorted: the last group's rows stand together
+            if a:
+                yield pairs(t.slice(0, a))
+            held = t.slice(a)
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def _buckets(docs: DataFrame, classes: DataFrame, words: int, percent: int, passes: int, id_type: str) -> DataFrame:
+    """(key, band, id): the members of each bucket, pass by pass; buckets of a band with the same members have one key. A kept table."""
+    sample = keep(some_rows(classes, SAMPLE_CLASSES, "rep").select(F.col("rep").alias("id")), "jaccard-sample")
+    seen = _only(docs, sample).dropDuplicates(["id"]).mapInArrow(_sets(words), f"id {id_type}, set array<long>")
+    often = seen.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("x").limit(MOST_FREQUENT).toPandas()
+    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often["x"].to_numpy(np.int64).view(np.uint64)))
+    free(sample)
+    parts, band = [], F.col("sig").bitwiseAND((1 << BAND_BITS) - 1)
+    for turn in range(passes):
+        sigs = docs.select("text").mapInArrow(_sign(words, percent, frequent, passes, turn), "sig long, f1 long")
+        shared = sigs.repartition("sig").sortWithinPartitions("sig", "f1").mapInArrow(_shared, "sig long, f1 long")
+        content = F.bit_xor(F.xxhash64("f1")).over(Window.partitionBy("sig"))
+        part = shared.select(content.alias("key"), band.cast("int").alias("band"), "f1").distinct()
+        parts.append(keep(part, "jaccard-shared"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    out = every.join(classes.select("f1", "rep"), "f1").select("key", "band", F.col("rep").alias("id")).distinct()
+    out = keep(out, "jaccard-buckets")
+    free(*parts)
+    return out
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leaders: int = 2, passes: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for each row of `docs`.
 
     leaders: rounds in which a bucket's members meet one leader; what then still lies apart is compared in full.
+    passes: shares in which the signatures are made; more passes need less disk and more work.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
-    sketch = ", ".join(f"{p} long" for p in _P)
-    measured = keep(docs.mapInArrow(_measure(words), f"id {id_type}, n long, f1 long, f2 long, {sketch}, wide array<long>"), "jaccard-measured")
+    measured = keep(docs.mapInArrow(_measure(words), f"id {id_type}, n long, f1 long, f2 long, wide array<long>"), "jaccard-measured")
 
     of_class = ["f1", "f2", "n"]
-    classes = measured.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep"), *(F.first(p).alias(p) for p in _P))
+    classes = measured.where("n > 0").groupBy(of_class).agg(F.min("id").alias("rep"))
     classes = keep(classes.where("rep is not null"), "jaccard-classes")
-    bucket = Window.partitionBy("sig")
-    sample = some_rows(classes, SAMPLE_CLASSES, "rep").select(F.col("rep").alias("id"))
-    seen = _only(docs, keep(sample, "jaccard-sample")).dropDuplicates(["id"]).mapInArrow(_sets(words), f"id {id_type}, set array<long>")
-    often = seen.select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT).select("x").limit(MOST_FREQUENT).toPandas()
-    frequent = docs.sparkSession.sparkContext.broadcast(np.sort(often["x"].to_numpy(np.int64).view(np.uint64)))
-    sigs = docs.select("text").mapInArrow(_sign(words, percent, frequent), "sig long, f1 long")
-    shared = sigs.withColumn("lo", F.min("f1").over(bucket)).withColumn("hi", F.max("f1").over(bucket)).where("lo != hi").select("sig", "f1")
-    members = shared.distinct().join(classes.select("f1", "rep"), "f1").select("sig", F.col("rep").alias("id")).distinct()
-    members = keep(members, "jaccard-buckets")
-    sketched = classes.select(F.col("rep").alias("id"), "n", *_P).dropDuplicates(["id"])
+    members = _buckets(docs, classes, words, percent, passes, id_type)
+    bucket = Window.partitionBy("key", "band")
 
-    done, links = None, None
+    done, links, parts = None, None, None
     for turn in range(leaders + 1):
         if turn:
+            free(parts)
             parts = connected_components(links)
-            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("label"))
+            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
             # Buckets within one component are done with.
             now = now.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi")
-            now = keep(now.drop("lo", "hi"), "jaccard-apart")
+            was, members = members, keep(now.select("key", "band", "id"), "jaccard-apart")
+            free(was)
+            now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
         else:
             now = members.withColumn("label", F.col("id"))
         if turn < leaders:
@@ -303,16 +435,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
             lead = F.min(F.struct(first.alias("x"), "id", "label")).over(bucket)
             met = now.withColumn("lead", lead).where("label != lead.label").select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
         else:
-            now = now.join(sketched, "id")
-            other = now.select(F.col("sig").alias("o_sig"), *(F.col(c).alias(f"o_{c}") for c in ("id", "label", "n", *_P)))
-            met = now.join(other, F.expr("sig = o_sig and id < o_id and label != o_label") & _may_link("", "o_", percent)).select(F.col("id").alias("x"), F.col("o_id").alias("y"))
+            most = measured.agg(F.max("n")).first()[0] or 1
+            sketched = measured.where("n > 0").select("id", "n", "wide").join(members.select("id", "band").distinct(), "id")
+            sketched = keep(sketched.select("id", "band", "n", _folded(most, percent).alias("w")).dropDuplicates(["id", "band"]), "jaccard-sketched")
+            group = ["key", "band", "i", "j"]
+            dealt = _dealt(now).join(sketched, ["id", "band"]).select(*group, "side", "two", "id", "label", "n", "w")
+            met = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_meet(percent), f"x {id_type}, y {id_type}")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = keep(pairs, "jaccard-pairs")
-        found = keep(_verify(pairs, measured, docs, words, percent), "jaccard-links")
+        found = _verify(pairs, measured, docs, words, percent)
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
+    free(parts, members)
     parts = connected_components(links)
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*of_class, F.coalesce("component", "rep").alias("component"))
     out = measured.select("id", "n", "f1", "f2").join(named, of_class, "left")

@@ -30,7 +30,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90, passes=2)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

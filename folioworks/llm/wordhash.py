@@ -85,6 +85,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return h, doc, starts, ends
 
 
+def by_document(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by document and value."""
+    order = np.argsort(values)
+    small = doc.astype(np.uint16) if len(doc) and doc.max() < 1 << 16 else doc
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of `size` words per document, sorted by document and hash; a document with fewer words has its whole sequence as its only shingle, one without words has none."""
     count = np.bincount(doc, minlength=n_docs)
@@ -110,7 +117,7 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np
         s, d = s[order], d[order]
     if not len(s):
         return s, d
-    order = np.lexsort((s, d))
+    order = by_document(s, d)
     s, d = s[order], d[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])

@@ -70,8 +70,9 @@ def expected_components(texts, n, percent):
     return [(i, len(s), u.find(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
-def test_jaccard_matches_brute_force(spark, n, percent):
+@pytest.mark.parametrize("n, percent, block, passes", [(3, 90, 4096, 1), (5, 80, 3, 3)])
+def test_jaccard_matches_brute_force(spark, n, percent, block, passes, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(n)
     texts = [None, "", " \t\n", "one", "One", "one two", "a b c d e f", "É a\u00a0b ÉÉ c", words(rng, 20_000, 9000)]
     for size in (8, 12, 25, 60, 150, 300):
@@ -83,7 +84,7 @@ def test_jaccard_matches_brute_force(spark, n, percent):
                 for _ in range(edits):
                     copy[rng.randrange(len(copy))] = f"x{rng.randrange(9999)}"
                 texts.append(" ".join(copy[: rng.randrange(len(copy) * 9 // 10, len(copy) + 1)]))
-    got = rows(ngram_join.jaccard_components(documents(spark, *texts).repartition(5), n, percent), "doc_id", "n_shingles", "component_id")
+    got = rows(ngram_join.jaccard_components(documents(spark, *texts).repartition(5), n, percent, leaders=1 if block == 3 else 2, passes=passes), "doc_id", "n_shingles", "component_id")
     assert sorted(got) == expected_components(texts, n, percent)
 
 
@@ -109,6 +110,28 @@ def test_signatures_of_linked_sets_meet():
                 assert x & y, (percent, size, drop)
 
 
+def test_signatures_of_all_passes_are_the_signatures():
+    rng = np.random.default_rng(3)
+    s, d = rng.integers(1, 2**63, 900, dtype=np.uint64), np.repeat([0, 1, 2], 300)
+    s[300:600] = s[:300]
+    s = s[np.lexsort((s, d))]
+    whole = set(zip(*map(np.ndarray.tolist, ngram_join.signatures(s, d, 3, 80)), strict=True))
+    parts = [set(zip(*map(np.ndarray.tolist, ngram_join.signatures(s, d, 3, 80, None, 4, t)), strict=True)) for t in range(4)]
+    assert set().union(*parts) == whole and sum(map(len, parts)) == len(whole) and all(parts)
+
+
+def test_shared_rows_of_a_sorted_stream():
+    import pyarrow as pa
+
+    rng = random.Random(13)
+    for _ in range(200):
+        data = sorted((rng.randrange(6), rng.randrange(4)) for _ in range(rng.randrange(20)))
+        cuts = sorted(rng.randrange(len(data) + 1) for _ in range(3))
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in data[a:b]], pa.int64()) for i in (0, 1)], ["sig", "f1"]) for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+        got = [tuple(r.values()) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
+        assert got == [x for x in sorted(set(data)) if len({f for s, f in data if s == x[0]}) > 1]
+
+
 # Top-k ---------------------------------------------------------------------------------------------------------------
 
 def vectors(spark, data, label=None):
