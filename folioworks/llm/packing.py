@@ -7,7 +7,9 @@ packs its own rows from a window of waiting examples, so memory is bounded and n
 the task's number in their upper bits.
 
 `pack_documents` may cut: a document's full sequences are cut off first, the rest are packed, and the last free tokens
-of a sequence are filled by cutting a waiting rest. `pack_examples` never cuts, as instruction data needs.
+of a sequence are filled by cutting a waiting rest. All tokens of a piece but the first, which nothing stands before,
+bear loss. Where the waiting rests are so short that the segment limit would close a sequence early, the sequence ends
+at a power of two that they do fill, so it needs no padding. `pack_examples` never cuts, as instruction data needs.
 
 Defined cases: null text is empty; an empty document has the end id alone; repeated rows are packed as often as they
 occur; an example beyond a limit gets a sequence of its own in `pack_examples`, flagged `over`. An empty table gives
@@ -59,12 +61,11 @@ class Packer:
     def _put(self, i: int, take: int) -> None:
         self.place(self.items[i], take, self.sequence, self.used)
         need = self.need[i]
-        loss = min(need[2], take) if take < need[0] else need[2]
-        self.left -= take, 1, loss
+        self.left -= take, 1, take - 1 if take < need[0] else need[2]
         self.used += take
-        if take < need[0]:
+        if take < need[0]:  # a cut: the rest is an example of its own
             need[0] -= take
-            need[2] -= loss
+            need[2] = need[0] - 1
         else:
             last = len(self.items) - 1
             self.items[i] = self.items[last]
@@ -73,9 +74,22 @@ class Packer:
         if (self.left < 1).any():
             self._close()
 
+    def _aim(self, waiting: np.ndarray) -> None:
+        """Lets the sequence end at a power of two if the longest waiting examples can't fill it within the segments left."""
+        n = int(self.left[1])
+        if not self.cut or n >= self.left[0]:  # each has a token or more
+            return
+        most = waiting if len(waiting) <= n else np.partition(waiting, len(waiting) - n)[-n:]
+        reach = self.used + int(most.sum())
+        even = 1 << (reach.bit_length() - 1)
+        if reach < self.used + self.left[0] and even > self.used:
+            self.left[0] = even - self.used
+
     def _step(self) -> None:
         """Places one example, or one piece of an example, or closes the sequence."""
         need = self.need[: len(self.items)]
+        if self.cut and not int(self.left[1]) & (int(self.left[1]) - 1) or not self.used:
+            self._aim(need[:, 0])
         fits = (need <= self.left).all(axis=1)
         if self.cut and self.left[1] == 1:  # the last segment must fill the sequence
             fits &= need[:, 0] == self.left[0]
@@ -85,7 +99,7 @@ class Packer:
             return self._put(i, int(need[i, 0]))
         if self.cut:
             i = int(need[:, 0].argmax())
-            take = int(min(self.left[0], self.left[2], need[i, 0]))
+            take = int(min(self.left[0], self.left[2] + 1, need[i, 0]))
             return self._put(i, take)
         if self.used:
             return self._close()
@@ -136,7 +150,7 @@ def _pack_documents(limits: tuple[int, int, int], tokenizer: str | None, ranks:
                     out.append((doc, start, most, zlib.crc32(ids[4 * start : 4 * (start + most)]), total, whole, 0))
                     whole, start = whole + 1, start + most
                 if start < total:
-                    packer.add([doc, ids[4 * start :], start, total], total - start, total - start)
+                    packer.add([doc, ids[4 * start :], start, total], total - start, total - start - 1)
                 if len(out) >= 20_000:
                     yield rows()
         packer.finish()
@@ -150,7 +164,7 @@ def pack_documents(docs: DataFrame, tokens: int = 1024, segments: int = 128, los
                    ranks: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row for each piece of a document.
 
-    tokenizer, ranks: see tokens.pieces. end_id follows each document's ids. Every token of a document bears loss.
+    tokenizer, ranks: see tokens.pieces. end_id follows each document's ids.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()

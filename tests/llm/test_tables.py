@@ -250,6 +250,23 @@ def test_packing_round_trip(spark, tokenizer):
     assert packing.pack_documents(d.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("least, most", [(1, 1), (3, 3), (1, 5), (2, 40)])
+def test_short_documents_are_packed_without_padding(least, most):
+    """The segment limit binds: sequences are full or end at a power of two, but for each task's last ones."""
+    rng, out = random.Random(least), []
+    packer = packing.Packer((1024, 128, 1024), lambda item, take, sequence, offset: out.append((item, take, sequence, offset)), True, 0)
+    n = [rng.randrange(least, most + 1) for _ in range(20_000)]
+    for i, x in enumerate(n):
+        packer.add(i, x, x - 1)
+    packer.finish()
+    of, seqs, loss = defaultdict(int), defaultdict(int), defaultdict(int)
+    for i, take, q, offset in out:
+        assert offset == seqs[q]
+        of[i], seqs[q], loss[q] = of[i] + take, seqs[q] + take, loss[q] + 1
+    assert [of[i] for i in range(len(n))] == n and max(loss.values()) <= 128 and max(seqs.values()) <= 1024
+    assert sum(1024 - x for x in seqs.values() if x & (x - 1)) <= 2 * 1024
+
+
 def test_examples_keep_every_limit(spark):
     rng = random.Random(5)
     data = [(i, rng.randrange(1, 600), 0) for i in range(300)] + [(1000, 5000, 1), (1001, None, None), (1002, 10, 900)]
