@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import WORD, keep
+from folioworks.llm.common import WORD, keep, new_names
 
 #: Documents of a shard, about, and shards of a source at most: a shard's documents are ordered by one task (with
 #: spilling), a source's shards are apportioned by one.
@@ -153,26 +153,27 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
     line feed between, and the last turn stops at the words taken. A document taken exactly once is unchanged.
     Rows meet their plans by id (null too), source and text; rows equal in all three share out their plans one by one.
     """
-    plan = mixed.where("size > 0").select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    of_id, of_print, size, taken, more, mine, place = new_names(docs, "_id", "_print", "_size", "_taken", "_again", "_mine", "_place")
+    plan = mixed.where("size > 0").select(F.col(id_col).alias(of_id), F.col("print").alias(of_print), F.col("size").alias(size), F.col("taken").alias(taken))
     plan = keep(plan, "mix-plan")
-    again = keep(plan.groupBy(F.col("_print").alias("_again")).count().where("count > 1").select("_again"), "mix-again")
-    mine = row_print(id_col, text_col, source_col)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (mine == F.col("_print"))
+    again = keep(plan.groupBy(F.col(of_print).alias(more)).count().where("count > 1").select(more), "mix-again")
+    own = row_print(id_col, text_col, source_col)
+    same = F.col(id_col).eqNullSafe(F.col(of_id)) & (own == F.col(of_print))
     if again.isEmpty():
-        out = docs.join(plan.where("_taken > 0"), same).drop("_print")
+        out = docs.join(plan.where(F.col(taken) > 0), same).drop(of_print)
     else:
-        once = plan.join(again, F.col("_print") == F.col("_again"), "left_anti").where("_taken > 0")
-        out = docs.join(once, same).drop("_print")
-        place = lambda of, by: F.row_number().over(Window.partitionBy(of).orderBy(by))
-        twice = plan.join(again, F.col("_print") == F.col("_again"), "left_semi").withColumn("_place", place("_print", F.desc("_taken"))).where("_taken > 0")
-        rows = docs.join(again, mine == F.col("_again"), "left_semi").withColumn("_mine", mine).withColumn("_row", place("_mine", F.lit(0)))
-        met = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_print")) & (F.col("_row") == F.col("_place"))
-        out = out.union(rows.join(twice, met).drop("_mine", "_row", "_print", "_place"))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") - whole * F.col("_size")).cast("int")
+        once = plan.join(again, F.col(of_print) == F.col(more), "left_anti").where(F.col(taken) > 0)
+        out = docs.join(once, same).drop(of_print)
+        number = lambda of, by: F.row_number().over(Window.partitionBy(of).orderBy(by))
+        twice = plan.join(again, F.col(of_print) == F.col(more), "left_semi").withColumn(place, number(of_print, F.desc(taken))).where(F.col(taken) > 0)
+        rows = docs.join(again, own == F.col(more), "left_semi").withColumn(mine, own).withColumn(more, number(mine, F.lit(0)))
+        met = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mine) == F.col(of_print)) & (F.col(more) == F.col(place))
+        out = out.union(rows.join(twice, met).drop(mine, more, of_print, place))
+    whole = F.floor(F.col(taken) / F.col(size)).cast("int")
+    rest = (F.col(taken) - whole * F.col(size)).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), 1), F.lit(1), rest), " ")
-    again = F.array_repeat(F.col(text_col), whole)
-    parts = F.when(rest > 0, F.array_append(again, head)).otherwise(again)
+    turns = F.array_repeat(F.col(text_col), whole)
+    parts = F.when(rest > 0, F.array_append(turns, head)).otherwise(turns)
     text = F.when((whole == 1) & (rest == 0), F.col(text_col)).otherwise(F.array_join(parts, "\n"))
-    out = out.withColumn(text_col, text).drop("_id", "_size", "_taken")
+    out = out.withColumn(text_col, text).drop(of_id, size, taken)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out

@@ -462,18 +462,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that are equal in both one stays. Rows without shingles all stay.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    parts = jaccard_components(docs.select(key.alias("_key"), text_col), id_col="_key", text_col=text_col, **kwargs)
+    parts = jaccard_components(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **kwargs)
     parts = parts.where("n_shingles > 0").groupBy("_key").agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
     parts = keep(parts, "jaccard-rows")
     many = parts.where(F.col("_key") != F.col("component"))
     many = many.select("_key", "component").union(many.select(F.col("component").alias("_key"), "component").distinct())
     named = docs.select(key.alias("_key"), F.col(id_col).alias("_id")).distinct().join(many, "_key")
     named = keep(named.withColumn("place", F.struct(F.col("_id").isNull(), "_id", "_key")), "jaccard-named")
-    first = named.groupBy("component").agg(F.min("place")["_key"].alias("_drop"))
-    drop = named.select(F.col("_key").alias("_drop")).join(first.select("_drop"), "_drop", "left_anti").distinct()
-    out = docs.join(keep(drop, "jaccard-drop"), key == F.col("_drop"), "left_anti")
-    again = keep(parts.where("rows > 1").select(F.col("_key").alias("_again")), "jaccard-again")
+    gone, more = new_names(docs, "_drop", "_again")
+    first = named.groupBy("component").agg(F.min("place")["_key"].alias(gone))
+    drop = named.select(F.col("_key").alias(gone)).join(first.select(gone), gone, "left_anti").distinct()
+    out = docs.join(keep(drop, "jaccard-drop"), key == F.col(gone), "left_anti")
+    again = keep(parts.where("rows > 1").select(F.col("_key").alias(more)), "jaccard-again")
+    free(parts, named)
     if again.isEmpty():
         return out
-    equal = out.join(again, key == F.col("_again"), "left_semi").withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
-    return out.join(again, key == F.col("_again"), "left_anti").union(equal)
+    equal = out.join(again, key == F.col(more), "left_semi").withColumn(more, key).dropDuplicates([more]).drop(more)
+    return out.join(again, key == F.col(more), "left_anti").union(equal)

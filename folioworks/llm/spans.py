@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import keep
+from folioworks.llm.common import keep, new_names
 
 SPAN = "struct<kind:string,start:int,end:int>"
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -41,9 +41,10 @@ def cut_out(text: str, spans, mark: str = ""):
 
 def replace_spans(docs: DataFrame, found: DataFrame, mark: str, id_col: str, text_col: str) -> DataFrame:
     """`docs` with the spans of `found` (id, print, spans) replaced; rows meet by id and the text's hash, so repeated ids may differ in text."""
-    found = found.where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("print").alias("_print"), F.col("spans").alias("_spans"))
-    found = keep(found.dropDuplicates(["_id", "_print"]), "spans-found")
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_print")), "left")
-    text = F.when(F.col("_spans").isNotNull(), cut_out(text_col, F.col("_spans"), mark)).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text).drop("_id", "_print", "_spans")
+    of_id, of_print, spans = new_names(docs, "_id", "_print", "_spans")
+    found = found.where("size(spans) > 0").select(F.col(id_col).alias(of_id), F.col("print").alias(of_print), F.col("spans").alias(spans))
+    found = keep(found.dropDuplicates([of_id, of_print]), "spans-found")
+    out = docs.join(found, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.xxhash64(text_col) == F.col(of_print)), "left")
+    text = F.when(F.col(spans).isNotNull(), cut_out(text_col, F.col(spans), mark)).otherwise(F.col(text_col))
+    out = out.withColumn(text_col, text).drop(of_id, of_print, spans)
     return out.withColumn("n_chars", F.coalesce(F.length(text_col), F.lit(0)).cast("long")) if "n_chars" in docs.columns else out

@@ -451,6 +451,25 @@ def test_rows_without_an_id_or_with_a_repeated_one_go_through_the_stages(spark):
     assert rows(kept, "doc_id", "text") == sorted([*zip(ids, texts, strict=True), (9, ""), (9, "")], key=str)
 
 
+def test_words_out_are_words_planned_and_names_do_not_clash(spark):
+    """Repeated ids with other texts, null ids and repeated rows, beside columns named as the operators' own."""
+    rng = random.Random(14)
+    names = ["_id", "_print", "_size", "_taken", "_again", "_mine", "_place", "_spans", "_drop", "_key", "_text", "ID", "size", "taken", "print", "component", "rows", "x", "y", "label"]
+    texts = [words(rng, n) for n in (10, 70, 22, 120, 50, 60, 9)]
+    data = [(i, t, s) for i, t, s in zip([1, 1, None, None, 5, 6, 7], texts, "aabbabc", strict=True)] * 2
+    d = spark.createDataFrame(data, "doc_id long, text string, source string").select("*", *(F.lit(7).alias(n) for n in names))
+    plans = mixing.mix(d, block_words=1)
+    got = mixing.take(d, plans)
+    assert got.columns == d.columns and sorted(len(r["text"].split()) for r in got.collect()) == sorted(r["taken"] for r in plans.collect() if r["taken"])
+    assert sum(len(r["text"].split()) for r in got.collect()) == plans.agg(F.sum("taken")).first()[0]
+    once = ngram_join.keep_first(d)
+    assert once.columns == d.columns and rows(once, "doc_id", "text") == sorted({(i, t) for i, t, _ in data}, key=str)
+    from folioworks.llm import pii, secret_scan
+
+    for module in (pii, secret_scan):
+        assert module.redact(d).columns == d.columns and module.redact(d).count() == len(data)
+
+
 def test_each_row_is_judged_by_its_own_text(spark, monkeypatch):
     import corpus_pipeline as pipe
 
