@@ -1,22 +1,30 @@
 """Secret scan: known forms, and a battery of randomness tests under false-discovery control.
 
 Known forms: an assignment to a secret-like name, an access key id, a long hexadecimal run. Beyond them, each long
-token that mixes letters and digits is a candidate. Its encoding is inferred from its characters, and three tests ask
-whether it looks drawn at random from that alphabet: chi-squared uniformity, runs above and below the alphabet's
-middle, and serial correlation; Fisher's method combines them. Text-like tokens get tiny p-values. Over the whole
-table, in each stratum of encoding and length, Benjamini-Hochberg decides which candidates are not random at the rate
-`rate`; short strings, which the tests tell apart less well, are thus not judged by the scale of long ones. The others
-are reported as `random`.
-
-The p-values are counted in bins by stratum, a table of bounded size, so the control sees every candidate.
-
-Defined cases: null text is empty; repeated rows are scanned each and count each; an empty table gives an empty result.
+token is a candidate; one that lies within known spans isn't. Its encoding is inferred from its characters, and three
+tests ask how well it agrees with characters drawn at random from that alphabet: chi-squared uniformity, runs above and
+below the alphabet's middle, and serial correlation; Fisher's method combines them to one figure, near 0 for text and
+anywhere from 0 to 1 for random characters.
+
+The null hypothesis is "text": each STEP characters of each document give one text-like string, its words joined to a
+length from LEAST to 10 LEAST, whose figure is taken alike. A candidate's p-value is the share of such strings of its
+encoding and length (of its length alone, where text has fewer than FEW of its encoding) that look as random as it does. In each stratum of
+encoding and length Benjamini-Hochberg then rejects at `rate`, and the rejected are reported as `random`: so of the
+reports about that share at most is text. Short strings, which the tests tell apart less well, need a random look that
+text of their length hardly ever has.
+
+Figures are counted in bins by stratum, tables of bounded size, so the control sees every candidate and all documents.
+
+Defined cases: null text is empty; repeated rows are scanned each and count each; a table without text-like strings
+reports no `random` span; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +39,10 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a candidate at least, and of text for each text-like string.
+LEAST, STEP = 16, 800
+TOKEN = re.compile(f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}")
+_TEXT_WORD = re.compile(r"[A-Za-z]{1,15}|[0-9]{1,4}")
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the narrowest to the widest, by alphabet.
 ALPHABETS = (
@@ -41,8 +52,10 @@ ALPHABETS = (
 )
 _SETS = [frozenset(a) for _, a in ALPHABETS]
 _PLACES = [{c: i for i, c in enumerate(a)} for _, a in ALPHABETS]
-#: Lengths from which a new stratum begins, and bins of a p-value's logarithm to base 10.
+#: Lengths from which a new stratum begins, and bins of a figure's logarithm to base 10.
 LENGTHS, BIN, MOST_BIN = (20, 28, 40, 64, 128), 20, 400
+#: Text-like strings that a stratum needs for a null of its own.
+FEW = 1000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,7 +74,7 @@ def _chi_tail(x: float, k: int) -> float:
 
 
 def randomness(token: str) -> tuple[int, float]:
-    """(stratum, p-value of `the characters are drawn at random from the token's alphabet`)."""
+    """(stratum, combined p-value of `the characters are drawn at random from the token's alphabet`); a stratum is 10 times the encoding plus the length class."""
     body = token.rstrip("=").replace("=", "")
     kind = next(i for i, s in enumerate(_SETS) if s.issuperset(body))
     size, n = len(ALPHABETS[kind][1]), len(body)
@@ -86,53 +99,86 @@ def randomness(token: str) -> tuple[int, float]:
     return kind * 10 + length, p
 
 
-def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, int, float]]:
-    """(start, end, stratum, p) of each token that mixes letters and digits and touches no known span."""
+def bin_of(p: float) -> int:
+    return min(int(-math.log10(max(p, 1e-300)) * BIN), MOST_BIN)
+
+
+def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, stratum, bin) of each long token that isn't within known spans."""
     out = []
+    spans = sorted((a, b) for _, a, b in known)
     for m in TOKEN.finditer(text):
-        token = m.group()
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and not any(a < m.end() and m.start() < b for _, a, b in known):
-            out.append((m.start(), m.end(), *randomness(token)))
+        at = m.start()
+        for a, b in spans:
+            if a <= at < b:
+                at = b
+        if at < m.end() and m.group().rstrip("="):
+            stratum, p = randomness(m.group())
+            out.append((m.start(), m.end(), stratum, bin_of(p)))
+    return out
+
+
+def text_like(text: str) -> list[tuple[int, int]]:
+    """(stratum, bin) of strings made of the text's own words, one for each STEP characters."""
+    out = []
+    for at in range(0, len(text), STEP):
+        mark = zlib.crc32(text[at : at + 40].encode("utf-8", "surrogatepass"))
+        size, sep = int(LEAST * 10 ** (mark % 997 / 997)), ("", "", "-", "_", "/")[mark % 5]
+        words = [w for w in (x.strip(".,;:!?()\"'") for x in text[at : at + 3 * size + 40].split()[1:-1]) if _TEXT_WORD.fullmatch(w)]
+        token = sep.join(words)[:size]
+        if len(token) >= LEAST:
+            stratum, p = randomness(token)
+            out.append((stratum, bin_of(p)))
     return out
 
 
-_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("p", pa.float64())]))
+_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32())]))
+_LIKE = pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32())]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, more = [], []
+        base, more, like = [], [], []
         for text in batch.column(1):
             text = text.as_py() or ""
             known = base_spans(text)
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in known])
-            more.append([{"start": a, "end": b, "stratum": s, "p": p} for a, b, s, p in candidates(text, known)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, SPANS), pa.array(more, _CANDIDATES)], ["id", "print", "base", "more"])
+            more.append([{"start": a, "end": b, "stratum": s, "bin": x} for a, b, s, x in candidates(text, known)])
+            like.append([{"stratum": s, "bin": x} for s, x in text_like(text)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, SPANS), pa.array(more, _CANDIDATES), pa.array(like, _LIKE)], ["id", "print", "base", "more", "like"])
 
 
-def thresholds(bins: list[tuple[int, int, int]], rate: float) -> dict[int, float]:
-    """stratum -> largest p-value that Benjamini-Hochberg rejects at `rate`, from (stratum, bin, count); bin b holds p up to 10 ** (-b / BIN)."""
+def last_bins(found: Counter, like: Counter, rate: float) -> dict[int, int]:
+    """stratum -> the last bin (the least random look) that Benjamini-Hochberg rejects at `rate`; found, like: (stratum, bin) -> count of candidates, of text-like strings."""
+    by_length: Counter = Counter()
+    for (stratum, x), n in like.items():
+        by_length[stratum % 10, x] += n
     out = {}
-    for stratum in {s for s, _, _ in bins}:
-        own = sorted(((b, n) for s, b, n in bins if s == stratum), reverse=True)
-        total, below = sum(n for _, n in own), 0
-        for b, n in own:
-            below += n
-            if (p := 10 ** (-b / BIN)) <= rate * below / total:
-                out[stratum] = p
+    for stratum in {s for s, _ in found}:
+        null = {x: n for (s, x), n in like.items() if s == stratum}
+        if sum(null.values()) < FEW:
+            null = {x: n for (length, x), n in by_length.items() if length == stratum % 10}
+        total, all_null, below, null_below = sum(n for (s, _), n in found.items() if s == stratum), sum(null.values()), 0, 0
+        for x in range(MOST_BIN + 1):
+            below, null_below = below + found.get((stratum, x), 0), null_below + null.get(x, 0)
+            if (1 + null_below) / (1 + all_null) <= rate * below / total:
+                out[stratum] = x
     return out
 
 
 def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, print, base, spans) for each row: the text's hash, spans of known forms, and all spans with the `random` ones, in order."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    kind = docs.schema["id"].dataType.simpleString()
-    found = keep(docs.mapInArrow(_scan, f"id {kind}, print long, base array<{SPAN}>, more array<struct<start:int,end:int,stratum:int,p:double>>"), "secret-candidates")
-    each = found.select(F.explode("more").alias("c")).select("c.stratum", F.least(F.floor(-F.log10(F.greatest("c.p", F.lit(1e-300))) * BIN), F.lit(MOST_BIN)).alias("bin"))
-    bins = each.groupBy("stratum", "bin").agg(F.count("*").alias("n")).collect()  # strata times bins at most
-    limits = thresholds([tuple(r) for r in bins], rate)
-    table = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)) if limits else F.create_map(F.lit(-1), F.lit(0.0))
-    random = F.filter("more", lambda c: c["p"] > F.coalesce(F.try_element_at(table, c["stratum"]), F.lit(0.0)))
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, print long, base array<{SPAN}>"
+    kind += ", more array<struct<start:int,end:int,stratum:int,bin:int>>, like array<struct<stratum:int,bin:int>>"
+    found = keep(docs.mapInArrow(_scan, kind), "secret-candidates")
+    each = found.select(F.lit(True).alias("found"), F.explode("more").alias("c")).select("found", "c.stratum", "c.bin")
+    each = each.union(found.select(F.lit(False), F.explode("like").alias("c")).select(F.lit(False), "c.stratum", "c.bin"))
+    counts = each.groupBy("found", "stratum", "bin").agg(F.count("*").alias("n")).collect()  # strata times bins at most
+    of = lambda which: Counter({(r["stratum"], r["bin"]): r["n"] for r in counts if r["found"] == which})
+    last = last_bins(of(True), of(False), rate)
+    table = F.create_map(*(F.lit(x) for pair in (last or {-1: -1}).items() for x in pair))
+    random = F.filter("more", lambda c: c["bin"] <= F.coalesce(F.try_element_at(table, c["stratum"]), F.lit(-1)))
     random = F.transform(random, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     base = in_order("base", KINDS)
     return found.select(F.col("id").alias(id_col), "print", base.alias("base"), F.concat(base, random).alias("all")).select(
