@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import keep
+from folioworks.llm.common import free, keep
 from folioworks.llm.wordhash import slices, words
 
 STATISTICS = ("letters", "capitals", "digits", "spaces", "marks", "symbols", "wide", "lines", "word_length", "word_spread", "distinct", "pair_distinct",
@@ -182,27 +182,61 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(batch.column(1)).astype(np.float32)
         rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(STATISTICS)), pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(2)], ["id", "x", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), rows], ["id", "x"])
+
+
+def _fold(folds: int) -> F.Column:
+    return F.crc32(F.col("id").cast("string").cast("binary")) % folds
+
+
+def _learn(measured: DataFrame, labels: DataFrame, held_out_fold: int, folds: int, curve_fold: int, id_col: str, label_col: str, **fitting) -> Model:
+    """A model from the labelled rows of `measured` (id, x) outside the held-out fold."""
+    labels = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("y")).where("id_ is not null and y is not null")
+    labelled = measured.withColumn("fold", _fold(folds)).where(F.col("fold") != held_out_fold).join(labels, F.col("id") == F.col("id_"))
+    labelled = keep(labelled.select("x", "y", (F.col("fold") != curve_fold).alias("fits")), "quality-labelled")
+    model = fit(labelled, **fitting)
+    free(labelled)
+    return model
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return keep(docs.mapInArrow(_measure, f"id {docs.schema['id'].dataType.simpleString()}, x array<float>"), "quality-measured")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_fold: int = 2, folds: int = 4, curve_fold: int = 3,
-                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", with_print: bool = False, **fitting) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
     """(id, held_out, score, predicted) for each row of `docs`.
 
     A row's fold is crc32(id as text) mod `folds`. Labels of `held_out_fold` are never read, those of `curve_fold`
-    calibrate, the others fit. with_print: a last column `print`, the text's hash, tells rows of one id apart.
+    calibrate, the others fit.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
-    measured = keep(docs.mapInArrow(_measure, f"id {docs.schema['id'].dataType.simpleString()}, x array<float>, print long"), "quality-measured")
-    fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds
-    labels = labels.select(F.col(id_col).alias("id_"), F.col(label_col).cast("double").alias("y")).where("id_ is not null and y is not null")
-    labelled = measured.withColumn("fold", fold).where(F.col("fold") != held_out_fold).join(labels, F.col("id") == F.col("id_"))
-    model = fit(keep(labelled.select("x", "y", (F.col("fold") != curve_fold).alias("fits")), "quality-labelled"), **fitting)
+    measured = _measured(docs, id_col, text_col)
+    model = _learn(measured, labels, held_out_fold, folds, curve_fold, id_col, label_col, **fitting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["id", "score"])
+
+    scored = measured.mapInArrow(run, f"id {measured.schema['id'].dataType.simpleString()}, score double")
+    out = F.coalesce(_fold(folds) == held_out_fold, F.lit(False))
+    return scored.select(F.col("id").alias(id_col), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out_fold: int = 2, folds: int = 4, curve_fold: int = 3,
+              id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **fitting) -> DataFrame:
+    """The rows of `docs` whose score reaches `threshold`, with all columns.
+
+    Each row is judged where it is read, by its own text, so rows with null or repeated ids need no care and no text is
+    shuffled; the fit has read the statistics before.
+    """
+    measured = _measured(docs, id_col, text_col)
+    model = _learn(measured, labels, held_out_fold, folds, curve_fold, id_col, label_col, **fitting)
+    free(measured)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1)))), batch.column(2)], ["id", "score", "print"])
+            good = model.score(statistics(batch.column(text_col)).astype(np.float32).astype(float)) >= threshold
+            yield batch.filter(pa.array(good))
 
-    scored = measured.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double, print long")
-    out = F.coalesce(fold == held_out_fold, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["print"] if with_print else []))
+    return docs.mapInArrow(run, docs.schema)

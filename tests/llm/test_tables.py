@@ -298,6 +298,7 @@ def test_quality_on_held_out_rows(spark, sf):
     d, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     out = quality.score_documents(d, labels)
     assert rows(out, "doc_id", "held_out") == sorted(((r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in d.collect()), key=str)
+    assert rows(quality.keep_good(d, labels)) == rows(d.join(out.where("predicted = 1"), "doc_id", "left_semi"))
     held = out.where("held_out").join(labels, "doc_id").collect()
     assert np.mean([(r["predicted"] == r["quality"]) for r in held]) >= 0.9 and all(0 <= r["score"] <= 1 for r in held)
     flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -475,10 +476,12 @@ def test_each_row_is_judged_by_its_own_text(spark, monkeypatch):
 
     d = spark.createDataFrame([(i, t, "en", "a", 0, None, 7, 1) for i, t in ((None, "bad x"), (None, "good x"), (1, "bad y"), (1, "good y"), (2, "good z"))], DOC)
 
-    def scores(docs, labels, with_print=False):
-        return docs.select("doc_id", F.startswith("text", F.lit("good")).cast("int").alias("predicted"), *([F.xxhash64("text").alias("print")] if with_print else []))
+    class Model:
+        def score(self, x):
+            return (x[:, quality.STATISTICS.index("digits")] == 0).astype(float)
 
-    monkeypatch.setattr(pipe.quality, "score_documents", scores)
+    monkeypatch.setattr(pipe.quality, "fit", lambda labelled, **_: Model())
+    d = d.withColumn("text", F.replace("text", F.lit("bad"), F.lit("bad 1")))
     assert rows(pipe.good_quality(spark, d, "/root/testdata/sf0.001"), "doc_id", "text") == sorted([(None, "good x"), (1, "good y"), (2, "good z")], key=str)
 
 
