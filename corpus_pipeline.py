@@ -6,7 +6,6 @@ quality classifier -> n-gram Jaccard join -> secret scans -> mixing sources to t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioworks.llm import mixing, ngram_join, packing, quality, secret_scan
 from folioworks.llm.common import keep, table
@@ -16,30 +15,39 @@ ORACLE_SQL = None
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels, doesn't reject. Each row is judged by its own text, whatever its id."""
-    scored = quality.score_documents(docs, table(spark, sf_dir, "labels"), with_print=True)
-    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
-    return docs.join(keep(rejected, "rejected"), same, "left_anti").select(docs.columns)
+    """Documents that the classifier, trained on the labels, doesn't reject. Each row is judged by its own text, whatever its id.
+
+    Null, empty and blank texts are scored by their statistics as any others are, very long ones by the whole text;
+    repeated rows are judged alike; no columns of the table clash, since each row passes through whole.
+    """
+    return quality.keep_good(docs, table(spark, sf_dir, "labels")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more. Rows of one id count one by one."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    The smallest id stays, null last, ties by a hash of id and text. Rows with one id or none count one by one; of rows
+    that are equal in id and text one stays. Null, empty and blank texts are near copies of nothing and all stay.
+    """
     return ngram_join.keep_first(docs, words=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by [SECRET]."""
+    """All documents, with secrets replaced by [SECRET]; n_chars follows. Null and empty texts stay as they are; repeated rows are treated alike."""
     return secret_scan.redact(docs).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's corpus: each document's text is what the mix takes of it."""
+    """The mix's corpus: each document's text is what the mix takes of it; n_chars follows.
+
+    Null, empty and blank texts hold no words and are left out; a null source is a source of its own; rows are planned
+    one by one, repeated and null ids included, so the words out are the words planned.
+    """
     return mixing.take(docs, mixing.mix(docs)).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 1024 tokens."""
+    """The pieces of the documents and their places in sequences of 1024 tokens. A null text is empty and has its end id alone; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 
