@@ -186,7 +186,7 @@ def test_nn_descent_matches_brute_force(spark):
     data = [v.tolist() for v in x] + [None, [0.0] * 16, [float("inf")] * 16, [1.0] * 3, [1.0] * 3, []]
     label += [1, 1, 1, 2, 2, 2]
     f = vectors(spark, data, label)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in nn_descent.near_duplicates(f.repartition(4), k=6, orders=3, window=128).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in nn_descent.near_duplicates(f.repartition(4), k=6, orders=3, window=128, recall=1.0, audit=10_000).collect()}
     u, links = Union(), defaultdict(int)
     ok = [i for i, v in enumerate(data) if v and np.isfinite(v).all() and any(v) and label[i] is not None]
     for a in ok:
@@ -197,12 +197,33 @@ def test_nn_descent_matches_brute_force(spark):
                     u.join(a, b)
                     links[a] += 1
                     links[b] += 1
-    wrong = [i for i in range(len(data)) if got[i] != (links[i], u.find(i), u.find(i) == i)]
-    assert len(wrong) <= 0.02 * len(data), wrong  # the graph may miss a lone pair; crowds and copies are exact
-    assert all(got[i][0] == links[i] for i in range(300, 390)) and got[len(data) - 2][0] == 1
+    # The audit meets every vector here and asks for all links, so nothing may be missing.
+    assert not [i for i in range(len(data)) if got[i] != (links[i], u.find(i), u.find(i) == i)]
     assert nn_descent.near_duplicates(f.limit(0)).isEmpty()
 
 
+def test_a_low_recall_is_no_result(spark, monkeypatch):
+    f = vectors(spark, [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0]])
+    monkeypatch.setattr(nn_descent, "_audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall is 0.5"):
+        nn_descent.near_duplicates(f, rounds=1, most_turns=2)
+
+
+def test_the_audit_counts_vectors_not_links(spark):
+    """A crowd within one component and a lone pair apart: half of the linked vectors' links are there, seen by vector 10 of 12."""
+    x = [[1.0, 0.001 * i] for i in range(10)] + [[0.0, 1.0], [0.001, 1.0]]
+    base = spark.createDataFrame([("a", i, v) for i, v in enumerate(x)], "g string, id long, x array<double>")
+    parts = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
+    assert abs(nn_descent._audit(base, parts, 100, 0.98) - 10 / 12) < 1e-9
+
+
+def test_doubles_stay_doubles_and_repeated_ids_count(spark):
+    tiny = [[1e-300, 1e-305], [1e-300, 0.0], [0.0, 1e-310], None]
+    f = spark.createDataFrame([(i, v, 1) for i, v in enumerate(tiny)] + [(0, tiny[0], 1), (None, tiny[0], 1)], "vec_id long, embedding array<double>, label int")
+    got = rows(nn_descent.near_duplicates(f), "vec_id", "n_links", "component_id")
+    assert got == sorted([(0, 2, 0), (0, 2, 0), (1, 2, 0), (2, 0, 2), (3, 0, 3), (None, 0, None)], key=str)
+
+
 # Packing -------------------------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
