@@ -7,13 +7,14 @@ gives an upper bound of the score. Candidates are scored in the order of their b
 the query's k-th best score so far.
 
 Candidates form blocks of about `block_rows` near one pivot (a crowded pivot's candidates are dealt over several
-blocks), queries form blocks too, and each pair of blocks is one row of a join by both block numbers: memory is two
-blocks, and every task's share is alike. Each query starts from its k-th best score in a bounded sample, so most blocks
-stop early.
+blocks), and so do queries. Each query starts from its k-th best score in a bounded sample. A block knows its least and
+greatest distance to each pivot, which bounds all distances between two blocks; pairs of blocks that can't reach the
+least of their queries' scores are gone before any vector is shuffled. Each other pair is one row of a join: memory is
+two blocks, and every task's share is alike.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
 padded with zeros; ties go to the smaller id; fewer than k candidates give fewer rows; a query never meets rows with
-its own id, and a repeated query row is answered once; scores beyond 64 bits are held at their limits. An empty table
+its own id; of query rows with one id the one with the least vector is answered; candidate rows with one id count each; scores beyond 64 bits are held at their limits. An empty table
 gives an empty result.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioworks.llm.common import keep, some_rows
+from folioworks.llm.common import free, keep, some_rows
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -100,18 +101,22 @@ def top_of_block(q: np.ndarray, q_id: int, near: np.ndarray, q_near: np.ndarray,
 
 
 def _blocks(pivots: Pivots, dim: int, query: bool, sample: tuple[np.ndarray, np.ndarray] | None, k: int):
+    """A block's row: its vectors, and what bounds it: lo, hi by pivot, the least of its queries' scores so far (floor), its longest query (square)."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         v = _matrix(rows["v"].tolist(), dim)
         points = np.column_stack([v.astype(float), np.zeros(len(v))]) if query else pivots.lift(v)
-        ids = rows["id"].to_numpy(np.int64)
+        ids, near = rows["id"].to_numpy(np.int64), pivots.distances(points)
         least = np.full(len(v), -np.inf)
         if query:
             for i in range(len(v)):
                 s = products(sample[1], v[i])[sample[0] != ids[i]]
                 if len(s) >= k:
                     least[i] = np.partition(s, len(s) - k)[len(s) - k]
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "ids": [ids.tobytes()], "m": [v.tobytes()], "near": [pivots.distances(points).tobytes()], "least": [least.tobytes()]})
+        square = float((v.astype(float) ** 2).sum(axis=1).max())
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "ids": [ids.tobytes()], "m": [v.tobytes()], "near": [near.tobytes()], "least": [least.tobytes()],
+                             "lo": [near.min(axis=0)], "hi": [near.max(axis=0)], "floor": [least.min()], "square": [square]})
 
     return run
 
@@ -145,7 +150,8 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: i
     """
     spark = candidates.sparkSession
     x = keep(integer_vectors(candidates, scale, id_col, vector_col), "topk-vectors")
-    q = keep(integer_vectors(queries, scale, id_col, vector_col).dropDuplicates(["id", "v"]), "topk-queries")
+    q = integer_vectors(queries, scale, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    q = keep(q, "topk-queries")
     square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
     one = x.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(square).alias("most")).first()
     two = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
@@ -157,28 +163,45 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: i
     sample = np.array([r["id"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim)
     table = Pivots(sample[1], one["most"], pivots)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = _matrix(batch.column(1).to_pylist(), dim)
-            cell = table.distances(table.lift(v)).argmin(axis=1) if len(v) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["id", "v", "cell"])
-
-    placed = keep(x.mapInArrow(nearest, "id long, v array<long>, cell int"), "topk-placed")
-    counts = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row for each pivot
-    first, shares, at = {}, {}, 0
-    for cell, n in counts:
-        first[cell], shares[cell] = at, -(-n // block_rows)
-        at += shares[cell]
-    lookup = lambda d: F.element_at(F.create_map(*(F.lit(v) for pair in d.items() for v in pair)), F.col("cell"))
-    block = lookup(first) + F.pmod(F.xxhash64("id"), lookup(shares))
-    n_query = -(-two["n"] // query_rows)
-    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    kind = "block long, ids binary, m binary, near binary, least binary"
-    xs = placed.select(block.cast("long").alias("block"), "id", "v").groupBy("block").applyInPandas(_blocks(table, dim, False, None, k), kind)
-    qs = q.select(F.pmod(F.xxhash64("id"), F.lit(n_query)).cast("long").alias("block"), "id", "v")
-    qs = keep(qs.groupBy("block").applyInPandas(_blocks(table, dim, True, sample, k), kind), "topk-query-blocks")
-    xs = keep(xs, "topk-blocks").select(F.col("block").alias("b"), numbers(n_query).alias("a"), F.col("ids").alias("xi"), F.col("m").alias("xm"), F.col("near").alias("xn"))
-    qs = qs.select(F.col("block").alias("a"), numbers(at).alias("b"), F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("near").alias("qn"), "least")
-    met = xs.join(qs, ["a", "b"]).select("qi", "qm", "qn", "least", "xi", "xm", "xn").mapInArrow(_meet(table, dim, k), "query_id long, vec_id long, score long")
+    def nearest(query: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                v = _matrix(batch.column(1).to_pylist(), dim)
+                points = np.column_stack([v.astype(float), np.zeros(len(v))]) if query else table.lift(v)
+                cell = table.distances(points).argmin(axis=1) if len(v) else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["id", "v", "cell"])
+
+        return run
+
+    kind = "block long, ids binary, m binary, near binary, least binary, lo array<double>, hi array<double>, floor double, square double"
+
+    def blocks(rows: DataFrame, query: bool, size: int) -> DataFrame:
+        """Rows in blocks near a pivot; a crowded pivot's rows are dealt over several. A kept table."""
+        placed = keep(rows.mapInArrow(nearest(query), "id long, v array<long>, cell int"), "topk-placed")
+        counts = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row for each pivot
+        first, shares, at = {}, {}, 0
+        for cell, n in counts:
+            first[cell], shares[cell] = at, -(-n // size)
+            at += shares[cell]
+        lookup = lambda d: F.element_at(F.create_map(*(F.lit(v) for pair in d.items() for v in pair)), F.col("cell"))
+        block = lookup(first) + F.pmod(F.xxhash64("id"), lookup(shares))
+        out = placed.select(block.cast("long").alias("block"), "id", "v").groupBy("block").applyInPandas(_blocks(table, dim, query, sample, k), kind)
+        out = keep(out, "topk-blocks")
+        free(placed)
+        return out
+
+    xs, qs = blocks(x, False, block_rows), blocks(q, True, query_rows)
+    free(x, q)
+    # The bounds of each pair of blocks, without their vectors (see top_of_block for the slack).
+    last = qs.agg(F.max("block")).first()[0]
+    xb = xs.select(F.col("block").alias("b"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("a"))
+    bounds = xb.join(qs.select(F.col("block").alias("a"), "lo", "hi", "floor", "square"), "a")
+    apart = F.array_max(F.zip_with(F.zip_with("xlo", "hi", lambda p, r: p - r), F.zip_with("lo", "xhi", lambda p, r: p - r), lambda p, r: F.greatest(p, r)))
+    most = F.lit(float(one["most"]))
+    near = F.greatest(apart - 1e-6 * (1 + F.sqrt(F.col("square") + most)), F.lit(0.0))
+    met = keep(bounds.where((F.col("square") + most - near * near) / 2 + 1 >= F.col("floor")).select("a", "b"), "topk-pairs")
+    of_x = xs.select(F.col("block").alias("b"), F.col("ids").alias("xi"), F.col("m").alias("xm"), F.col("near").alias("xn"))
+    of_q = qs.select(F.col("block").alias("a"), F.col("ids").alias("qi"), F.col("m").alias("qm"), F.col("near").alias("qn"), "least")
+    met = met.join(of_x, "b").join(of_q, "a").select("qi", "qm", "qn", "least", "xi", "xm", "xn").mapInArrow(_meet(table, dim, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -155,6 +155,34 @@ def test_topk_matches_brute_force(spark):
     assert topk_search.exact_top_k(f.limit(0), f).isEmpty() and topk_search.exact_top_k(f.where("vec_id = 3"), f.where("vec_id = 3")).isEmpty()
 
 
+def test_topk_with_repeated_ids_and_ties(spark):
+    f = vectors(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 1.0]])
+    twice = f.union(spark.createDataFrame([(0, [0.0, 2.0], 1, "x"), (2, [1.0, 1.0], 1, "x"), (None, [5.0, 5.0], 1, "x")], f.schema))
+    got = rows(topk_search.exact_top_k(twice, twice.where("vec_id = 0 or vec_id = 2"), k=3), "query_id", "rank", "vec_id", "score")
+    one = 1024 * 1024
+    # Query 0 is answered by its least vector (0, 2); both rows of id 2 are candidates; ties go to the smaller id.
+    assert got == sorted([(0, 1, 1, 2 * one), (0, 2, 2, 2 * one), (0, 3, 2, 2 * one), (2, 1, 0, 2 * one), (2, 2, 3, 2 * one), (2, 3, 0, one)], key=str)
+
+
+def test_blocks_out_of_reach_are_not_met(spark, monkeypatch):
+    """Two far clusters: blocks of the other cluster are gone before vectors are joined, and the result is whole."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.01, (300, 8)) + 1, rng.normal(0, 0.01, (300, 8)) - 1]).astype(np.float32)
+    f = vectors(spark, [v.tolist() for v in x])
+    kept = {}
+    real = topk_search.keep
+    monkeypatch.setattr(topk_search, "keep", lambda df, name: kept.setdefault(name, []).append(real(df, name)) or kept[name][-1])
+    monkeypatch.setattr(topk_search, "free", lambda *_: None)
+    out = topk_search.exact_top_k(f, f.where("vec_id < 40"), k=5, block_rows=50, query_rows=20, sample_rows=200, pivots=4).collect()
+    candidates, queries = (t.count() for t in kept["topk-blocks"])
+    assert kept["topk-pairs"][0].count() <= 0.6 * candidates * queries
+    v = np.floor(1024 * x.astype(float)).astype(np.int64)
+    for q in range(40):
+        s = v @ v[q]
+        want = sorted((-int(s[i]), i) for i in range(len(v)) if i != q)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q) == [(n + 1, i, -w) for n, (w, i) in enumerate(want)]
+
+
 def test_bounds_stop_early():
     """Near candidates are found without scoring the far ones."""
     rng = np.random.default_rng(2)
