@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioworks.functions.text import col, extract, norm_ws, strip
+from folioworks.functions.text import col, extract, norm_ws, once, strip
 
 TABLEAU, SECTION, FEUILLE = "tableau_assemblage", "section", "feuille"
-# The open-data table's kinds of map.
-KINDS_71 = {"Tableau d'assemblage": TABLEAU, "Section": SECTION, "Feuille": FEUILLE}
 # Patterns of titles.
 PLANS = r"plan|atlas|cadastr|tableau\s+d['e ]assemblage|assemblage|\bsection\b"
 NO_PLANS = (r"matric|mutation|\b[ée]tats?\b|registre|répertoire|repertoire|\btable\b|classement|arpentage|proc[èe]s|délimitation|delimitation|"
@@ -24,7 +22,10 @@ def _int(x: Column) -> Column:
 
 def classify(title, profile: str) -> Column:
     """struct(type, section_lettre, feuille_num) of a title; profiles differ on purpose."""
-    t = norm_ws(F.coalesce(col(title), F.lit("")))
+    return once(norm_ws(F.coalesce(col(title), F.lit(""))), lambda t: _classify(t, profile))
+
+
+def _classify(t: Column, profile: str) -> Column:
     none, no_num = F.lit(None).cast("string"), F.lit(None).cast("int")
     row = lambda kind, letter=none, num=no_num: F.struct(F.lit(kind).alias("type"), letter.alias("section_lettre"), num.alias("feuille_num"))
     if profile == "finding_aid":
@@ -89,7 +90,7 @@ def parse_manifest_label(label, dates, separators: str = "•·|") -> Column:
     parts = F.filter(F.transform(F.split(norm_ws(F.coalesce(col(label), F.lit(""))), f"[{separators}]"), lambda p: strip(p)), lambda p: p != "")
     has_ident = (F.size(parts) >= 2) & ~F.contains(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.lit(":"))
     ident = F.when(has_ident, F.get(parts, F.lit(0)))
-    rest = F.when(has_ident, F.slice(parts, 2, 1000)).otherwise(parts)
+    rest = F.when(has_ident, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
     years = F.filter(rest, lambda p: p.rlike(r"^1[6-9]\d\d$"))
     title = F.get(F.filter(rest, lambda p: ~p.rlike(r"^1[6-9]\d\d$")), F.lit(0))
     title = F.when(F.contains(title, F.lit(":")), strip(F.regexp_extract(title, r"(?s)^[^:]*:(.*)$", 1))).otherwise(title)

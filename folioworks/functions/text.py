@@ -25,8 +25,14 @@ def strip(x, chars: str = r"\s") -> Column:
     return F.regexp_replace(col(x), f"(?U)^[{chars}]+|[{chars}]+$", "")
 
 
+def once(x: Column, f) -> Column:
+    """f of the value of `x`, which is worked out once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def norm_ws(x) -> Column:
-    return strip(F.regexp_replace(col(x), r"(?U)\s+", " "))
+    """White space runs as one space, none at the ends."""
+    return F.trim(F.regexp_replace(col(x), r"(?U)\s+", " "))
 
 
 def _folding() -> tuple[str, str]:
@@ -48,7 +54,7 @@ def fold_accents(x) -> Column:
 
 def key_spaced(x, curly: bool = False) -> Column:
     """Comparison key: lower case, no accents; spaces, hyphens and apostrophes become one space."""
-    return strip(F.regexp_replace(fold_accents(F.lower(col(x))), "(?U)[\\s\\-'" + ("’" if curly else "") + "]+", " "))
+    return F.trim(F.regexp_replace(fold_accents(F.lower(col(x))), "(?U)[\\s\\-'" + ("’" if curly else "") + "]+", " "))
 
 
 def key_compact(x) -> Column:
@@ -64,19 +70,24 @@ def clean_commune_listed(x) -> Column:
 
 def clean_commune_paren(x, places: list[str]) -> Column:
     """`Old (Current, Department, Country)` -> the first part in brackets that names no department or country, else the head; then the text after the last slash."""
-    n = strip(F.regexp_replace(norm_ws(x), r"\.+$", ""))
-    head, inside = extract(n, r"^(.*?)\s*\((.*)\)\s*$", 1), F.regexp_extract(n, r"^(.*?)\s*\((.*)\)\s*$", 2)
     known = F.array(*(F.lit(p.lower()) for p in [*places, "france"]))
-    parts = F.filter(F.transform(F.split(inside, ","), lambda p: strip(p)), lambda p: (p != "") & ~F.array_contains(known, F.lower(p)))
-    bracketed = n.rlike(r"^(.*?)\s*\((.*)\)\s*$")
-    n = F.when(bracketed, F.coalesce(F.get(parts, F.lit(0)), head, F.lit(""))).otherwise(n)
-    return strip(F.element_at(F.split(n, "/"), -1))
+
+    def named(n: Column) -> Column:
+        # White space is single spaces by now, so plain string functions do.
+        at = F.instr(n, "(")
+        inside = F.substr(n, at + 1, F.length(n) - at - 1)
+        parts = F.filter(F.transform(F.split(inside, ","), lambda p: F.trim(p)), lambda p: (p != "") & ~F.array_contains(known, F.lower(p)))
+        head = F.rtrim(F.substr(n, F.lit(1), at - 1))
+        return F.when((at > 0) & F.endswith(n, F.lit(")")), F.coalesce(F.get(parts, F.lit(0)), head)).otherwise(n)
+
+    bare = F.trim(F.rtrim(norm_ws(x), F.lit(".")))
+    return F.trim(F.element_at(F.split(once(bare, named), "/"), -1))
 
 
 def clean_commune_slash(x) -> Column:
     """`Old / Current (note).` -> `Current`."""
-    n = strip(F.regexp_replace(norm_ws(x), r"\.+$", ""))
-    return strip(F.element_at(F.split(F.regexp_replace(n, r"(?U)\s*\(.*?\)\s*$", ""), "/"), -1))
+    n = F.trim(F.rtrim(norm_ws(x), F.lit(".")))
+    return F.trim(F.element_at(F.split(F.regexp_replace(n, r"\s*\(.*?\)\s*$", ""), "/"), -1))
 
 
 def reorder_article(x) -> Column:

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import parse as P
 from folioworks.functions import text as T
+from folioworks.operators.shared import numbered
 from folioworks.operators.stats import document_order, region_dim
 
 
 def order_documents(docs: DataFrame) -> DataFrame:
-    return docs.orderBy("type", F.asc_nulls_first("section_lettre"), F.asc_nulls_first("feuille_num"), "ingest_rank")
+    """`docs` with `place` within the commune: by type, section and sheet."""
+    order = Window.partitionBy("insee").orderBy("type", F.asc_nulls_first("section_lettre"), F.asc_nulls_first("feuille_num"), "ingest_rank")
+    return docs.withColumn("place", F.row_number().over(order))
 
 
 def sort_keys(mode: str) -> list[Column]:
-    """Sort keys of documents: type, year_asc, year_desc or cote; names sort by their letters without accents."""
+    """Sort keys of documents: type, year_asc, year_desc, cote or commune; names sort by their letters without accents."""
     name = T.fold_accents(F.lower("nom"))
+    if mode == "commune":
+        return [name]
     year = F.when(F.col("annee") != 0, F.col("annee"))
     if mode == "type":
         rank = F.when(F.col("type") == P.TABLEAU, 0).when(F.col("type") == P.SECTION, 1).when(F.col("type") == P.FEUILLE, 2).otherwise(9)
@@ -31,7 +36,8 @@ def sort_keys(mode: str) -> list[Column]:
 
 
 def sort_documents(docs: DataFrame, mode: str) -> DataFrame:
-    return docs.orderBy(*sort_keys(mode), "ingest_rank")
+    """`docs` with `place` in the order of `mode` over all of them."""
+    return numbered(docs, [*sort_keys(mode), F.col("ingest_rank")])
 
 
 def order_communes(docs: DataFrame, mode: str) -> DataFrame:
@@ -39,7 +45,7 @@ def order_communes(docs: DataFrame, mode: str) -> DataFrame:
     per = docs.groupBy("insee").agg(F.min_by("nom", "ingest_rank").alias("nom"), F.min_by("annee", document_order()).alias("annee"))
     name = T.fold_accents(F.lower("nom"))
     keys = {"name": [name], "year_asc": [F.coalesce("annee", F.lit(9999)), name], "year_desc": [-F.coalesce("annee", F.lit(-1)), name]}[mode]
-    return per.withColumn("place", F.row_number().over(Window.orderBy(*keys, "insee")))
+    return numbered(per, [*keys, F.col("insee")])
 
 
 def facet_filter(docs: DataFrame, kind: str | None = None, decade: int | None = None, iiif: bool = False, georef: bool = False) -> DataFrame:
@@ -64,12 +70,13 @@ def viewport_topk(communes: DataFrame, documented: DataFrame, bounds: tuple[floa
     if zoom < least_zoom:
         communes = communes.limit(0)
     seen = communes.where(P.in_viewport("lon", "lat", *bounds)).join(documented.select("insee").distinct(), "insee", "left_semi")
-    name = Window.orderBy(T.fold_accents(F.lower("nom")), "insee")
-    # The running row number stops at k in each task; the total is a count of its own.
+    name = [T.fold_accents(F.lower("nom")), F.col("insee")]
     total = seen.agg(F.count("*").alias("total"))
-    chosen = F.coalesce(F.col("insee") == F.lit(selected), F.lit(False))
-    top = seen.withColumn("n", F.row_number().over(name)).withColumn("chosen", chosen).where((F.col("n") <= k) | F.col("chosen"))
-    place = F.row_number().over(Window.orderBy(F.when(F.col("chosen") & (F.col("n") > k), 0).otherwise(1), "n"))
+    # The first k and the selected one: each task hands on k + 1 rows at most.
+    first = seen.orderBy(*name).limit(k).withColumn("n", F.lit(1))
+    chosen = seen.where(F.col("insee") == F.lit(selected)).withColumn("n", F.lit(0))
+    top = first.union(chosen).groupBy("insee", "nom").agg(F.max("n").alias("n"))
+    place = F.row_number().over(Window.orderBy("n", T.fold_accents(F.lower("nom")), "insee"))
     return top.withColumn("place", place).where(F.col("place") <= k).select("insee", "nom", "place").join(F.broadcast(total), F.lit(True))
 
 

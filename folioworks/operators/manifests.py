@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import getitem
 from urllib.parse import quote
 
 import pandas as pd
@@ -92,34 +94,36 @@ def first_service_deep(manifest, needle: str) -> Column:
     return _per_text(one)(T.col(manifest))
 
 
-_IMAGE_API = re.compile(r"api/image", re.I)
+#: What the declaration of an image service holds: the API's address in context or profile, or the service's type.
+_IMAGE_SERVICE = re.compile(r'api/image|"ImageService', re.I)
 
 
-def rewrite_image_services(manifest, prefix: str) -> Column:
-    """The manifest with every image service's id as prefix/iiif/<encoded id>; other services and the keys' names stay."""
+def _image_service_paths(doc) -> Iterator[tuple]:
+    """The places (keys and indices from the top) of a manifest's image services that have an id."""
+    waiting = [((), doc)]
+    while waiting:
+        path, node = waiting.pop()
+        if isinstance(node, dict):
+            waiting.extend(((*path, k), v) for k, v in node.items())
+            declared = json.dumps([node.get(k) for k in ("@context", "profile", "type", "@type")])
+            if "service" in path[-1:] + path[-2:-1] * isinstance(path[-1] if path else "", int) and (node.get("@id") or node.get("id")) and _IMAGE_SERVICE.search(declared):
+                yield path
+        elif isinstance(node, list):
+            waiting.extend(((*path, i), v) for i, v in enumerate(node))
 
-    def is_image(s):
-        flat = lambda x: " ".join(map(str, x)) if isinstance(x, list) else str(x or "")
-        return bool(_IMAGE_API.search(flat(s.get("@context"))) or _IMAGE_API.search(flat(s.get("profile"))) or re.match("ImageService", flat(s.get("type") or s.get("@type")), re.I))
 
-    def walk(node):
-        if isinstance(node, list):
-            for x in node:
-                walk(x)
-        elif isinstance(node, dict):
-            own = node.get("service")
-            for s in own if isinstance(own, list) else [own]:
-                if isinstance(s, dict) and (s.get("@id") or s.get("id")) and is_image(s):
-                    s["@id" if "@id" in s else "id"] = f"{prefix}/iiif/{quote(s.get('@id') or s['id'], safe='')}"
-            for x in node.values():
-                walk(x)
+def rewrite_image_services(manifest, prefix: str) -> Column:
+    """The manifest with every image service's id as prefix/iiif/<encoded id>; other services and the keys' names stay."""
 
     def one(text):
         try:
             doc = json.loads(text) if text else None
         except ValueError:
             return None
-        walk(doc)
+        for path in list(_image_service_paths(doc)):
+            service = reduce(getitem, path, doc)
+            key = "@id" if "@id" in service else "id"
+            service[key] = f"{prefix}/iiif/{quote(service[key] or service['id'], safe='')}"
         return None if doc is None else json.dumps(doc, ensure_ascii=False)
 
     return _per_text(one)(T.col(manifest))
@@ -151,7 +155,7 @@ def static_manifest(title, cote, date, image_id, data_src, pages: str, archive:
     some = lambda x: T.col(x).isNotNull() & (T.col(x) != "")
     label = F.concat(T.col(title), F.when(some(cote), F.concat(F.lit(" — "), cote)).otherwise(""), F.when(some(date), F.concat(F.lit(" ("), date, F.lit(")"))).otherwise(""))
     original = F.concat(F.lit(mount), T.col(data_src))
-    cached = F.replace(F.replace(F.substring(original, 2, 10_000), F.lit("/"), F.lit("_")), F.lit(".jpg"), F.lit("_4000_4000_0_0_0_0_img.jpg"))
+    cached = F.replace(F.replace(F.substr(original, F.lit(2)), F.lit("/"), F.lit("_")), F.lit(".jpg"), F.lit("_4000_4000_0_0_0_0_img.jpg"))
     entry = lambda k, v: F.struct(F.lit(k).alias("label"), T.col(v).alias("value"))
     return _manifest(F.concat(F.lit(f"{pages}/"), image_id, F.lit(".json")), label, T.col(title), F.concat(F.lit(f"{archive}/cache/"), cached), F.concat(F.lit(f"{proxy}/static-iiif/"), T.url_quote(original)),
                      F.lit(8000), F.lit(6000), 2, metadata=F.array(entry("Cote", cote), entry("Date", date)), attribution=F.lit(attribution))

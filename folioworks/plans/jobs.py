@@ -39,12 +39,11 @@ def documents_from_notices(notices: DataFrame, alias: DataFrame, communes: DataF
     n = n.join(table, (F.col("dept_expected") == F.col("d_")) & (F.col("commune_raw") == F.col("raw_")), "left").drop("d_", "raw_")
     if expected is not None:
         resolve.department_guard(n, expected, profile.most_outside)
-    c, i = P.classify("title", profile.title_profile), P.parse_ident("ident")
-    n = n.withColumn("c_", c).withColumn("i_", i)
-    sheet = F.coalesce("c_.feuille_num", F.when(F.col("c_.type") == P.FEUILLE, F.col("i_.plate")))
-    out = n.select(F.col("rank").alias("ingest_rank"), "insee", F.col("c_.type").alias("type"), F.col("c_.section_lettre").alias("section_lettre"), sheet.alias("feuille_num"), "annee", "cote", "archive_url",
-                   F.col("manifest_url").alias("iiif_manifest"), "image_url", "service_id")
-    return first_wins(out.where("insee is not null"), ["archive_url"])
+    n = first_wins(n.where("insee is not null"), ["archive_url"], "rank")
+    # A title's class becomes three columns by one evaluation, after the rows that fall away.
+    n = n.select("*", P.parse_ident("ident")["plate"].alias("plate_"), F.inline(F.array(P.classify("title", profile.title_profile))).alias("type", "section_lettre", "feuille_"))
+    sheet = F.coalesce("feuille_", F.when(F.col("type") == P.FEUILLE, F.col("plate_")))
+    return n.select(F.col("rank").alias("ingest_rank"), "insee", "type", "section_lettre", sheet.alias("feuille_num"), "annee", "cote", "archive_url", F.col("manifest_url").alias("iiif_manifest"), "image_url", "service_id")
 
 
 def documents_from_tree(nodes: DataFrame, edges: DataFrame, root: str, alias: DataFrame, communes: DataFrame, services: DataFrame, lo: int = 1790, hi: int = 1860) -> DataFrame:

@@ -427,27 +427,24 @@ def lieu_by_cote_root(view):
 
 
 
-@query("SELECT ingest_rank, CAST(row_number() OVER (ORDER BY type, section_lettre NULLS FIRST, feuille_num NULLS FIRST, ingest_rank) AS INTEGER) AS place FROM v_unique WHERE insee LIKE '01%'")
+@query("SELECT ingest_rank, CAST(row_number() OVER (PARTITION BY insee ORDER BY type, section_lettre NULLS FIRST, feuille_num NULLS FIRST, ingest_rank) AS INTEGER) AS place FROM v_unique")
 def order_documents(view):
-    return _numbered(browse.order_documents(view("v_unique").where("insee like '01%'")))
+    return browse.order_documents(view("v_unique")).select("ingest_rank", "place")
 
 
-def _numbered(ordered):
-    """The place of each row of an ordered frame: within its partition, plus the rows of the partitions before."""
-    from pyspark.sql import Window
+def _sorted(mode: str, keys: str):
+    def run(view):
+        return browse.sort_documents(view("v_unique").select("ingest_rank", "type", "annee", "cote", "nom"), mode).select("ingest_rank", "place")
 
-    rows = ordered.select("ingest_rank").withColumn("at", F.monotonically_increasing_id())
-    return rows.select("ingest_rank", F.row_number().over(Window.orderBy("at")).alias("place"))
+    run.__name__ = f"sort_documents_{mode}"
+    return query(f"SELECT ingest_rank, CAST(row_number() OVER (ORDER BY {keys}, ingest_rank) AS INTEGER) AS place FROM v_unique")(run)
 
 
-@query("SELECT ingest_rank, CAST(row_number() OVER (ORDER BY CASE type WHEN 'tableau_assemblage' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, strip_accents(lower(nom)), ingest_rank) AS INTEGER) AS by_type, CAST(row_number() OVER (ORDER BY coalesce(annee, 9999), ingest_rank) AS INTEGER) AS by_year, CAST(row_number() OVER (ORDER BY coalesce(annee, -1) DESC, ingest_rank) AS INTEGER) AS by_year_desc FROM v_unique WHERE insee LIKE '01%'")
-def sort_documents(view):
-    own = view("v_unique").where("insee like '01%'")
-    out = None
-    for mode, name in (("type", "by_type"), ("year_asc", "by_year"), ("year_desc", "by_year_desc")):
-        one = _numbered(browse.sort_documents(own, mode)).withColumnRenamed("place", name)
-        out = one if out is None else out.join(one, "ingest_rank")
-    return out
+_sorted("type", "CASE type WHEN 'tableau_assemblage' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, strip_accents(lower(nom))")
+_sorted("year_asc", "coalesce(annee, 9999)")
+_sorted("year_desc", "coalesce(annee, -1) DESC")
+_sorted("cote", r"array_to_string(list_transform(regexp_extract_all(lower(cote), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 12, '0') ELSE x END), '')")
+_sorted("commune", "strip_accents(lower(nom))")
 
 
 @query(rf"""WITH p AS (SELECT insee, arg_min(nom, ingest_rank) AS nom, arg_min(coalesce(annee, 9999), {_ORD}) AS y FROM v_unique GROUP BY 1)
@@ -491,9 +488,10 @@ def communes_in_documented_depts(view):
     return browse.communes_in_documented_depts(view("v_commune"), view("v_unique").where("annee = 1880 or dept = '01'")).select("insee")
 
 
-@query("SELECT insee FROM v_commune WHERE insee NOT IN (SELECT insee FROM v_unique WHERE annee IS NOT NULL)")
+@query("SELECT insee FROM v_commune WHERE insee NOT IN (SELECT insee FROM v_unique WHERE annee = 1815)")
 def missing_communes(view):
-    return browse.missing_communes(view("v_commune"), view("v_unique").where("annee is not null")).select("insee")
+    """The communes without a document of 1815: some have one, some don't."""
+    return browse.missing_communes(view("v_commune"), view("v_unique").where("annee = 1815")).select("insee")
 
 
 @query(r"SELECT notice_id, rank, CAST(row_number() OVER (PARTITION BY regexp_extract(cote, '^3 P (\d+[A-Z]?)', 1) ORDER BY CAST(regexp_extract(cote, '/(\d+)$', 1) AS INTEGER), rank) AS INTEGER) AS place FROM v_notice")
@@ -512,11 +510,12 @@ def sample_first_n(view):
     return browse.sample_first_n(view("v_notice"), 60).select("rank")
 
 
-@query("SELECT ingest_rank, service_id FROM v_unique WHERE service_id IN ('S1', 'S2') UNION ALL SELECT ingest_rank, service_id FROM v_unique WHERE service_id IN ('S3', 'S4')")
+@query("SELECT ingest_rank, service_id, 'done' AS origin FROM v_unique WHERE CAST(substr(service_id, 2) AS INTEGER) < 8 UNION ALL SELECT ingest_rank, service_id, CASE WHEN CAST(substr(service_id, 2) AS INTEGER) % 2 = 0 THEN 'even' ELSE 'odd' END FROM v_unique WHERE CAST(substr(service_id, 2) AS INTEGER) >= 8")
 def union_sources(view):
-    d = view("v_unique").select("ingest_rank", "service_id")
-    parts = [d.where(F.col("service_id") == s) for s in ("S1", "S3", "S4")]
-    return browse.union_sources(d.where("service_id in ('S1', 'S2')"), parts, "service_id")
+    """Services below 8 are done; two inventories bring the even and the odd ones."""
+    d, n = view("v_unique").select("ingest_rank", "service_id"), F.substring("service_id", 2, 9).cast("int")
+    parts = [d.where(n % 2 == k).withColumn("origin", F.lit(name)) for k, name in ((0, "even"), (1, "odd"))]
+    return browse.union_sources(d.where(n < 8).withColumn("origin", F.lit("done")), parts, "service_id")
 
 
 @query("SELECT ingest_rank, annee, 'a' AS side FROM v_document WHERE annee = 1820 UNION ALL SELECT ingest_rank, annee, 'b' AS side FROM v_document WHERE annee = 1821")

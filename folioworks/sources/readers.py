@@ -113,19 +113,14 @@ def _shapes(data: bytes) -> list[tuple[float, ...] | None]:
 
 
 def _records(data: bytes) -> list[dict[str, str]]:
-    n, head, size = struct.unpack("<IHH", data[4:12])
-    fields, at = [], 32
-    while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]))
-        at += 32
-    out = []
-    for i in range(n):
-        at, row = head + i * size + 1, {}
-        for name, width in fields:
-            row[name] = data[at : at + width].decode("latin-1").strip()
-            at += width
-        out.append(row)
-    return out
+    """A dBASE table: field descriptions of 32 bytes up to a carriage return, then records of fixed width after a mark each."""
+    count, head, _ = struct.unpack_from("<IHH", data, 4)
+    described = data[32 : data.index(b"\r", 32)]
+    fields = list(struct.iter_unpack("<11s5xB15x", described[: len(described) // 32 * 32]))
+    names = [name.partition(b"\0")[0].decode("latin-1") for name, _ in fields]
+    layout = struct.Struct("x" + "".join(f"{width}s" for _, width in fields))
+    rows = layout.iter_unpack(data[head : head + count * layout.size])
+    return [dict(zip(names, (v.decode("latin-1").strip() for v in row), strict=True)) for row in rows]
 
 
 def shapefile_bboxes(files: DataFrame, key: str = r"(\w+)\.\w+$", name: str = "fichier") -> DataFrame:
@@ -207,7 +202,7 @@ def parse_item_blocks(pages: DataFrame, details: bool = False) -> DataFrame:
 
     details: also a source is needed, and mark and date are read from the part id="detailn_N" only.
     """
-    blocks = F.slice(F.split(F.concat(F.lit(" "), "html"), r'(?=<div id="item_\d+">)'), 2, 100_000)
+    blocks = T.once(F.split(F.concat(F.lit(" "), "html"), r'(?=<div id="item_\d+">)'), lambda x: F.slice(x, F.lit(2), F.size(x)))
     b = pages.select("page_id", F.explode(blocks).alias("b"))
     tail = F.when(F.col("b").rlike(r'id="detailn_\d+"'), F.regexp_extract("b", r'(?s)id="detailn_\d+"(.*)$', 1)).otherwise(F.lit("") if details else F.col("b"))
     source = tail if details else F.col("b")
