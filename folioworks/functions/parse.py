@@ -85,6 +85,13 @@ def image_folder_from_cote(root) -> Column:
     return F.when(n.isNotNull(), F.concat(F.lit("3P_"), padded, F.regexp_extract(col(root), r"^(\d+)([A-Z]?)$", 2))).otherwise(F.concat(F.lit("3P_"), col(root)))
 
 
+def image_url_from_cote(root, plate, base: str, prefix: str) -> Column:
+    """The picture's address by the shelf mark, for plates whose manifest can't be read: base/<folder>/<prefix><folder>_<plate of two digits or more>.jpg"""
+    number = col(plate).cast("string")
+    folder = image_folder_from_cote(root)
+    return F.concat(F.lit(f"{base}/"), folder, F.lit(f"/{prefix}"), folder, F.lit("_"), F.when(F.length(number) < 2, F.concat(F.lit("0"), number)).otherwise(number), F.lit(".jpg"))
+
+
 def parse_manifest_label(label, dates, separators: str = "•·|") -> Column:
     """`IDENT • Commune : Title • 1828` -> struct(ident, title, year); a year is a whole segment, the last one counts, else the first in `dates`."""
     parts = F.filter(F.transform(F.split(norm_ws(F.coalesce(col(label), F.lit(""))), f"[{separators}]"), lambda p: strip(p)), lambda p: p != "")

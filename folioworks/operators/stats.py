@@ -119,8 +119,12 @@ def source_attribution(docs: DataFrame) -> DataFrame:
     return docs.where("source is not null").groupBy("source").agg(F.min_by("source_url", F.when(F.col("source_url").isNotNull(), F.col("ingest_rank"))).alias("source_url"))
 
 
-def corpus_profile(plates: DataFrame, lo: int, hi: int, expected: list[str]) -> DataFrame:
-    """(point, value, n): the checks before a load, in one pass. plates: (manifest_ok, commune, ident, annee, type, image, insee)."""
+def corpus_profile(plates: DataFrame, lo: int, hi: int, expected: list[str], names: DataFrame | None = None, families: int = 8) -> DataFrame:
+    """(point, value, n): the checks before a load. plates: (manifest_ok, commune, ident, annee, type, image, insee).
+
+    The `families` commonest families of identifiers stay, ties by name. year_min and year_max hold the extreme years.
+    names: (name, code) of known communes; a name of several codes is a row `ambiguous` with their number.
+    """
     inside = F.when(F.col("annee").isNull(), "undated").when(F.col("annee").between(lo, hi), "in period").otherwise("out of period")
     form = F.concat(F.when(F.col("commune").isNull(), "0").otherwise(F.size(F.split("commune", r"[(,/]")).cast("string")), F.lit(" parts"))
     points = {
@@ -129,7 +133,16 @@ def corpus_profile(plates: DataFrame, lo: int, hi: int, expected: list[str]) ->
         "insee": F.when(F.col("insee").isNull(), "unresolved").when(T.department("insee").isin(expected), "inside").otherwise("outside"),
     }
     long = plates.select(F.explode(F.create_map(*(x for k, c in points.items() for x in (F.lit(k), c)))).alias("point", "value"))
-    return long.where("value is not null").groupBy("point", "value").agg(F.count("*").alias("n"))
+    counts = long.where("value is not null").groupBy("point", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("point").orderBy(F.desc("n"), "value"))
+    top = counts.where("point = 'ident'").withColumn("place", place).where(F.col("place") <= families).drop("place")
+    out = counts.where("point <> 'ident'").union(top)
+    for name, pick in (("year_min", F.min), ("year_max", F.max)):
+        out = out.union(plates.agg(pick("annee").cast("string").alias("value")).where("value is not null").select(F.lit(name), "value", F.lit(1).cast("long")))
+    if names is not None:
+        several = names.groupBy("name").agg(F.countDistinct("code").alias("n")).where("n > 1")
+        out = out.union(several.select(F.lit("ambiguous"), "name", "n"))
+    return out
 
 
 # Texts by which a manifest states its licence.

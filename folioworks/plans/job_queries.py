@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioworks.operators import manifests, stats
+from folioworks.operators import load, manifests, stats
+from folioworks.operators.shared import shared_dir
 from folioworks.plans import fixtures, jobs
 from folioworks.plans.operator_queries import _ALIAS, _COMPACT, _DIFF, _KEY, _LEAVES, _LISTED, _LOCAL, _RUBRIC, _STATS
 from folioworks.plans.registry import ORACLES, QUERIES, query
@@ -208,26 +209,50 @@ def read_manifests(view):
     return out.select("ark", F.try_variant_get(manifests.parse("manifest"), "$.label", "string").alias("label"))
 
 
-@query()
+@query("SELECT insee, nom || ' & é''' AS name FROM v_commune")
 def html_unescape(view):
     return view("v_commune").select("insee", manifests.html_unescape(F.concat("nom", F.lit(" &amp; &eacute;&#39;"))).alias("name"))
 
 
+@query(f"SELECT ark, 'https://new.example/iiif/' || url_encode({_SERVICE}) AS service FROM v_manifest")
+def image_service(view):
+    m = _manifests(view).withColumn("new", manifests.rewrite_image_services("json", "https://new.example"))
+    return m.select("ark", manifests.image_service(manifests.parse("new")).alias("service"))
+
+
+@query("SELECT archive_url, insee, cote, annee, licence_overlay_ok FROM v_unique WHERE insee IS NOT NULL")
+def seed_rows(view):
+    """Seed statements, written and read again; unquoted numbers and truth values are typed, codes stay text."""
+    return readers.seed_rows(load.seed_sql(view("v_unique")), ["archive_url", "insee", "cote", "annee", "licence_overlay_ok"], {"annee": "int", "licence_overlay_ok": "boolean"})
+
+
+@query("SELECT dept AS code, 'https://portal.example/' || dept AS portail FROM v_dept WHERE dept IN ('02', '16', '21')")
+def portal_config(view):
+    rows = view("v_dept").select(F.col("dept").alias("code"), F.concat(F.lit("https://portal.example/"), "dept").alias("portail"), F.lit("12345").alias("naan"))
+    return readers.portal_config(rows, ["02", "16", "21"]).select("code", "portail")
+
+
 # Streams -------------------------------------------------------------------------------------------------------------
 
+_EVENT_COLUMNS = (
+    "event_id", "ts", "concat('https://archives.example/e', cast(cast(floor(event_id / 2) as bigint) as string)) as archive_url", "lpad(cast(user_id % 25 + 1 as string), 2, '0') as dept",
+    "concat(lpad(cast(user_id % 25 + 1 as string), 2, '0'), lpad(cast(event_id % 37 as string), 3, '0')) as insee", "case event_id % 3 when 0 then 'tableau_assemblage' when 1 then 'section' else 'feuille' end as type",
+    "case when event_id % 4 <> 0 then 'm' end as iiif_manifest", "event_id % 5 <> 0 as licence_overlay_ok",
+)
+
+
 def _stream(spark, sf_dir):
-    kinds = ", ".join(f"{n} {t}" for n, t in spark.read.parquet(f"{sf_dir}/events.parquet").dtypes)
-    events = inserts.read_inserts(spark, f"{sf_dir}/event[s].parquet", kinds)
-    return events.selectExpr("event_id", "ts", "concat('https://archives.example/e', cast(cast(floor(event_id / 2) as bigint) as string)) as archive_url", "lpad(cast(user_id % 25 + 1 as string), 2, '0') as dept")
+    """The events in two turns, those with even numbers first, so that each key comes again in a later batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    for turn in (0, 1):
+        events.where(F.col("event_id") % 2 == turn).coalesce(1).write.mode("append").parquet(at)
+    kinds = ", ".join(f"{n} {t}" for n, t in events.dtypes)
+    return inserts.read_inserts(spark, at, kinds).selectExpr(*_EVENT_COLUMNS)
 
 
 def _folders(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     return f"{at}/out", f"{at}/checkpoint"
 
 
@@ -241,7 +266,7 @@ def stream_dedupe_archive_url(spark, sf_dir):
 def stream_documents_to_stats(spark, sf_dir):
     out, checkpoint = _folders(spark)
     inserts.running_stats(_stream(spark, sf_dir), out, checkpoint)
-    return inserts.read_stats(spark, out).select("dept", "inserts")
+    return inserts.read_stats(spark, out).drop("last")
 
 
 @query("""SELECT CAST(min(ts) AS VARCHAR) AS first, count(*) AS n FROM (SELECT ts, sum(new) OVER (ORDER BY ts, event_id) AS g FROM (SELECT ts, event_id, CASE WHEN lag(ts) OVER (ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (ORDER BY ts, event_id) + INTERVAL 60 SECONDS THEN 1 ELSE 0 END AS new FROM v_insert_event) x) y GROUP BY g""")
@@ -250,11 +275,18 @@ def insert_bursts(view):
     return b.select(F.col("start").cast("string").alias("first"), "n")
 
 
+@query("""SELECT CAST(min(ts) AS VARCHAR) AS first, count(*) AS n, array_to_string(list_sort(list(DISTINCT dept)), ',') AS depts FROM (SELECT ts, dept, sum(new) OVER (ORDER BY ts, event_id) AS g FROM (SELECT ts, event_id, dept, CASE WHEN lag(ts) OVER (ORDER BY ts, event_id) IS NULL OR ts >= lag(ts) OVER (ORDER BY ts, event_id) + INTERVAL 60 SECONDS THEN 1 ELSE 0 END AS new FROM v_insert_event) x) y GROUP BY g""")
+def burst_refreshes(view):
+    b = inserts.burst_refreshes(view("v_insert_event").withColumn("ts", F.col("ts").cast("timestamp")), "60 seconds")
+    return b.select(F.col("start").cast("string").alias("first"), "n", F.array_join("depts", ",").alias("depts"))
+
+
 QUERIES["stream_dedupe_archive_url"] = stream_dedupe_archive_url
 QUERIES["stream_documents_to_stats"] = stream_documents_to_stats
 _STREAM_SQL = {
     "stream_dedupe_archive_url": "SELECT archive_url, min(event_id) AS event_id FROM v_insert_event GROUP BY 1",
-    "stream_documents_to_stats": "SELECT dept, count(*) AS inserts FROM v_insert_event GROUP BY 1",
+    "stream_documents_to_stats": """SELECT lpad(CAST(user_id % 25 + 1 AS VARCHAR), 2, '0') AS dept, count(*) AS total, count_if(event_id % 5 <> 0) AS overlay_ok, count_if(event_id % 4 <> 0) AS with_iiif, count_if(event_id % 3 = 0) AS assemblages,
+        count_if(event_id % 3 = 1) AS sections, count_if(event_id % 3 = 2) AS feuilles, count(DISTINCT event_id % 37) AS communes FROM events GROUP BY 1""",
 }
 
 ORACLES.update({k: fixtures.oracle(v) for k, v in _STREAM_SQL.items()})

@@ -345,16 +345,19 @@ def source_attribution(view):
     SELECT point, value, count(*) AS n FROM (
         SELECT 'read' AS point, CASE WHEN manifest_url IS NOT NULL THEN 'read' ELSE 'failed' END AS value FROM p
         UNION ALL SELECT 'commune', CAST(len(str_split_regex(commune_raw, '[(,/]')) AS VARCHAR) || ' parts' FROM p
-        UNION ALL SELECT 'ident', regexp_replace(ident, '\d+', '#', 'g') FROM p
+        UNION ALL SELECT 'ident', fam FROM (SELECT *, rank() OVER (ORDER BY c DESC, fam) AS r FROM (SELECT regexp_replace(ident, '\d+', '#', 'g') AS fam, count(*) OVER (PARTITION BY regexp_replace(ident, '\d+', '#', 'g')) AS c FROM p) f) g WHERE true
         UNION ALL SELECT 'year', CASE WHEN annee IS NULL THEN 'undated' WHEN annee BETWEEN 1815 AND 1860 THEN 'in period' ELSE 'out of period' END FROM p
         UNION ALL SELECT 'decade', CAST(CAST(floor(annee / 10) * 10 AS INTEGER) AS VARCHAR) FROM p
         UNION ALL SELECT 'type', title FROM p UNION ALL SELECT 'image', CASE WHEN image_url IS NULL THEN 'missing' ELSE 'present' END FROM p
-        UNION ALL SELECT 'insee', CASE WHEN custkey % 5 = 0 THEN 'unresolved' WHEN dept_expected IN ('01', '02') THEN 'inside' ELSE 'outside' END FROM p) x WHERE value IS NOT NULL GROUP BY 1, 2""")
+        UNION ALL SELECT 'insee', CASE WHEN custkey % 5 = 0 THEN 'unresolved' WHEN dept_expected IN ('01', '02') THEN 'inside' ELSE 'outside' END FROM p) x WHERE value IS NOT NULL GROUP BY 1, 2
+    UNION ALL SELECT 'year_min', CAST(min(annee) AS VARCHAR), 1 FROM p UNION ALL SELECT 'year_max', CAST(max(annee) AS VARCHAR), 1 FROM p
+    UNION ALL SELECT 'ambiguous', dept || ' ' || lower(name), count(DISTINCT code) FROM v_alias GROUP BY 2 HAVING count(DISTINCT code) > 1""")
 def corpus_profile(view):
     n = view("v_notice")
     plates = n.select(F.col("manifest_url").isNotNull().alias("manifest_ok"), F.col("commune_raw").alias("commune"), "ident", P.parse_year("year_raw", "prefix4").alias("annee"), F.col("title").alias("type"),
                       F.col("image_url").alias("image"), F.when(F.col("custkey") % 5 != 0, F.col("true_insee")).alias("insee"))
-    return stats.corpus_profile(plates, 1815, 1860, ["01", "02"])
+    names = view("v_alias").select(F.concat("dept", F.lit(" "), F.lower("name")).alias("name"), "code")
+    return stats.corpus_profile(plates, 1815, 1860, ["01", "02"], names)
 
 
 @query("""WITH first AS (SELECT service_id, arg_min(manifest_url, rank) AS manifest FROM v_notice WHERE manifest_url IS NOT NULL GROUP BY 1),
@@ -570,6 +573,17 @@ def fill_source_by_dept(view):
     return load.fill_source_by_dept(d).drop("insee")
 
 
+_ROOT, _FOLDER = r"regexp_extract(cote, '^3 P (\d+[A-Z]?)', 1)", r"'3P_' || lpad(regexp_extract(cote, '^3 P (\d+)', 1), 3, '0') || regexp_extract(cote, '^3 P \d+([A-Z]?)', 1)"
+
+
+@query(f"SELECT rank, coalesce(CASE WHEN manifest_url IS NOT NULL THEN image_url END, 'https://archives.example/iiif/' || {_FOLDER} || '/FR_' || {_FOLDER} || '_' || lpad(regexp_extract(cote, '/(\\d+)$', 1), 2, '0') || '.jpg') AS image FROM v_notice")
+def image_of_notice(view):
+    """The manifest's picture, else the one that the shelf mark gives."""
+    n = view("v_notice").withColumn("p", P.parse_cote("cote"))
+    derived = P.image_url_from_cote("p.root", "p.rank", "https://archives.example/iiif", "FR_")
+    return n.select("rank", F.coalesce(F.when(F.col("manifest_url").isNotNull(), F.col("image_url")), derived).alias("image"))
+
+
 @query("SELECT n.rank, m.label FROM v_notice n JOIN v_manifest m ON n.ark = m.ark")
 def manifest_join(view):
     return load.manifest_join(view("v_notice").select("ark", "rank"), view("v_manifest").select("ark", "label")).select("rank", "label")

@@ -153,8 +153,8 @@ _INSERT = re.compile(r"insert\s+into\s+document\s*\(([^)]*)\)\s*values\s*\(", re
 _VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|([^,()']+))\s*([,)])", re.S)
 
 
-def seed_rows(files: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of seed files (value: a whole file) with the given columns as text. Quoted values stay text, `''` is a quote, null is null; the first statement's columns hold for all; another count of values is an error."""
+def seed_rows(files: DataFrame, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """Rows of seed files (value: a whole file) with the given columns, as text or (types: column -> int, boolean, ...) typed where the value is unquoted and readable so. Quoted values stay text, `''` is a quote, null is null; the first statement's columns hold for all; another count of values is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -179,7 +179,8 @@ def seed_rows(files: DataFrame, columns: list[str]) -> DataFrame:
                     rows.append([row.get(c) for c in columns])
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    return files.select("value").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+    out = files.select("value").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
+    return out.select(*(F.col(c).try_cast((types or {})[c]).alias(c) if c in (types or {}) else F.col(c) for c in columns))
 
 
 def parse_toc(pages: DataFrame) -> DataFrame:

@@ -28,18 +28,19 @@ def bursts(events: DataFrame, gap: str = "500 milliseconds", ts: str = "ts", lat
 
 
 class UniqueSink:
-    """foreachBatch sink: one row for each key over all batches, in a table of Parquet folders, one for each batch.
+    """foreachBatch sink: one row for each key over all batches, in a table partitioned by the key's hash and by batch.
 
-    A batch writes its own folder by overwriting it, so a batch that is run again after a failure changes nothing.
+    A batch reads former keys of its own hash partitions only, and writes its folders by overwriting them, so a batch
+    that is run again after a failure changes nothing.
     """
 
-    def __init__(self, path: str, key: str = "archive_url", order: str = "event_id"):
-        self.path, self.key, self.order = path, key, order
+    def __init__(self, path: str, key: str = "archive_url", order: str = "event_id", parts: int = 64):
+        self.path, self.key, self.order, self.parts = path, key, order, parts
 
-    def seen(self, spark: SparkSession, batch: int) -> DataFrame | None:
-        """Keys of the batches before."""
+    def seen(self, spark: SparkSession, batch: int, parts: list[int]) -> DataFrame | None:
+        """Keys of the batches before, in these partitions."""
         try:
-            return spark.read.parquet(self.path).where(F.col("batch") < batch).select(self.key)
+            return spark.read.parquet(self.path).where(F.col("part").isin(parts) & (F.col("batch") < batch)).select(self.key)
         except Exception as e:  # the table doesn't exist before the first batch
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -48,11 +49,16 @@ class UniqueSink:
     def __call__(self, rows: DataFrame, batch: int) -> None:
         from folioworks.operators.shared import first_wins
 
-        new = first_wins(rows, [self.key], self.order)
-        old = self.seen(rows.sparkSession, batch)
-        if old is not None:
-            new = new.join(old, self.key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")).persist()
+        try:
+            parts = [r["part"] for r in rows.select("part").distinct().collect()]  # at most `parts`
+            new = first_wins(rows, [self.key], self.order)
+            old = self.seen(rows.sparkSession, batch, parts)
+            if old is not None:
+                new = new.join(old, self.key, "left_anti")
+            new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(self.path)
+        finally:
+            rows.unpersist()
 
 
 def ingest_unique(events: DataFrame, path: str, checkpoint: str, key: str = "archive_url", order: str = "event_id") -> None:
@@ -62,13 +68,33 @@ def ingest_unique(events: DataFrame, path: str, checkpoint: str, key: str = "arc
 
 
 def running_stats(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Per batch, each department's inserts and the keys new to it: partial counts that `read_stats` adds up."""
+    """The statistics of inserted documents: per batch partial counts by department and commune, which `read_stats` adds up.
+
+    events: documents (insee, type, iiif_manifest, licence_overlay_ok, ts). A commune is one row of a batch's table, so
+    the set of communes is kept without any set growing in one place.
+    """
+    from folioworks.functions import parse as P
+    from folioworks.functions import text as T
+
+    kinds = ((P.TABLEAU, "assemblages"), (P.SECTION, "sections"), (P.FEUILLE, "feuilles"))
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.groupBy("dept").agg(F.count("*").alias("inserts"), F.max("ts").alias("last")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        counts = [F.count("*").alias("total"), F.count_if("licence_overlay_ok").alias("overlay_ok"), F.count("iiif_manifest").alias("with_iiif"), *(F.count_if(F.col("type") == k).alias(n) for k, n in kinds)]
+        per = rows.groupBy(T.department("insee").alias("dept"), "insee").agg(*counts, F.max("ts").alias("last"))
+        per.where("dept is not null").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("dept").agg(F.sum("inserts").alias("inserts"), F.max("last").alias("last"))
+    """(dept, total, overlay_ok, with_iiif, assemblages, sections, feuilles, communes, last) over all batches so far."""
+    each = spark.read.parquet(path)
+    sums = [F.sum(c).alias(c) for c in ("total", "overlay_ok", "with_iiif", "assemblages", "sections", "feuilles")]
+    return each.groupBy("dept").agg(*sums, F.countDistinct("insee").alias("communes"), F.max("last").alias("last"))
+
+
+def burst_refreshes(events: DataFrame, gap: str = "500 milliseconds", ts: str = "ts", lateness: str = "1 minute") -> DataFrame:
+    """(start, end, n, depts): one refresh for each burst of inserts, with the departments whose statistics it changes (at most as many as there are)."""
+    w = F.session_window(ts, gap)
+    out = events.withWatermark(ts, lateness).groupBy(w.alias("w")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("dept")).alias("depts"))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "depts")

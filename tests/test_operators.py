@@ -1,12 +1,17 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from folioworks.functions.parse import image_url_from_cote
 from folioworks.operators import browse, load, resolve, stats, tree
+from folioworks.operators.shared import numbered
 from folioworks.plans import job_queries, jobs, operator_queries, text_queries  # noqa: F401  the queries register themselves
 from folioworks.plans.registry import ORACLES, QUERIES
+from folioworks.streaming.inserts import UniqueSink
 
 
 def frame(spark, schema, *data):
@@ -139,7 +144,8 @@ def test_write_department_keeps_others(spark, tmp_path):
 
 def test_browse(spark):
     d = docs(spark)
-    assert [r["ingest_rank"] for r in browse.order_documents(d).collect()] == [4, 3, 1, 5, 2]
+    assert [r["ingest_rank"] for r in browse.order_documents(d.withColumn("insee", F.lit("01001"))).orderBy("place").collect()] == [4, 3, 1, 5, 2]
+    assert {r["place"] for r in browse.order_documents(d.withColumn("insee", F.col("ingest_rank").cast("string"))).collect()} == {1}
     assert rows(browse.regression_diff(d, d, d.columns)) == []
     c = frame(spark, "insee string, nom string, lon double, lat double, dept string, population long", *((f"01{i:03d}", f"N{i:02d}", 1.0, 1.0, "01", i) for i in range(15)))
     top = browse.viewport_topk(c, c, (0, 0, 2, 2), 12, "01014").orderBy("place").collect()
@@ -147,6 +153,37 @@ def test_browse(spark):
     assert browse.viewport_topk(c, c, (0, 0, 2, 2), 9).isEmpty()
 
 
+def test_places_by_ranges_are_places(spark):
+    rng = random.Random(3)
+    data = [(i, rng.randrange(50)) for i in range(500)]
+    f = frame(spark, "id int, k int", *data).repartition(7)
+    got = {r["id"]: r["place"] for r in numbered(f, [F.desc("k"), F.col("id")]).collect()}
+    assert got == {i: n for n, (i, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])), 1)}
+    d = frame(spark, "ingest_rank int, nom string", (1, "Évreux"), (2, "Dax"), (3, "eu"), (4, "evreux"))
+    assert [r["ingest_rank"] for r in browse.sort_documents(d, "commune").orderBy("place").collect()] == [2, 3, 1, 4]
+
+
+def test_a_graph_is_visited_once_by_its_first_path(spark):
+    nodes = frame(spark, "id string, title string, begin_year int, end_year int, manifest string", *((x, x, None, None, "m" if x == "d" else None) for x in "rabcd"))
+    edges = frame(spark, "parent_id string, child_id string, pos long", ("r", "a", 1), ("r", "b", 2), ("a", "d", 5), ("b", "d", 1), ("b", "r", 3), ("r", "c", 3))
+    assert rows(tree.descend(nodes, edges, "r"), "id", "commune") == [("d", "a")]
+    assert rows(tree.descend(nodes, edges.where("parent_id <> 'b'"), "r"), "id", "commune") == [("d", "a")]
+
+
+def test_unique_sink_over_batches_and_again(spark, tmp_path):
+    sink = UniqueSink(str(tmp_path / "t"), "k", "n", parts=4)
+    one, two = (frame(spark, "k string, n int", *x) for x in ([("a", 2), ("a", 1), ("b", 3), (None, 9)], [("a", 4), ("c", 5), ("c", 6)]))
+    for batch, f in ((0, one), (1, two), (1, two), (0, one)):
+        sink(f, batch)
+    assert rows(spark.read.parquet(sink.path), "k", "n") == sorted([("a", 1), ("b", 3), (None, 9), ("c", 5)], key=str)
+
+
+def test_derived_picture_addresses(spark):
+    f = frame(spark, "root string, plate int", ("28A", 5), ("102", 120), ("1", None))
+    got = [r[0] for r in f.select(image_url_from_cote("root", "plate", "https://x", "FR_")).collect()]
+    assert got == ["https://x/3P_028A/FR_3P_028A_05.jpg", "https://x/3P_102/FR_3P_102_120.jpg", None]
+
+
 def test_tree_job_is_what_its_parts_give(spark, sf):
     from folioworks.plans.fixtures import view
 

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from folioworks.operators import manifests
+from folioworks.operators import stats, manifests
 from folioworks.sources import readers
 from folioworks.streaming import inserts
 
@@ -118,10 +118,11 @@ def test_static_manifest_golden(spark):
 
 def test_streams(spark, tmp_path):
     f = spark.createDataFrame([(i, i // 3, f"2024-01-01 00:00:{i // 4 * 10 + i % 4:02d}") for i in range(12)], "event_id long, k long, t string")
-    f = f.select("event_id", F.concat(F.lit("u"), "k").alias("archive_url"), F.to_timestamp("t").alias("ts"), F.lit("01").alias("dept"))
+    f = f.select("event_id", F.concat(F.lit("u"), "k").alias("archive_url"), F.to_timestamp("t").alias("ts"), F.lit("01").alias("dept"),
+                 F.concat(F.lit("0100"), (F.col("event_id") % 2).cast("string")).alias("insee"), F.lit("section").alias("type"), F.when(F.col("event_id") > 2, "m").alias("iiif_manifest"), (F.col("event_id") > 4).alias("licence_overlay_ok"))
     source = str(tmp_path / "in")
     f.where("event_id < 7").coalesce(1).write.parquet(source)
-    kinds = "event_id long, archive_url string, ts timestamp, dept string"
+    kinds = "event_id long, archive_url string, ts timestamp, dept string, insee string, type string, iiif_manifest string, licence_overlay_ok boolean"
     args = (str(tmp_path / "out"), str(tmp_path / "ck"))
     inserts.ingest_unique(inserts.read_inserts(spark, source, kinds), *args)
     f.where("event_id >= 7").coalesce(1).write.mode("append").parquet(source)
@@ -129,7 +130,9 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(args[0]), "archive_url", "event_id") == [("u0", 0), ("u1", 3), ("u2", 6), ("u3", 9)]
     assert sorted(r["n"] for r in inserts.bursts(f, "5 seconds").collect()) == [4, 4, 4]
     inserts.running_stats(inserts.read_inserts(spark, source, kinds), str(tmp_path / "s"), str(tmp_path / "sc"))
-    assert rows(inserts.read_stats(spark, str(tmp_path / "s")), "dept", "inserts") == [("01", 12)]
+    got = inserts.read_stats(spark, str(tmp_path / "s")).drop("last")
+    assert got.columns[1:] == stats.stats_by_dept(f).columns[1:] and rows(got) == rows(stats.stats_by_dept(f)) == [("01", 12, 7, 9, 0, 12, 0, 2)]
+    assert rows(inserts.burst_refreshes(f, "5 seconds"), "n", "depts") == [(4, ["01"])] * 3
     q = inserts.dedupe_within(inserts.read_inserts(spark, source, kinds)).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mc")).start()
     q.awaitTermination()
     assert spark.table("once").count() == 4
