@@ -12,7 +12,7 @@ give or take a quarter of its length. So no stretch that can match is missed, wh
 without key words cost one pass of a multi-pattern automaton.
 
 Defined cases: null text is empty; repeated rows are scanned each; a notice that occurs more than once is reported
-each time; of overlapping finds the one with more aligned words stays; an empty table gives an empty result.
+each time; of overlapping finds the one with more aligned words stays, of such the shorter notice's, the shorter stretch and the first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -128,10 +128,11 @@ def find_notices(text: str, notices: list[Notice], wanted: set[str]) -> list[tup
         return []
     found = [(n, -len(t.words), t, a, b) for t in notices for n, a, b in t.find(words, hits)]
     taken: list[tuple[str, int, int, float]] = []
-    used: list[tuple[int, int]] = []
-    for n, _, t, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[3])):
-        if all(b <= c or d <= a for c, d in used):
-            used.append((a, b))
+    used: list[tuple[int, int]] = []  # by place, apart from one another
+    for n, _, t, a, b in sorted(found, key=lambda x: (-x[0], -x[1], x[4] - x[3], x[3])):
+        at = bisect_left(used, (a, b))
+        if (at == 0 or used[at - 1][1] <= a) and (at == len(used) or b <= used[at][0]):
+            used.insert(at, (a, b))
             taken.append((t.name, spots[a][0], spots[b - 1][1], n / len(t.words)))
     return sorted(taken, key=lambda x: x[1])
 

@@ -101,6 +101,52 @@ def test_each_notice_is_found_under_its_own_name_and_whole(spark):
     assert NOTICES["MIT"].endswith("DEALINGS IN THE SOFTWARE.") and NOTICES["BSD-3-Clause"].endswith("SUCH DAMAGE.")
 
 
+def plain_licenses(text, notices):
+    """Every window of the text, from every word on, against every notice; then the finds with most aligned words, apart from one another."""
+    spots = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    words, found = [text[a:b].lower() for a, b in spots], []
+    for t in notices:
+        for s in range(len(words)):
+            for lo, hi in ((max(0, s - t.room), s + len(t.words) + 2 * t.room), (s, s + len(t.words))):
+                pairs = license_scan.patience(t.words, words[lo:hi])
+                if len(pairs) >= t.least and (pairs := t.hold(pairs, words[lo:hi])):
+                    found.append((len(pairs), len(t.words), t.name, lo + pairs[0][1], lo + pairs[-1][1] + 1))
+    out = []
+    for n, size, name, a, b in sorted(found, key=lambda x: (-x[0], x[1], x[4] - x[3], x[3])):
+        if all(b <= c or d <= a for _, c, d, _ in out):
+            out.append((name, a, b, n / size))
+    return sorted((name, spots[a][0], spots[b - 1][1], round(c, 9)) for name, a, b, c in out)
+
+
+def test_results_match_a_plain_scan_of_every_window():
+    """Whole results - names, spans, coverage - of copies with words left out, changed and added, one after another."""
+    rng = random.Random(4)
+    lines = [n for n in NOTICES if len(NOTICES[n].split()) < 60]
+    notices = [license_scan.Notice(n, NOTICES[n], 0.8, license_scan.MARKS.get(n, ())) for n in lines]
+    wanted = set().union(*(t.keys for t in notices))
+    some = 0
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = NOTICES[rng.choice(lines)].split()
+            for _ in range(rng.randrange(3) if len(words) > 15 else 0):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice(([], ["changed"], [words[at], "added"]))
+            parts += [" ".join(words), " ".join(rng.choice(("lorem", "ipsum", "the", "license", "of")) for _ in range(rng.randrange(25)))]
+        text = " ".join(parts)
+        got = sorted((n, a, b, round(c, 9)) for n, a, b, c in license_scan.find_notices(text, notices, wanted))
+        assert got == plain_licenses(text, notices), text
+        some += len(got)
+    assert some > 40
+
+
+def test_many_notices_in_one_text_take_time_in_proportion():
+    notices = [license_scan.Notice("MIT-line", NOTICES["MIT-line"], 0.8)]
+    began = time.process_time()
+    assert len(license_scan.find_notices(f"{NOTICES['MIT-line']} so " * 8000, notices, notices[0].keys)) == 8000
+    assert time.process_time() - began < 30
+
+
 # Personal data -------------------------------------------------------------------------------------------------------
 
 def base_pii(t):

@@ -355,6 +355,53 @@ def test_quality_on_held_out_rows(spark, sf):
     assert max(abs(again[r["doc_id"]] - r["score"]) for r in out.collect()) < 1e-6  # held-out labels and columns are not read
 
 
+def plain_isotonic(x, y, w):
+    """The rising curve by its min-max formula; a knot at the mean x of each run of equal values."""
+    n = len(x)
+    mean = lambda a, b: np.average(y[a : b + 1], weights=w[a : b + 1])
+    value = np.array([max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+    cuts = np.flatnonzero(np.diff(value) > 1e-12) + 1
+    runs = np.split(np.arange(n), cuts)
+    return np.array([np.average(x[r], weights=w[r]) for r in runs]), np.array([value[r[0]] for r in runs])
+
+
+def test_scores_match_a_direct_fit(spark, sf):
+    """The whole result against NumPy alone: statistics, cosines, one least-squares problem, the isotonic curve."""
+    import pyarrow as pa
+
+    docs = [(r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").collect()]
+    label = {r["doc_id"]: r["quality"] for r in common.table(spark, sf, "labels").collect()}
+    x = quality.statistics(pa.array([t for _, t in docs], pa.string())).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 4 for i, _ in docs])
+    y = np.array([label.get(i, np.nan) for i, _ in docs], float)
+    known = ~np.isnan(y) & (fold != 2)
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(0, 1 / 3.0, (x.shape[1], 256)), rng.uniform(0, 2 * np.pi, 256)
+    z = np.clip((x - x[known].mean(axis=0)) / np.maximum(x[known].std(axis=0), 1e-6), -8, 8)
+    z = np.column_stack([np.cos(z @ w + b) * np.sqrt(2 / 256), np.ones(len(x))])
+    fits, curve = known & (fold != 3), known & (fold == 3)
+    n = fits.sum()
+    root = np.sqrt(1e-3 * n * np.append(np.ones(256), 1e-6))
+    weights = np.linalg.lstsq(np.vstack([z[fits], np.diag(root)]), np.append(y[fits], np.zeros(257)), rcond=None)[0]
+    raw = z @ weights
+    bins = np.floor(np.clip(raw[curve], -1, 2) * (1000 / 3) + 0.5)
+    groups = [np.flatnonzero(bins == v) for v in np.unique(bins)]
+    cx, cy, cn = (np.array([f(g) for g in groups], float) for f in (lambda g: raw[curve][g].mean(), lambda g: y[curve][g].mean(), len))
+    want = np.clip(0.998 * np.interp(raw, *plain_isotonic(cx, cy, cn)) + 0.002 * np.clip(raw, 0, 1), 0, 1)
+    got = {r["doc_id"]: r for r in quality.score_documents(common.table(spark, sf, "documents"), common.table(spark, sf, "labels")).collect()}
+    assert len(got) == len(docs) and max(abs(got[i]["score"] - s) for (i, _), s in zip(docs, want, strict=True)) < 1e-5
+    assert all(got[i]["held_out"] == (f == 2) and got[i]["predicted"] == int(got[i]["score"] >= 0.7) for (i, _), f in zip(docs, fold, strict=True))
+
+
+def test_isotonic_matches_its_formula():
+    rng = np.random.default_rng(15)
+    for _ in range(50):
+        n = rng.integers(1, 30)
+        x, y, w = np.sort(rng.normal(size=n)), rng.choice([0.0, 0.3, 0.5, 1.0], n), rng.integers(1, 5, n).astype(float)
+        a, b = quality.isotonic(x, y, w), plain_isotonic(x, y, w)
+        assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1])
+
+
 def test_quality_edge_cases(spark):
     d = documents(spark, None, "", "x " * 100_000, "good text", "good text")
     none = spark.createDataFrame([], "doc_id long, quality int")
