@@ -2,7 +2,8 @@
 
 Equal blocks of words are seats. Sources win seats by their targets, shards of a source win the source's seats by
 their words, and each shard then takes its seats from a seeded order of its documents. All of it is arithmetic on
-positions: no block becomes a row.
+positions: no block becomes a row. The table of sources, one row each, is worked on by one task, and so is a source's
+table of shards (MOST_SHARDS rows); documents never are. That holds for some millions of sources.
 
 Input: any frame with an id, a text and a source column; other columns are ignored.
 Defined cases: null or blank text has size 0 and is taken 0 times; a null source is a source of its own, last in
@@ -87,7 +88,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> Dat
 def _apportion(votes: str, block: int, most: int, seats: str | None):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(rows.columns)).reset_index(drop=True)
-        caps = (most * rows["words"].to_numpy(float)) // block
+        caps = np.ceil(most * rows["words"].to_numpy(float) / block)  # the last block may be a part of one
         total = int(rows[seats].iloc[0]) if seats else int(round(rows[votes].sum() / block))
         rows["quota"] = sainte_lague(rows[votes].to_numpy(float), total, caps.astype(np.int64))
         return rows

@@ -297,6 +297,8 @@ def test_packing_round_trip(spark, tokenizer):
         padding += 1024 - end if end & (end - 1) else 0
     assert padding <= 3 * 1024 + 0.01 * sum(at.values())
     assert packing.pack_documents(d.limit(0)).isEmpty()
+    none = d.where("doc_id in (2, 4)").withColumn("doc_id", F.lit(None).cast("long"))
+    assert sum(r["length"] for r in packing.pack_documents(none).collect()) == len(ids[2]) + len(ids[4])
 
 
 @pytest.mark.parametrize("least, most", [(1, 1), (3, 3), (1, 5), (2, 40)])
@@ -409,6 +411,9 @@ def test_quality_edge_cases(spark):
     one = spark.createDataFrame([(i, 1) for i in range(5)] + [(None, 0), (3, None)], "doc_id long, quality int")
     assert {r["score"] for r in quality.score_documents(d, one).collect()} == {1.0}
     assert quality.score_documents(d.limit(0), one).isEmpty()
+    odd = d.select(F.lit(None).cast("long").alias("doc_id"), "text").union(d.select("doc_id", "text"))
+    got = quality.score_documents(odd, one).collect()
+    assert len(got) == 10 and not any(r["held_out"] for r in got if r["doc_id"] is None) and quality.keep_good(odd, one).count() == 10
 
 
 def test_normal_equations_and_isotonic():
@@ -462,6 +467,16 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0)).isEmpty() and set(mixing.take(d, out).columns) == set(d.columns)
 
 
+def test_small_sources_and_null_ids_are_mixed(spark):
+    data = [(None, "one two three", "tiny"), (None, "one two three", "tiny"), (1, None, "none"), (2, "w " * 400, "big"), (None, "x " * 100, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mix(d)
+    assert out.count() == 5
+    for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect():
+        assert abs(r["t"] - r["target"]) <= 16 and (r["target"] < 9 or r["t"] > 0)
+    assert not out.where("taken > 3 * size").collect()
+
+
 def test_sainte_lague_by_quotients():
     rng = random.Random(8)
     for _ in range(200):
@@ -498,6 +513,9 @@ def test_urls_match_brute_force(spark, sizes):
     got = rows(url_filter.filter_urls(f, listed=spark.createDataFrame([(k,) for k in listed], "key string"), **sizes), "page_id", "host", "path", "rule", "verdict")
     assert sorted(got) == [(i, *brute_url(u, listed)) for i, u in enumerate(urls)]
     assert url_filter.filter_urls(f.limit(0)).isEmpty()
+    long = ["http://" + "a" * 300_000 + ".example.com/en/7", "http://example.com/en/" + "b" * 300_000, "x" * 300_000 + "://example.net/de/8"]
+    f = spark.createDataFrame([(None, u) for u in long], "page_id long, url string")
+    assert sorted(r["rule"] for r in url_filter.filter_urls(f, **sizes).collect()) == ["com/en/", "example.com/en/7", "example.net/de/8"]
 
 
 def test_cascade_is_exact_and_small(spark):
