@@ -234,9 +234,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_o
     model = _learn(measured, labels, held_out_fold, folds, curve_fold, id_col, label_col, **fitting)
     free(measured)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = model.score(statistics(batch.column(text_col)).astype(np.float32).astype(float)) >= threshold
-            yield batch.filter(pa.array(good))
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.score(statistics(text).astype(np.float32).astype(float)))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Only the text goes to Python; the rows stay where they are.
+    return docs.where(F.arrow_udf(score, "double")(F.col(text_col)) >= threshold)
