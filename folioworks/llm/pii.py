@@ -13,15 +13,18 @@ write them (no `+`, other separators, brackets around a dot or an `@`); and stre
 but for those that hold separators and groups as the changed copies have them, and everyday numbers (dates, prices, versions, ranges).
 
 Defined cases: null text is empty; repeated rows are scanned each; stretches of any length are decoded whole, in time
-proportional to their length; an empty table gives an empty result.
+proportional to their length; only decimal digits (of any script) are digits to the model, ASCII ones to the known
+forms; a part of an IP may have any number of leading zeros; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.common import keep, some_rows
-from folioworks.llm.spans import SPAN, SPANS, count, in_order, joined, replace_spans
+from folioworks.llm.spans import SPAN, SPANS, count, in_order, joined, merged, replace_spans
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -55,6 +58,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    """Whether a run of digits is a number up to 255; leading zeros may be any number."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def _digits(token: str) -> bool:
+    """Whether a token is a run of decimal digits; superscripts, circled digits and the like count as letters."""
+    return token[0].isdecimal()
+
+
 def _emails(text: str) -> Iterator[tuple[str, int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -73,7 +87,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return []
     out = list(_emails(text))
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m.group().split(".")))]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -114,11 +128,11 @@ def segments(tokens: list[str], before: str) -> list[tuple[int, int, list[str]]]
         mail = False
         for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
             t = tokens[j - 1]
-            if t[0].isdigit():
+            if _digits(t):
                 digits, groups = digits + len(t), groups + 1
                 if not mails and (digits > MOST_DIGITS or groups > MOST_GROUPS):
                     break
-            elif t[0].isalpha():
+            elif t[0].isalnum():
                 letters += 1
                 if not mails:
                     break
@@ -134,7 +148,7 @@ def segments(tokens: list[str], before: str) -> list[tuple[int, int, list[str]]]
 
 
 def _features(part: list[str], before: str, mail: bool, digits: int) -> list[str]:
-    groups = [t for t in part if t[0].isdigit()]
+    groups = [t for t in part if _digits(t)]
     between = "".join(sorted({t for t in part if not t[0].isalnum()}))
     out = ["bias", f"sep={between}", f"mail={mail}", f"before={before}", f"first={part[0] if not part[0][0].isalnum() else ''}", f"end={part[-1] if not part[-1][0].isalnum() else ''}"]
     if mail:
@@ -144,7 +158,7 @@ def _features(part: list[str], before: str, mail: bool, digits: int) -> list[str
                 f"ats={min(part.count('@'), 2)}", f"spaces={min(part.count(' '), 3)}"]
     whole = "".join(groups)
     return [*out, f"digits={min(digits, 20)}", f"groups={min(len(groups), 6)}", f"digits,groups={min(digits, 20)},{min(len(groups), 6)}", "shape=" + ",".join(str(min(len(g), 5)) for g in groups[:5]),
-            f"luhn={12 <= digits <= 19 and whole.isascii() and luhn(whole)}", f"bytes={len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)}", f"year={len(groups[0]) == 4 and groups[0][:2] in ('18', '19', '20')}"]
+            f"luhn={12 <= digits <= 19 and whole.isascii() and luhn(whole)}", f"bytes={len(groups) == 4 and all(map(_byte, groups))}", f"year={len(groups[0]) == 4 and groups[0][:2] in ('18', '19', '20')}"]
 
 
 def _sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -400,30 +414,35 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, SPANS), pa.array(near, _STRETCHES)], ["id", "print", "base", "near"])
 
 
+def added(field: Field, least: float, base: list[tuple[int, int]], near: list[tuple[int, str, str]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of what the field adds to a text's known spans `base`; near: its stretches. Known spans are found by bisection."""
+    base, found = merged(base), []
+    ends = [b for _, b in base]
+    for start, text, before in near:
+        rest, at = [], start
+        k = bisect_right(ends, start)
+        while k < len(base) and base[k][0] < start + len(text):
+            rest.append(text[at - start : max(at, base[k][0]) - start])
+            at = base[k][1]
+            k += 1
+        if not any(map(_DIGIT.search, [*rest, text[at - start :]])):
+            continue  # all of it is known
+        tokens = _TOKEN.findall(text)
+        places = list(accumulate(map(len, tokens), initial=start))
+        for i, j, kind, p in field.entities(tokens, before):
+            k = bisect_right(ends, places[i])
+            if p >= least and not (k < len(base) and base[k][0] < places[j]):
+                found.append((kind, places[i], places[j]))
+    return found
+
+
 def _decode(field: Field, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             more = []
             for base, near in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = []
-                for s in near:
-                    rest, at = [], s["start"]
-                    for a, b in sorted((x["start"], x["end"]) for x in base):
-                        rest.append(s["text"][max(0, at - s["start"]) : max(0, a - s["start"])])
-                        at = max(at, b)
-                    if not any(map(_DIGIT.search, [*rest, s["text"][max(0, at - s["start"]) :]])):
-                        continue  # all of it is known
-                    tokens = _TOKEN.findall(s["text"])
-                    entities = field.entities(tokens, s["before"])
-                    if not entities:
-                        continue
-                    at = [s["start"]]
-                    for t in tokens:
-                        at.append(at[-1] + len(t))
-                    for i, j, kind, p in entities:
-                        if p >= least and not any(b["start"] < at[j] and at[i] < b["end"] for b in base):
-                            found.append({"kind": kind, "start": at[i], "end": at[j]})
-                more.append(found)
+                found = added(field, least, [(x["start"], x["end"]) for x in base], [(s["start"], s["text"], s["before"]) for s in near])
+                more.append([{"kind": kind, "start": a, "end": b} for kind, a, b in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(more, SPANS)], ["id", "print", "base", "more"])
 
     return run

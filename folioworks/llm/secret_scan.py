@@ -8,15 +8,16 @@ anywhere from 0 to 1 for random characters.
 
 The null hypothesis is "text": each STEP characters of each document give one text-like string, its words joined to a
 length from LEAST to 10 LEAST, whose figure is taken alike. A candidate's p-value is the share of such strings of its
-encoding and length (of its length alone, where text has fewer than FEW of its encoding) that look as random as it does. In each stratum of
-encoding and length Benjamini-Hochberg then rejects at `rate`, and the rejected are reported as `random`: so of the
-reports about that share at most is text. Short strings, which the tests tell apart less well, need a random look that
-text of their length hardly ever has.
+encoding and length (of its length alone, where text has fewer than FEW of its encoding) that look as random as it does. One
+Benjamini-Hochberg over the p-values of all strata rejects at `rate`, and the rejected are reported as `random`: so of
+the reports about that share at most is text. Each distinct token is one finding, however many copies of its document
+there are. A p-value is at least one over the number of text-like strings, so where text is too scarce to show that a
+token is rare, nothing is reported.
 
 Figures are counted in bins by stratum, tables of bounded size, so the control sees every candidate and all documents.
 
-Defined cases: null text is empty; repeated rows are scanned each and count each; a table without text-like strings
-reports no `random` span; an empty table gives an empty result.
+Defined cases: null text is empty; repeated rows are scanned each, their tokens count once; a table without text-like
+strings reports no `random` span; texts of any length take time in proportion to it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioworks.llm.common import keep
-from folioworks.llm.spans import SPAN, SPANS, count, in_order, joined, replace_spans
+from folioworks.llm.spans import SPAN, SPANS, count, in_order, joined, merged, replace_spans
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -106,13 +109,13 @@ def bin_of(p: float) -> int:
 def candidates(text: str, known: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, end, stratum, bin) of each long token that isn't within known spans."""
     out = []
-    spans = sorted((a, b) for _, a, b in known)
+    spans = merged([(a, b) for _, a, b in known])
+    ends = [b for _, b in spans]
     for m in TOKEN.finditer(text):
-        at = m.start()
-        for a, b in spans:
-            if a <= at < b:
-                at = b
-        if at < m.end() and m.group().rstrip("="):
+        k = bisect_right(ends, m.start())
+        if k < len(spans) and spans[k][0] <= m.start() and m.end() <= ends[k]:
+            continue
+        if m.group().rstrip("="):
             stratum, p = randomness(m.group())
             out.append((m.start(), m.end(), stratum, bin_of(p)))
     return out
@@ -132,37 +135,51 @@ def text_like(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32())]))
-_LIKE = pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32())]))
+_CANDIDATES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.int32()), ("bin", pa.int32()), ("token", pa.int64())]))
+_LIKE = pa.list_(pa.struct([("stratum", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]))
+
+
+def _token_id(token: str) -> int:
+    return int.from_bytes(blake2b(token.encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and candidates of each row; the batch's first row also has the counts of all its text-like strings."""
     for batch in batches:
-        base, more, like = [], [], []
+        base, more, like = [], [], Counter()
         for text in batch.column(1):
             text = text.as_py() or ""
             known = base_spans(text)
             base.append([{"kind": k, "start": a, "end": b} for k, a, b in known])
-            more.append([{"start": a, "end": b, "stratum": s, "bin": x} for a, b, s, x in candidates(text, known)])
-            like.append([{"stratum": s, "bin": x} for s, x in text_like(text)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, SPANS), pa.array(more, _CANDIDATES), pa.array(like, _LIKE)], ["id", "print", "base", "more", "like"])
+            more.append([{"start": a, "end": b, "stratum": s, "bin": x, "token": _token_id(text[a:b])} for a, b, s, x in candidates(text, known)])
+            like.update(text_like(text))
+        likes = [[{"stratum": s, "bin": x, "n": n} for (s, x), n in like.items()], *[None] * (batch.num_rows - 1)][: batch.num_rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(base, SPANS), pa.array(more, _CANDIDATES), pa.array(likes, _LIKE)], ["id", "print", "base", "more", "like"])
 
 
 def last_bins(found: Counter, like: Counter, rate: float) -> dict[int, int]:
-    """stratum -> the last bin (the least random look) that Benjamini-Hochberg rejects at `rate`; found, like: (stratum, bin) -> count of candidates, of text-like strings."""
-    by_length: Counter = Counter()
+    """stratum -> the last bin (the least random look) that Benjamini-Hochberg rejects at `rate` over all strata; found, like: (stratum, bin) -> count of distinct candidates, of text-like strings."""
+    own: dict[int, Counter] = defaultdict(Counter)
+    by_length: dict[int, Counter] = defaultdict(Counter)
     for (stratum, x), n in like.items():
-        by_length[stratum % 10, x] += n
-    out = {}
+        own[stratum][x] += n
+        by_length[stratum % 10][x] += n
+    p = {}
     for stratum in {s for s, _ in found}:
-        null = {x: n for (s, x), n in like.items() if s == stratum}
-        if sum(null.values()) < FEW:
-            null = {x: n for (length, x), n in by_length.items() if length == stratum % 10}
-        total, all_null, below, null_below = sum(n for (s, _), n in found.items() if s == stratum), sum(null.values()), 0, 0
-        for x in range(MOST_BIN + 1):
-            below, null_below = below + found.get((stratum, x), 0), null_below + null.get(x, 0)
-            if (1 + null_below) / (1 + all_null) <= rate * below / total:
-                out[stratum] = x
+        null = own[stratum] if own[stratum].total() >= FEW else by_length[stratum % 10]
+        below, total = 0, null.total()
+        for x in range(MOST_BIN + 1):  # bin 0 looks most random
+            below += null[x]
+            p[stratum, x] = (1 + below) / (1 + total)
+    least, seen, total = -1.0, 0, found.total()
+    for key in sorted(found, key=p.__getitem__):
+        seen += found[key]
+        if p[key] <= rate * seen / total:
+            least = p[key]
+    out: dict[int, int] = {}
+    for (stratum, x), value in p.items():
+        if value <= least:
+            out[stratum] = max(x, out.get(stratum, x))
     return out
 
 
@@ -170,13 +187,13 @@ def scan(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col:
     """(id, print, base, spans) for each row: the text's hash, spans of known forms, and all spans with the `random` ones, in order."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     kind = f"id {docs.schema['id'].dataType.simpleString()}, print long, base array<{SPAN}>"
-    kind += ", more array<struct<start:int,end:int,stratum:int,bin:int>>, like array<struct<stratum:int,bin:int>>"
+    kind += ", more array<struct<start:int,end:int,stratum:int,bin:int,token:long>>, like array<struct<stratum:int,bin:int,n:long>>"
     found = keep(docs.mapInArrow(_scan, kind), "secret-candidates")
-    each = found.select(F.lit(True).alias("found"), F.explode("more").alias("c")).select("found", "c.stratum", "c.bin")
-    each = each.union(found.select(F.lit(False), F.explode("like").alias("c")).select(F.lit(False), "c.stratum", "c.bin"))
-    counts = each.groupBy("found", "stratum", "bin").agg(F.count("*").alias("n")).collect()  # strata times bins at most
-    of = lambda which: Counter({(r["stratum"], r["bin"]): r["n"] for r in counts if r["found"] == which})
-    last = last_bins(of(True), of(False), rate)
+    each = found.select(F.explode("more").alias("c")).select("c.stratum", "c.bin", "c.token").distinct()
+    of = lambda rows: Counter({(r["stratum"], r["bin"]): r["n"] for r in rows.collect()})  # noqa: E731  strata times bins at most
+    counts = of(each.groupBy("stratum", "bin").agg(F.count("*").alias("n")))
+    likes = of(found.select(F.explode("like").alias("c")).groupBy("c.stratum", "c.bin").agg(F.sum("c.n").alias("n")))
+    last = last_bins(counts, likes, rate)
     table = F.create_map(*(F.lit(x) for pair in (last or {-1: -1}).items() for x in pair))
     random = F.filter("more", lambda c: c["bin"] <= F.coalesce(F.try_element_at(table, c["stratum"]), F.lit(-1)))
     random = F.transform(random, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))

@@ -12,6 +12,17 @@ SPAN = "struct<kind:string,start:int,end:int>"
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def in_order(spans: str, kinds: tuple[str, ...]):
     """The spans by start, then by the order of `kinds` (others after them, by name)."""
     place = F.create_map(*(F.lit(x) for pair in zip(kinds, range(len(kinds)), strict=True) for x in pair))
