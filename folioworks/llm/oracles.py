@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+from folioworks.llm import merkle
 from folioworks.llm.url_filter import RULES
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
+
+
+def _tree(text: str) -> str:
+    """A text's fingerprint as an SQL expression."""
+    paragraph = lambda p, pieces: f"list_transform(regexp_extract_all({p}, '{pieces}'), lambda x: sha256(x) || lpad(CAST(length(x) AS VARCHAR), 2, '0'))"
+    opening = f"CASE WHEN {text} = '' THEN [] ELSE [{paragraph(f'substr({text}, 1, {merkle.OPENING})', merkle.WORDS)}] END"
+    rest = f"list_transform(regexp_extract_all(substr({text}, {merkle.OPENING + 1}), '{merkle.PARAGRAPHS}'), lambda q: {paragraph('q', merkle.PIECES)})"
+    whole = f"""list_transform(list_concat({opening}, {rest}), lambda ps: {{'h': sha256(coalesce(array_to_string(ps, ''), '')),
+                't': coalesce(array_to_string(list_transform(ps, lambda x: x[1:8] || x[65:66]), ''), '')}})"""
+    closes = f"substr(p[i].h, 64, 1) IN ({', '.join(repr(c) for c in merkle.CLOSING)}) OR i = len(p)"
+    ends = f"(SELECT {{'p': p, 'e': list_filter(range(1, len(p) + 1), lambda i: {closes})}} FROM (SELECT {whole} AS p))"
+    cut = "list_transform(range(1, len(s.e) + 1), lambda k: s.p[CASE WHEN k = 1 THEN 1 ELSE s.e[k - 1] + 1 END : s.e[k]])"
+    node = "list_transform(c, lambda ps: {'h': sha256(array_to_string(list_transform(ps, lambda x: x.h), '')), 't': array_to_string(list_transform(ps, lambda x: x.t), '.')})"
+    line = "sha256(coalesce(array_to_string(list_transform(n, lambda x: x.h), ''), '')) || coalesce(array_to_string(list_transform(n, lambda x: '/' || x.h[1:16] || ':' || x.t), ''), '')"
+    return f"(SELECT {line} FROM (SELECT {node} AS n FROM (SELECT {cut} AS c FROM (SELECT {ends} AS s))))"
+
+
+def _near(a: str, b: str) -> str:
+    """The likeness of two fingerprints as an SQL expression."""
+    pieces = lambda x: f"list_distinct(flatten(list_transform(string_split({x}, '/')[2:], lambda s: regexp_extract_all(s[18:], '[0-9a-f]{{10}}'))))"
+    weight = lambda x: f"coalesce(list_sum(list_transform({x}, lambda t: CAST(t[9:10] AS BIGINT))), 0)"
+    return f"""CASE WHEN {a}[1:64] = {b}[1:64] THEN 1.0 ELSE (SELECT CAST(2 * {weight('list_intersect(x, y)')} AS DOUBLE) / CAST({weight('x')} + {weight('y')} AS DOUBLE)
+               FROM (SELECT {pieces(a)} AS x, {pieces(b)} AS y)) END"""
+
+
 ORACLES = {
+    "op11_merkle_fingerprint": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS h FROM documents),
+        k AS (SELECT DISTINCT * FROM d),
+        o AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS following, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+              FROM k WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, h)),
+        e AS (SELECT o.doc_id, o.h, text, following, next_id, length(text) AS n, substr(text, 1, length(text) - length(text) // 3) || substr(following, 1, length(text) // 3) AS edited FROM o),
+        f AS (SELECT *, {_tree('text')} AS fingerprint, {_tree('edited')} AS edited_fingerprint, {_tree('following')} AS next_fingerprint FROM e)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+               {_near('fingerprint', 'edited_fingerprint')} AS near_edited, {_near('fingerprint', 'next_fingerprint')} AS near_next, next_id
+        FROM d JOIN f ON d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.h = f.h""",
     "op2_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.llm import license_scan, mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
+from folioworks.llm import license_scan, merkle, mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
 from folioworks.llm.common import table
 
 
@@ -49,4 +49,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup)}
+def op11_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup, op11_merkle_fingerprint)}
