@@ -32,7 +32,20 @@ def _near(a: str, b: str) -> str:
                FROM (SELECT {pieces(a)} AS x, {pieces(b)} AS y)) END"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+        n AS (SELECT r, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+        q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+        t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+        u AS (SELECT t.r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))) AS u FROM t JOIN w USING (term) JOIN n USING (r), c),
+        s AS (SELECT item_id, r, doc_id, CAST(sum(u) AS BIGINT) AS score FROM q JOIN u USING (term) GROUP BY ALL HAVING sum(u) > 0),
+        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s)
+        SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
     "op11_merkle_fingerprint": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS h FROM documents),
         k AS (SELECT DISTINCT * FROM d),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioworks.llm import license_scan, merkle, mixing, ngram_join, nn_descent, packing, pii, quality, secret_scan, topk_search, url_filter
+from folioworks.llm import license_scan, merkle, mixing, ngram_join, nn_descent, packing, pii, quality, ranked_search, secret_scan, topk_search, url_filter, whitening
 from folioworks.llm.common import table
 
 
@@ -53,4 +53,12 @@ def op11_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup, op11_merkle_fingerprint)}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_vector_packing, op4_quality_classifier, op5_source_mixing, op6_ngram_jaccard, op7_url_filter, op8_personal_data, op9_secret_scan, op10_embedding_near_dedup, op11_merkle_fingerprint, op12_embedding_whitening, op13_ranked_search)}
