@@ -222,7 +222,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, slice_bytes: i
 def _slice(source: DataFrame, of_item: dict, places: dict[bytes, int], k: int, seed_rows: int, bucket_rows: int, bucket_entries: int, item_kind: str, item_col: str) -> DataFrame:
     spark = source.sparkSession
     counted = keep(source.mapInArrow(_counted(places), "doc_id long, words long, ids binary, tfs binary, stats array<struct<term:int,df:long>>"), "lemp-counted")
-    one = counted.agg(F.count_if("words > 0").alias("n"), F.sum("words").alias("total")).first()
+    one = counted.agg(F.count_if(F.col("words") > 0).alias("n"), F.sum("words").alias("total")).first()
     n, total = one["n"], one["total"] or 0
     held = counted.select(F.explode("stats").alias("s")).groupBy("s.term").agg(F.sum("s.df").alias("df")).collect()  # a row for each term of the slice
     if not held:
