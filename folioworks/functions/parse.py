@@ -74,8 +74,14 @@ def natural_cote_key(root) -> Column:
 
 
 def natural_key(text) -> Column:
-    """String that sorts digit runs by value: each run is padded to 12 digits."""
-    return F.array_join(F.transform(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\d+|\D+)"), 1), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    """String that sorts digit runs by value, of any length: each stands as its length's number of digits, its length and its digits without leading zeros."""
+
+    def run(p: Column) -> Column:
+        digits = F.regexp_replace(p, r"^0+(?=\d)", "")
+        length = F.length(digits).cast("string")
+        return F.when(p.rlike(r"^\d"), F.concat(F.length(length).cast("string"), length, digits)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(col(text), F.lit(r"(\d+|\D+)"), 1), run), "")
 
 
 def image_folder_from_cote(root) -> Column:

@@ -52,6 +52,11 @@ def fold_accents(x) -> Column:
     return F.regexp_replace(F.translate(col(x), _FROM, _TO), r"\p{Mn}", "")
 
 
+def french(x) -> Column:
+    """The text under French collation: sorts and compares as a French reader expects, accents and case only between texts that are equal without them, ligatures as their letters."""
+    return F.collate(col(x), "fr")
+
+
 def key_spaced(x, curly: bool = False) -> Column:
     """Comparison key: lower case, no accents; spaces, hyphens and apostrophes become one space."""
     return F.trim(F.regexp_replace(fold_accents(F.lower(col(x))), "(?U)[\\s\\-'" + ("’" if curly else "") + "]+", " "))

@@ -18,8 +18,8 @@ def order_documents(docs: DataFrame) -> DataFrame:
 
 
 def sort_keys(mode: str) -> list[Column]:
-    """Sort keys of documents: type, year_asc, year_desc, cote or commune; names sort by their letters without accents."""
-    name = T.fold_accents(F.lower("nom"))
+    """Sort keys of documents: type, year_asc, year_desc, cote or commune; names and marks sort by French collation, numbers in marks by value."""
+    name = T.french(F.coalesce("nom", F.lit("")))
     if mode == "commune":
         return [name]
     year = F.when(F.col("annee") != 0, F.col("annee"))
@@ -31,7 +31,7 @@ def sort_keys(mode: str) -> list[Column]:
     if mode == "year_desc":
         return [-F.coalesce(year, F.lit(-1))]
     if mode == "cote":
-        return [P.natural_key(F.coalesce("cote", F.lit("")))]
+        return [T.french(P.natural_key(F.coalesce("cote", F.lit(""))))]
     raise ValueError(f"no such order: {mode}")
 
 
@@ -41,9 +41,9 @@ def sort_documents(docs: DataFrame, mode: str) -> DataFrame:
 
 
 def order_communes(docs: DataFrame, mode: str) -> DataFrame:
-    """(insee, nom, annee, place): communes by their first document's year (unknown last) or by name."""
+    """(insee, nom, annee, place): communes by their first document's year (unknown last) or by name, names by French collation."""
     per = docs.groupBy("insee").agg(F.min_by("nom", "ingest_rank").alias("nom"), F.min_by("annee", document_order()).alias("annee"))
-    name = T.fold_accents(F.lower("nom"))
+    name = T.french(F.coalesce("nom", F.lit("")))
     keys = {"name": [name], "year_asc": [F.coalesce("annee", F.lit(9999)), name], "year_desc": [-F.coalesce("annee", F.lit(-1)), name]}[mode]
     return numbered(per, [*keys, F.col("insee")])
 
@@ -66,17 +66,17 @@ def dept_filter(docs: DataFrame, dept: str) -> DataFrame:
 
 
 def viewport_topk(communes: DataFrame, documented: DataFrame, bounds: tuple[float, float, float, float], zoom: float, selected: str | None = None, k: int = 12, least_zoom: float = 11) -> DataFrame:
-    """(insee, nom, place, total): the first k documented communes in view by name; a selected one beyond them comes first, with k - 1 others."""
+    """(insee, nom, place, total): the first k documented communes in view by name (French collation); a selected one beyond them comes first, with k - 1 others."""
     if zoom < least_zoom:
         communes = communes.limit(0)
     seen = communes.where(P.in_viewport("lon", "lat", *bounds)).join(documented.select("insee").distinct(), "insee", "left_semi")
-    name = [T.fold_accents(F.lower("nom")), F.col("insee")]
+    name = [T.french("nom"), F.col("insee")]
     total = seen.agg(F.count("*").alias("total"))
     # The first k and the selected one: each task hands on k + 1 rows at most.
     first = seen.orderBy(*name).limit(k).withColumn("n", F.lit(1))
     chosen = seen.where(F.col("insee") == F.lit(selected)).withColumn("n", F.lit(0))
     top = first.union(chosen).groupBy("insee", "nom").agg(F.max("n").alias("n"))
-    place = F.row_number().over(Window.orderBy("n", T.fold_accents(F.lower("nom")), "insee"))
+    place = F.row_number().over(Window.orderBy("n", T.french("nom"), "insee"))
     return top.withColumn("place", place).where(F.col("place") <= k).select("insee", "nom", "place").join(F.broadcast(total), F.lit(True))
 
 

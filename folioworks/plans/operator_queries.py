@@ -9,6 +9,7 @@ from folioworks.functions import text as T
 from folioworks.operators import browse, load, resolve, stats, tree
 from folioworks.operators.shared import first_wins as first
 from folioworks.operators.shared import last_wins as last
+from folioworks.operators.shared import numbered
 from folioworks.plans.registry import query
 
 _KEY = r"trim(regexp_replace(strip_accents(lower({0})), '[\s\-'']+', ' ', 'g'))"
@@ -443,19 +444,40 @@ def _sorted(mode: str, keys: str):
     return query(f"SELECT ingest_rank, CAST(row_number() OVER (ORDER BY {keys}, ingest_rank) AS INTEGER) AS place FROM v_unique")(run)
 
 
-_sorted("type", "CASE type WHEN 'tableau_assemblage' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, strip_accents(lower(nom))")
+_sorted("type", "CASE type WHEN 'tableau_assemblage' THEN 0 WHEN 'section' THEN 1 ELSE 2 END, nom COLLATE fr")
 _sorted("year_asc", "coalesce(annee, 9999)")
 _sorted("year_desc", "coalesce(annee, -1) DESC")
-_sorted("cote", r"array_to_string(list_transform(regexp_extract_all(lower(cote), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN lpad(x, 12, '0') ELSE x END), '')")
-_sorted("commune", "strip_accents(lower(nom))")
+_sorted("commune", "nom COLLATE fr")
+
+
+#: Numbers of marks by their place among all numbers, so that marks of equal form sort by value.
+_MARK_NUMBERS = r"""n AS (SELECT x, 'N' || lpad(CAST(dense_rank() OVER (ORDER BY CAST(x AS HUGEINT)) AS VARCHAR), 12, '0') AS place FROM (SELECT DISTINCT unnest(regexp_extract_all(cote, '\d+')) AS x FROM v_unique) r),
+    m AS (SELECT map_from_entries(list((x, place))) AS place FROM n),
+    k AS (SELECT ingest_rank, array_to_string(list_transform(regexp_extract_all(coalesce(cote, ''), '\d+|\D+'), lambda x: CASE WHEN regexp_matches(x, '^\d') THEN substr(m.place[x], 2) ELSE x END), '') AS mark FROM v_unique, m)"""
+
+
+@query(f"WITH {_MARK_NUMBERS} SELECT ingest_rank, CAST(row_number() OVER (ORDER BY mark COLLATE fr, ingest_rank) AS INTEGER) AS place FROM k")
+def sort_documents_cote(view):
+    return browse.sort_documents(view("v_unique").select("ingest_rank", "type", "annee", "cote", "nom"), "cote").select("ingest_rank", "place")
 
 
 @query(rf"""WITH p AS (SELECT insee, arg_min(nom, ingest_rank) AS nom, arg_min(coalesce(annee, 9999), {_ORD}) AS y FROM v_unique GROUP BY 1)
-    SELECT insee, nom, nullif(y, 9999) AS annee, CAST(row_number() OVER (ORDER BY y, strip_accents(lower(nom)), insee) AS INTEGER) AS place FROM p""")
+    SELECT insee, nom, nullif(y, 9999) AS annee, CAST(row_number() OVER (ORDER BY y, nom COLLATE fr, insee) AS INTEGER) AS place FROM p""")
 def order_communes(view):
     return browse.order_communes(view("v_unique"), "year_asc")
 
 
+_ODD_NAMES = """(SELECT k, CASE k % 8 WHEN 0 THEN 'Œuf-en-Ternois' WHEN 1 THEN 'Oz' WHEN 2 THEN 'Saint-Bé' WHEN 3 THEN 'Saint-Be' WHEN 4 THEN 'L''Île' WHEN 5 THEN 'L’Ile' WHEN 6 THEN 'cÔte' ELSE 'Ærø' END
+    || ' ' || CAST(CAST(floor(k / 16) AS BIGINT) AS STRING) AS nom FROM (SELECT c_custkey AS k FROM {customer}) c)"""
+
+
+@query("SELECT k, nom, CAST(row_number() OVER (ORDER BY nom COLLATE fr, k) AS INTEGER) AS place FROM " + _ODD_NAMES.format(customer="customer") + " n")
+def french_order(view):
+    """Names with ligatures, accents, hyphens and both apostrophes in a reader's order, ranked over all of them."""
+    names = _spark(view).sql(f"SELECT * FROM {_ODD_NAMES} n", customer=view("customer"))
+    return numbered(names, [T.french("nom"), F.col("k")]).select("k", "nom", "place")
+
+
 @query("SELECT ingest_rank FROM v_georef WHERE type = 'feuille' AND annee BETWEEN 1820 AND 1829 AND iiif_manifest IS NOT NULL AND georef_url IS NOT NULL")
 def facet_filter(view):
     return browse.facet_filter(view("v_georef"), "feuille", 1820, True, True).select("ingest_rank")
@@ -466,7 +488,7 @@ def dept_filter(view):
     return browse.dept_filter(view("v_unique"), "12").select("ingest_rank")
 
 
-@query("""WITH s AS (SELECT c.insee, c.nom, row_number() OVER (ORDER BY strip_accents(lower(c.nom)), c.insee) AS n, count(*) OVER () AS total FROM v_commune c WHERE lon BETWEEN -4 AND 3 AND lat BETWEEN 42 AND 43 AND insee IN (SELECT insee FROM v_unique)),
+@query("""WITH s AS (SELECT c.insee, c.nom, row_number() OVER (ORDER BY c.nom COLLATE fr, c.insee) AS n, count(*) OVER () AS total FROM v_commune c WHERE lon BETWEEN -4 AND 3 AND lat BETWEEN 42 AND 43 AND insee IN (SELECT insee FROM v_unique)),
     m AS (SELECT max(insee) AS pick FROM s)
     SELECT insee, nom, CAST(row_number() OVER (ORDER BY CASE WHEN insee = pick AND n > 12 THEN 0 ELSE 1 END, n) AS INTEGER) AS place, total FROM s, m QUALIFY place <= 12""")
 def viewport_topk(view):

@@ -153,6 +153,10 @@ def test_browse(spark):
     assert browse.viewport_topk(c, c, (0, 0, 2, 2), 9).isEmpty()
 
 
+#: As French dictionaries and ICU's root order have it: space, hyphen and apostrophes before letters.
+FRENCH = ["", "Aérodrome", "Ærø", "cote", "Cote", "coté", "Coté", "côte", "Côte", "côté", "côtes", "Eu", "Évreux", "L'Île", "L'Isle", "L’Aigle", "Œuf", "Oz", "Saint Bx", "Saint-Be", "Saint-Bé", "Ussé"]
+
+
 def test_places_by_ranges_are_places(spark):
     rng = random.Random(3)
     data = [(i, rng.randrange(50)) for i in range(500)]
@@ -160,7 +164,17 @@ def test_places_by_ranges_are_places(spark):
     got = {r["id"]: r["place"] for r in numbered(f, [F.desc("k"), F.col("id")]).collect()}
     assert got == {i: n for n, (i, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])), 1)}
     d = frame(spark, "ingest_rank int, nom string", (1, "Évreux"), (2, "Dax"), (3, "eu"), (4, "evreux"))
-    assert [r["ingest_rank"] for r in browse.sort_documents(d, "commune").orderBy("place").collect()] == [2, 3, 1, 4]
+    assert [r["ingest_rank"] for r in browse.sort_documents(d, "commune").orderBy("place").collect()] == [2, 3, 4, 1]
+
+
+def test_french_order(spark):
+    """A hand-made order: accents and case only break ties, ligatures sort as their letters, numbers by value however long."""
+    want = FRENCH
+    d = frame(spark, "ingest_rank int, nom string", *random.Random(1).sample([(i, x) for i, x in enumerate(want)], len(want)))
+    assert [r["nom"] for r in browse.sort_documents(d.repartition(5), "commune").orderBy("place").collect()] == want
+    marks = ["", "3 P 007", "3 P 8", "3 P 10", "3 P 10/2", "3 P 10/11", "3 P 9999999999999", "3 P 12345678901234567890", "3 P 12345678901234567891", "3 p 99999999999999999999", "3 P 100000000000000000000", "côte 2", "Cote 10", "côte 10", "cote 11"]
+    d = frame(spark, "ingest_rank int, cote string", *random.Random(2).sample(list(enumerate(marks)), len(marks)))
+    assert [r["cote"] for r in browse.sort_documents(d.repartition(5), "cote").orderBy("place").collect()] == marks
 
 
 def test_a_graph_is_visited_once_by_its_first_path(spark):
