@@ -73,23 +73,36 @@ def _per_text(f: Callable[[str | None], str | None]):
     return run
 
 
-def first_service_deep(manifest, needle: str) -> Column:
-    """The first service id, in document order, that contains `needle`, wherever it stands."""
+def _loaded(text: str | None):
+    """The JSON value of a text; None if it can't be read, or is nested deeper than the parser goes."""
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
 
-    def walk(node):
-        if isinstance(node, dict):
-            for service in node["service"] if isinstance(node.get("service"), list) else [node.get("service")]:
-                found = service if isinstance(service, str) else (service or {}).get("@id") or (service or {}).get("id") if isinstance(service, dict | str) else None
-                if found and needle in found:
-                    return found
-        inner = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
-        return next((x for x in map(walk, inner) if x), None)
+
+def _id(service) -> str | None:
+    """A service's id: itself, if it is text, or its `@id`, else its `id`; only text counts."""
+    if isinstance(service, dict):
+        service = next((x for x in (service.get("@id"), service.get("id")) if isinstance(x, str) and x), None)
+    return service if isinstance(service, str) else None
+
+
+def first_service_deep(manifest, needle: str) -> Column:
+    """The first service id, in document order, that contains `needle`, wherever it stands. Ids that aren't text are passed over."""
 
     def one(text):
-        try:
-            return walk(json.loads(text)) if text else None
-        except ValueError:
-            return None
+        waiting = [_loaded(text)]
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict):
+                services = node.get("service")
+                found = next((x for x in map(_id, services if isinstance(services, list) else [services]) if x and needle in x), None)
+                if found:
+                    return found
+            inner = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else ()
+            waiting.extend(reversed(inner))
+        return None
 
     return _per_text(one)(T.col(manifest))
 
@@ -99,14 +112,14 @@ _IMAGE_SERVICE = re.compile(r'api/image|"ImageService', re.I)
 
 
 def _image_service_paths(doc) -> Iterator[tuple]:
-    """The places (keys and indices from the top) of a manifest's image services that have an id."""
+    """The places (keys and indices from the top) of a manifest's image services that have a text as id."""
     waiting = [((), doc)]
     while waiting:
         path, node = waiting.pop()
         if isinstance(node, dict):
             waiting.extend(((*path, k), v) for k, v in node.items())
             declared = json.dumps([node.get(k) for k in ("@context", "profile", "type", "@type")])
-            if "service" in path[-1:] + path[-2:-1] * isinstance(path[-1] if path else "", int) and (node.get("@id") or node.get("id")) and _IMAGE_SERVICE.search(declared):
+            if "service" in path[-1:] + path[-2:-1] * isinstance(path[-1] if path else "", int) and _id(node) and _IMAGE_SERVICE.search(declared):
                 yield path
         elif isinstance(node, list):
             waiting.extend(((*path, i), v) for i, v in enumerate(node))
@@ -116,14 +129,11 @@ def rewrite_image_services(manifest, prefix: str) -> Column:
     """The manifest with every image service's id as prefix/iiif/<encoded id>; other services and the keys' names stay."""
 
     def one(text):
-        try:
-            doc = json.loads(text) if text else None
-        except ValueError:
-            return None
+        doc = _loaded(text)
         for path in list(_image_service_paths(doc)):
             service = reduce(getitem, path, doc)
             key = "@id" if "@id" in service else "id"
-            service[key] = f"{prefix}/iiif/{quote(service[key] or service['id'], safe='')}"
+            service[key] = f"{prefix}/iiif/{quote(_id(service), safe='')}"
         return None if doc is None else json.dumps(doc, ensure_ascii=False)
 
     return _per_text(one)(T.col(manifest))

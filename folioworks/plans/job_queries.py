@@ -12,7 +12,7 @@ from folioworks.plans import fixtures, jobs
 from folioworks.plans.operator_queries import _ALIAS, _COMPACT, _DIFF, _KEY, _LEAVES, _LISTED, _LOCAL, _RUBRIC, _STATS
 from folioworks.plans.registry import ORACLES, QUERIES, query
 from folioworks.sources import readers
-from folioworks.streaming import inserts
+from folioworks.streaming import inserts, keyed
 
 _CLEAN = r"trim(str_split(CASE WHEN commune_raw LIKE '%(Nord, France)' THEN trim(regexp_extract(commune_raw, '^(.*?)\s*\(', 1)) WHEN contains(commune_raw, '(') THEN regexp_extract(commune_raw, '\((.*?),', 1) ELSE commune_raw END, '/')[-1])"
 _W1 = f"""
@@ -241,12 +241,12 @@ _EVENT_COLUMNS = (
 )
 
 
-def _stream(spark, sf_dir):
-    """The events in two turns, those with even numbers first, so that each key comes again in a later batch."""
+def _stream(spark, sf_dir, turns=("event_id % 2 = 0", "event_id % 2 = 1")):
+    """The events in turns, a batch for each; by default those with even numbers first, so that each key comes again in a later batch."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
-    for turn in (0, 1):
-        events.where(F.col("event_id") % 2 == turn).coalesce(1).write.mode("append").parquet(at)
+    for turn in turns:
+        events.where(turn).coalesce(1).write.mode("append").parquet(at)
     kinds = ", ".join(f"{n} {t}" for n, t in events.dtypes)
     return inserts.read_inserts(spark, at, kinds).selectExpr(*_EVENT_COLUMNS)
 
@@ -259,7 +259,7 @@ def _folders(spark):
 def stream_dedupe_archive_url(spark, sf_dir):
     """One row for each key over a stream's batches."""
     out, checkpoint = _folders(spark)
-    inserts.ingest_unique(_stream(spark, sf_dir), out, checkpoint)
+    keyed.run(keyed.unique_rows(_stream(spark, sf_dir)), out, checkpoint)
     return spark.read.parquet(out).select("archive_url", "event_id")
 
 
@@ -281,9 +281,29 @@ def burst_refreshes(view):
     return b.select(F.col("start").cast("string").alias("first"), "n", F.array_join("depts", ",").alias("depts"))
 
 
+def burst_statistics(spark, sf_dir):
+    """Each department's statistics after each of its bursts (30 minutes' pause), from the stream in four turns of time; bursts that the watermark, 6 hours behind, hasn't passed aren't there yet."""
+    turns = [f"pmod(cast(ts as date) - date'2024-01-01', 32) between {a} and {a + 7}" for a in (0, 8, 16, 24)]
+    out, checkpoint = _folders(spark)
+    events = _stream(spark, sf_dir, turns).withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed.run(keyed.burst_statistics(events, "30 minutes", "6 hours"), out, checkpoint)
+    found = spark.read.parquet(out)
+    return found.withColumns({c: F.unix_micros(c) for c in ("start", "last")})
+
+
+QUERIES["burst_statistics"] = burst_statistics
 QUERIES["stream_dedupe_archive_url"] = stream_dedupe_archive_url
 QUERIES["stream_documents_to_stats"] = stream_documents_to_stats
 _STREAM_SQL = {
+    "burst_statistics": """SELECT dept, start, last, n, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(sum(overlay_ok) OVER w AS BIGINT) AS overlay_ok, CAST(sum(with_iiif) OVER w AS BIGINT) AS with_iiif, CAST(sum(assemblages) OVER w AS BIGINT) AS assemblages,
+            CAST(sum(sections) OVER w AS BIGINT) AS sections, CAST(sum(feuilles) OVER w AS BIGINT) AS feuilles, CAST(sum(coalesce(fresh, 0)) OVER w AS BIGINT) AS communes FROM (
+        WITH e AS (SELECT event_id, epoch_us(ts) AS t, lpad(CAST(user_id % 25 + 1 AS VARCHAR), 2, '0') AS dept, event_id % 37 AS commune FROM events),
+        x AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY dept ORDER BY t, event_id) < 1800000000 THEN 0 ELSE 1 END AS new FROM e),
+        y AS (SELECT *, sum(new) OVER (PARTITION BY dept ORDER BY t, event_id) AS g FROM x),
+        c AS (SELECT dept, g, count(*) AS fresh FROM (SELECT dept, commune, min(g) AS g FROM y GROUP BY 1, 2) f GROUP BY 1, 2)
+        SELECT y.dept, y.g, min(t) AS start, max(t) AS last, count(*) AS n, count_if(event_id % 5 <> 0) AS overlay_ok, count_if(event_id % 4 <> 0) AS with_iiif, count_if(event_id % 3 = 0) AS assemblages,
+               count_if(event_id % 3 = 1) AS sections, count_if(event_id % 3 = 2) AS feuilles, any_value(fresh) AS fresh FROM y LEFT JOIN c ON y.dept = c.dept AND y.g = c.g GROUP BY 1, 2) b
+        WHERE last + 1800000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events) - 21600000000 WINDOW w AS (PARTITION BY dept ORDER BY g)""",
     "stream_dedupe_archive_url": "SELECT archive_url, min(event_id) AS event_id FROM v_insert_event GROUP BY 1",
     "stream_documents_to_stats": """SELECT lpad(CAST(user_id % 25 + 1 AS VARCHAR), 2, '0') AS dept, count(*) AS total, count_if(event_id % 5 <> 0) AS overlay_ok, count_if(event_id % 4 <> 0) AS with_iiif, count_if(event_id % 3 = 0) AS assemblages,
         count_if(event_id % 3 = 1) AS sections, count_if(event_id % 3 = 2) AS feuilles, count(DISTINCT event_id % 37) AS communes FROM events GROUP BY 1""",

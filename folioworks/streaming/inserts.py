@@ -1,7 +1,7 @@
 """The feed of inserted documents as a stream: one row per key, running statistics, bursts.
 
 State is bounded by watermarks where a bounded answer is enough (`dedupe_within`, `bursts`); the catalogue's own
-uniqueness, which has no time bound, is kept by a merge in foreachBatch.
+uniqueness, which has no time bound, and statistics by burst are in `keyed`.
 """
 
 from __future__ import annotations
@@ -27,46 +27,6 @@ def bursts(events: DataFrame, gap: str = "500 milliseconds", ts: str = "ts", lat
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class UniqueSink:
-    """foreachBatch sink: one row for each key over all batches, in a table partitioned by the key's hash and by batch.
-
-    A batch reads former keys of its own hash partitions only, and writes its folders by overwriting them, so a batch
-    that is run again after a failure changes nothing.
-    """
-
-    def __init__(self, path: str, key: str = "archive_url", order: str = "event_id", parts: int = 64):
-        self.path, self.key, self.order, self.parts = path, key, order, parts
-
-    def seen(self, spark: SparkSession, batch: int, parts: list[int]) -> DataFrame | None:
-        """Keys of the batches before, in these partitions."""
-        try:
-            return spark.read.parquet(self.path).where(F.col("part").isin(parts) & (F.col("batch") < batch)).select(self.key)
-        except Exception as e:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-
-    def __call__(self, rows: DataFrame, batch: int) -> None:
-        from folioworks.operators.shared import first_wins
-
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")).persist()
-        try:
-            parts = [r["part"] for r in rows.select("part").distinct().collect()]  # at most `parts`
-            new = first_wins(rows, [self.key], self.order)
-            old = self.seen(rows.sparkSession, batch, parts)
-            if old is not None:
-                new = new.join(old, self.key, "left_anti")
-            new.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "batch").parquet(self.path)
-        finally:
-            rows.unpersist()
-
-
-def ingest_unique(events: DataFrame, path: str, checkpoint: str, key: str = "archive_url", order: str = "event_id") -> None:
-    """Runs the stream over what is there, through UniqueSink, and returns when it is done."""
-    sink = UniqueSink(path, key, order)
-    events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def running_stats(events: DataFrame, path: str, checkpoint: str) -> None:
     """The statistics of inserted documents: per batch partial counts by department and commune, which `read_stats` adds up.
 

@@ -23,7 +23,7 @@ _STORE = {
 #: What is counted of inserted documents, in the order of the columns.
 MEASURES = ("total", "overlay_ok", "with_iiif", "assemblages", "sections", "feuilles")
 _COUNTS = ", ".join(f"{m} long" for m in MEASURES)
-BURST = f"dept string, start timestamp, last timestamp, n long, {_COUNTS}, communes long"
+_BURST = f"dept string, start long, last long, n long, {_COUNTS}, communes long"
 
 
 @contextmanager
@@ -59,8 +59,7 @@ class BurstStatistics(StatefulProcessor):
         parts = [(k[0], v[0], list(v[1:-1]), set(v[-1])) for k, v in self.open.iterator()]
         before = {p[0] for p in parts}
         for frame in rows:
-            at = frame["ts"].astype("datetime64[us]").astype("int64")
-            frame = frame.assign(at=at).sort_values("at")
+            frame = frame.sort_values("at")
             burst = (frame["at"].diff() >= self.gap).cumsum()
             sums = frame.groupby(burst)[list(MEASURES)].sum()
             for (i, own), (_, counts) in zip(frame.groupby(burst), sums.iterrows(), strict=True):
@@ -91,7 +90,7 @@ class BurstStatistics(StatefulProcessor):
             so_far = [*(a + b for a, b in zip(so_far, counts)), so_far[-1] + len(new)]
             self.totals.update(tuple(so_far))
             self.open.removeKey((start,))
-            found.append((key[0], pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n, *so_far))
+            found.append((key[0], start, last, n, *so_far))
         if found:
             yield pd.DataFrame(found, columns=["dept", "start", "last", "n", *MEASURES, "communes"])
 
@@ -115,9 +114,10 @@ def burst_statistics(events: DataFrame, gap: str = "500 milliseconds", lateness:
     kinds = ((P.TABLEAU, "assemblages"), (P.SECTION, "sections"), (P.FEUILLE, "feuilles"))
     one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     counted = events.where("dept is not null and ts is not null").select(
-        "dept", "ts", "insee", F.lit(1).cast("long").alias("total"), one(F.col("licence_overlay_ok")).alias("overlay_ok"), one(F.col("iiif_manifest").isNotNull()).alias("with_iiif"), *(one(F.col("type") == k).alias(n) for k, n in kinds))
+        "dept", "ts", F.unix_micros("ts").alias("at"), "insee", F.lit(1).cast("long").alias("total"), one(F.col("licence_overlay_ok")).alias("overlay_ok"), one(F.col("iiif_manifest").isNotNull()).alias("with_iiif"), *(one(F.col("type") == k).alias(n) for k, n in kinds))
     keyed = counted.withWatermark("ts", lateness).groupBy("dept")
-    return keyed.transformWithStateInPandas(BurstStatistics(_microseconds(gap)), BURST, "Append", "EventTime")
+    out = keyed.transformWithStateInPandas(BurstStatistics(_microseconds(gap)), _BURST, "Append", "EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("start", "last")})
 
 
 class FirstOfKey(StatefulProcessor):
@@ -149,12 +149,14 @@ class FirstOfKey(StatefulProcessor):
 def unique_rows(events: DataFrame, key: str = "archive_url", order: str = "event_id", buckets: int = 1024) -> DataFrame:
     """The stream's rows that are the first of their key: over all batches, within a batch by `order`.
 
-    Keys are dealt to `buckets` by hash; each bucket looks up only the keys that a batch brings. Rows without a key are left out.
+    Keys (text) are dealt to `buckets` by hash; each bucket looks up only the keys that a batch brings. Rows without a
+    key are equal to no others and all stay, as under a UNIQUE constraint.
     """
     names = events.columns
     kept = events.where(F.col(key).isNotNull()).withColumn("bucket_", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     shape = ", ".join(f"`{n}` {t}" for n, t in events.dtypes)
-    return kept.groupBy("bucket_").transformWithStateInPandas(FirstOfKey(key, order, names), shape, "Append", "None")
+    first = kept.groupBy("bucket_").transformWithStateInPandas(FirstOfKey(key, order, names), shape, "Append", "None")
+    return first.union(events.where(F.col(key).isNull()))
 
 
 def run(rows: DataFrame, path: str, checkpoint: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioworks.operators import manifests, stats
 from folioworks.sources import readers
-from folioworks.streaming import inserts
+from folioworks.streaming import inserts, keyed
 
 
 def lines(spark, *values):
@@ -124,9 +124,9 @@ def test_streams(spark, tmp_path):
     f.where("event_id < 7").coalesce(1).write.parquet(source)
     kinds = "event_id long, archive_url string, ts timestamp, dept string, insee string, type string, iiif_manifest string, licence_overlay_ok boolean"
     args = (str(tmp_path / "out"), str(tmp_path / "ck"))
-    inserts.ingest_unique(inserts.read_inserts(spark, source, kinds), *args)
+    keyed.run(keyed.unique_rows(inserts.read_inserts(spark, source, kinds)), *args)
     f.where("event_id >= 7").coalesce(1).write.mode("append").parquet(source)
-    inserts.ingest_unique(inserts.read_inserts(spark, source, kinds), *args)
+    keyed.run(keyed.unique_rows(inserts.read_inserts(spark, source, kinds)), *args)
     assert rows(spark.read.parquet(args[0]), "archive_url", "event_id") == [("u0", 0), ("u1", 3), ("u2", 6), ("u3", 9)]
     assert sorted(r["n"] for r in inserts.bursts(f, "5 seconds").collect()) == [4, 4, 4]
     inserts.running_stats(inserts.read_inserts(spark, source, kinds), str(tmp_path / "s"), str(tmp_path / "sc"))
@@ -136,3 +136,16 @@ def test_streams(spark, tmp_path):
     q = inserts.dedupe_within(inserts.read_inserts(spark, source, kinds)).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mc")).start()
     q.awaitTermination()
     assert spark.table("once").count() == 4
+
+
+def test_no_manifest_ends_a_job(spark):
+    """Ids that aren't text, deep nesting, half surrogates, text that isn't JSON."""
+    service = {"@context": "http://iiif.io/api/image/2/context.json", "@id": "https://x/iiif/SERIE_1", "profile": "level2"}
+    odd = [{"service": dict(service, **{"@id": v})} for v in (5, None, True, [], {}, ["a"], {"@id": "https://x/iiif/SERIE_9"}, "")]
+    texts = [json.dumps(x) for x in odd] + [json.dumps({"service": {"@id": 5, "id": "https://x/iiif/SERIE_2", "type": "ImageService3"}}), "[" * 200_000 + "]" * 200_000, '{"a":' * 5000 + "1" + "}" * 5000, "{", "", None, "5", '"x"', "null", "[1, null]", json.dumps({"service": 7}), json.dumps({"service": [7, None, "https://x/iiif/SERIE_3"]})]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = f.select("i", manifests.first_service_deep("t", "/iiif/SERIE_").alias("found"), manifests.rewrite_image_services("t", "https://p").alias("new")).collect()
+    found = {r["i"]: r["found"] for r in got if r["found"]}
+    assert found == {len(odd): "https://x/iiif/SERIE_2", len(texts) - 1: "https://x/iiif/SERIE_3"}
+    new = {r["i"]: json.loads(r["new"]) for r in got if r["new"]}
+    assert all(new[i] == x for i, x in enumerate(odd)) and new[len(odd)]["service"]["@id"] == "https://p/iiif/https%3A%2F%2Fx%2Fiiif%2FSERIE_2"
