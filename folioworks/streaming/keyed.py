@@ -40,9 +40,9 @@ def rocksdb(spark: SparkSession):
 
 
 class BurstStatistics(StatefulProcessor):
-    """A department's inserts: counters and communes so far, the bursts that are still open, a timer for the end of each.
+    """A department's inserts: counters and communes so far, the bursts that are still open, a timer for the end of the first.
 
-    A burst is open until the watermark is `gap` after its last event; events may arrive in any order until then, join two
+    No more bursts are open than fit between the watermark and the latest event, beside a batch's own. A burst is open until the watermark is `gap` after its last event; events may arrive in any order until then, join two
     open bursts or stand between them. Bursts close in the order of time, so "so far" is up to the burst's end by event time.
     """
 
@@ -53,11 +53,11 @@ class BurstStatistics(StatefulProcessor):
         self.handle = handle
         self.totals = handle.getValueState("totals", f"{_COUNTS}, communes long")
         self.communes = handle.getMapState("communes", "insee string", "first long")
-        self.open = handle.getMapState("open", "start long", f"last long, n long, {_COUNTS}, insees array<string>")
+        self.open = handle.getListState("open", f"start long, last long, n long, {_COUNTS}, insees array<string>")
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [(k[0], v[0], list(v[1:-1]), set(v[-1])) for k, v in self.open.iterator()]
-        before = {p[0] for p in parts}
+        parts = [(v[0], v[1], list(v[2:-1]), set(v[-1])) for v in self.open.get()]
         for frame in rows:
             frame = frame.sort_values("at")
             burst = (frame["at"].diff() >= self.gap).cumsum()
@@ -71,27 +71,40 @@ class BurstStatistics(StatefulProcessor):
                 joined[-1] = first, max(end, last), [a + b for a, b in zip(sums, counts, strict=True)], seen | insees
             else:
                 joined.append((start, last, counts, insees))
-        for start in before - {p[0] for p in joined}:
-            self.open.removeKey((start,))
-        for start, last, counts, insees in joined:
-            self.open.updateValue((start,), (last, *counts, sorted(insees)))
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        self._wait_for(joined)
         yield from ()
 
+    def _wait_for(self, bursts: list[tuple]) -> None:
+        """Keeps the open bursts, in order, and one timer: for the end of the one whose end comes first."""
+        if bursts:
+            self.open.put([(start, last, *counts, sorted(insees)) for start, last, counts, insees in bursts])
+        else:
+            self.open.clear()
+        ends = -(-(bursts[0][1] + self.gap) // 1000) if bursts else None
+        was = self.timer.get()[0] if self.timer.exists() else None
+        if was != ends:
+            if was is not None:
+                self.handle.deleteTimer(was)
+                self.timer.clear()
+            if ends is not None:
+                self.handle.registerTimer(ends)
+                self.timer.update((ends,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        done = sorted((k[0], v) for k, v in self.open.iterator() if v[0] + self.gap <= now)
-        found = []
-        for start, (last, n, *counts, insees) in done:
-            so_far = list(self.totals.get()) if self.totals.exists() else [0] * (len(MEASURES) + 1)
-            new = [i for i in insees if not self.communes.containsKey((i,))]
-            for i in new:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        parts = [(v[0], v[1], list(v[2:-1]), set(v[-1])) for v in self.open.get()]
+        so_far = list(self.totals.get()) if self.totals.exists() else [0] * (len(MEASURES) + 1)
+        known, found = {k[0] for k in self.communes.keys()}, []
+        for start, last, (n, *counts), insees in (p for p in parts if p[1] + self.gap <= now):
+            for i in insees - known:
                 self.communes.updateValue((i,), (start,))
-            so_far = [*(a + b for a, b in zip(so_far, counts)), so_far[-1] + len(new)]
-            self.totals.update(tuple(so_far))
-            self.open.removeKey((start,))
+            known |= insees
+            so_far = [*(a + b for a, b in zip(so_far, counts)), len(known)]
             found.append((key[0], start, last, n, *so_far))
+        self.timer.clear()
+        self._wait_for([p for p in parts if p[1] + self.gap > now])
         if found:
+            self.totals.update(tuple(so_far))
             yield pd.DataFrame(found, columns=["dept", "start", "last", "n", *MEASURES, "communes"])
 
     def close(self) -> None:
