@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
+from folioworks.operators.places import commune_at_point
 from folioworks.operators.shared import keep
 
 
@@ -76,40 +77,6 @@ def lookup(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: dic
     return rows.join(d, F.col(key) == F.col("k_"), "left").drop("k_")
 
 
-#: Side of a grid cell, in degrees.
-CELL = 0.25
-
-
-def _inside(rings: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd rule over all edges of all rings of (lon, lat) points: holes are rings too."""
-
-    def crossings(ring: Column) -> Column:
-        edges = F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))
-        hit = lambda e: ((e["a"]["lat"] > lat) != (e["b"]["lat"] > lat)) & (
-            lon < (e["b"]["lon"] - e["a"]["lon"]) * (lat - e["a"]["lat"]) / F.nullif(e["b"]["lat"] - e["a"]["lat"], F.lit(0.0)) + e["a"]["lon"])
-        return F.size(F.filter(edges, hit))
-
-    return F.aggregate(rings, F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1
-
-
-def commune_at_point(points: DataFrame, communes: DataFrame, cell: float = CELL) -> DataFrame:
-    """points (lon, lat, ...) with the `insee` of the commune that holds them, the smallest code if several do.
-
-    communes: (insee, rings), rings an array of closed arrays of (lon, lat). Both sides meet by grid cell: a commune
-    goes to the cells of its extent, a point to one, so no point meets a far commune.
-    """
-    flat = F.flatten("rings")
-    bound = lambda f, k: f(F.transform(flat, lambda p: p[k]))
-    c = communes.select("insee", "rings", *(bound(f, k).alias(n) for n, f, k in (("x0", F.array_min, "lon"), ("x1", F.array_max, "lon"), ("y0", F.array_min, "lat"), ("y1", F.array_max, "lat"))))
-    at = lambda x: F.floor(F.col(x) / cell)
-    c = c.withColumn("cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn("cy", F.explode(F.sequence(at("y0"), at("y1"))))
-    p = points.withColumn("p_", F.monotonically_increasing_id()).withColumn("px_", at("lon")).withColumn("py_", at("lat"))
-    p = keep(p, "points")
-    near = p.join(c, (p["px_"] == c["cx"]) & (p["py_"] == c["cy"])).where(F.col("lon").between(F.col("x0"), F.col("x1")) & F.col("lat").between(F.col("y0"), F.col("y1")))
-    hits = near.where(_inside(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("p_").agg(F.min("insee").alias("insee"))
-    return p.join(hits, "p_", "left").drop("p_", "px_", "py_")
-
-
 def assign_insee_to_bbox(docs: DataFrame, communes: DataFrame) -> DataFrame:
     """docs with xmin, ymin, xmax, ymax get the `insee` of the commune that holds their centre."""
     centre = docs.drop("insee").withColumn("lon", (F.col("xmin") + F.col("xmax")) / 2).withColumn("lat", (F.col("ymin") + F.col("ymax")) / 2)
