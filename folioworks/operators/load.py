@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioworks.functions import parse as P
 from folioworks.functions import text as T
 from folioworks.operators.shared import first_wins
+from folioworks.sources import files
 
 SEED_COLUMNS = ("insee", "type", "section_lettre", "feuille_num", "annee", "cote", "archive_url", "iiif_manifest", "image_url", "licence_overlay_ok")
 # Sources of rows that were loaded without one, by department.
@@ -26,18 +27,28 @@ def _literal(name: str, kind: str) -> Column:
     return F.when(c.isNull() | (c == ""), "null").otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
 
 
-def seed_sql(docs: DataFrame, columns: tuple[str, ...] = SEED_COLUMNS) -> DataFrame:
-    """(value): one INSERT for each row with a code; strings are quoted, the empty one is null."""
+def _insert(docs: DataFrame, columns: tuple[str, ...]) -> Column:
     kinds = dict(docs.dtypes)
     values = F.concat_ws(", ", *(_literal(c, kinds[c]) for c in columns))
-    return docs.where("insee is not null").select(F.concat(F.lit(f"insert into document ({', '.join(columns)}) values ("), values, F.lit(");")).alias("value"))
+    return F.concat(F.lit(f"insert into document ({', '.join(columns)}) values ("), values, F.lit(");"))
+
+
+def seed_sql(docs: DataFrame, columns: tuple[str, ...] = SEED_COLUMNS) -> DataFrame:
+    """(value): one INSERT for each row with a code; strings are quoted, the empty one is null."""
+    return docs.where("insee is not null").select(_insert(docs, columns).alias("value"))
 
 
 def write_seed_sql(docs: DataFrame, path: str, columns: tuple[str, ...] = SEED_COLUMNS) -> None:
-    """The INSERT lines as text files, with counts of rows written and of rows without a code in a file of their own."""
-    seed_sql(docs, columns).write.text(path)
-    counts = docs.agg(F.count("insee").alias("a"), F.count("*").alias("b"))
-    counts.select(F.concat(F.lit("-- rows: "), F.col("a").cast("string"), F.lit("; without a code: "), (F.col("b") - F.col("a")).cast("string"))).coalesce(1).write.mode("append").text(path)
+    """The INSERT lines as text files, with `header.txt` giving the rows written and those without a code; both from one pass over `docs`. Nothing is there before the job commits."""
+    files.register(docs.sparkSession)
+    line = F.when(F.col("insee").isNotNull(), _insert(docs, columns))
+    docs.select(line.alias("value")).write.format("counted_lines").mode("append").option("header", "-- rows: {written}; without a code: {without}").save(path)
+
+
+def write_files(rows: DataFrame, name: Column | str, content: Column | str, path: str) -> None:
+    """A file for each row, as static manifests are served: all of them when the job commits, none if it fails. `_counts.json` has their number."""
+    files.register(rows.sparkSession)
+    rows.select(T.col(name).alias("name"), T.col(content).alias("content")).write.format("file_per_row").mode("append").save(path)
 
 
 def upsert_ignore(existing: DataFrame, batch: DataFrame, key: str = "archive_url", rank: str = "ingest_rank") -> DataFrame:

@@ -10,7 +10,7 @@ from operator import getitem
 from urllib.parse import quote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
@@ -178,10 +178,14 @@ def jpeg_manifest(url, width, height, origin: str) -> Column:
     return _manifest(F.concat(F.lit(f"{origin}/static-manifest?u="), T.url_quote(u)), label, label, u, F.concat(F.lit(f"{origin}/static-iiif/"), T.url_quote(u)), T.col(width), T.col(height), 0)
 
 
-def read_manifests(lines: DataFrame) -> DataFrame:
-    """(ark, manifest) of JSON objects {ark: manifest or null} in `value`; a null manifest is unreadable and left out.
+def read_manifests(lines: DataFrame, figures: Observation | None = None) -> DataFrame:
+    """(ark, manifest) of JSON objects {ark: manifest or null} in `value`; a null manifest is unreadable: it is counted and left out.
 
-    The object is a map of VARIANTs, so each manifest is parsed once.
+    The object is a map of VARIANTs, so each manifest is parsed once. figures: gets `read`, `unreadable` and `lost` (lines
+    that aren't such objects) from the pass that uses the manifests, without one of its own.
     """
-    each = lines.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("ark", "v"))
-    return each.where(~F.is_variant_null("v")).select("ark", F.to_json("v").alias("manifest"))
+    each = lines.select(F.explode_outer(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("ark", "v"))
+    lost = F.col("ark").isNull()
+    if figures is not None:
+        each = each.observe(figures, F.count_if(~lost & ~F.is_variant_null("v")).alias("read"), F.count_if(~lost & F.is_variant_null("v")).alias("unreadable"), F.count_if(lost).alias("lost"))
+    return each.where(~lost & ~F.is_variant_null("v")).select("ark", F.to_json("v").alias("manifest"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
@@ -175,12 +177,39 @@ def outside_share(rows: DataFrame, expected: list[str], insee: str = "insee") ->
 
 def department_guard(rows: DataFrame, expected: list[str], most: float = 0.05, insee: str = "insee") -> DataFrame:
     """`rows` unchanged, or WrongDepartment: when nothing is resolved, or more than `most` of it lies outside."""
-    n, outside = outside_share(rows, expected, insee).first()
+    _refuse(*outside_share(rows, expected, insee).first(), expected, most)
+    return rows
+
+
+def _refuse(n: int, outside: int, expected: list[str], most: float) -> None:
     if not n:
         raise WrongDepartment("no row is resolved")
     if outside / n > most:
         raise WrongDepartment(f"{outside} of {n} rows lie outside {expected}")
-    return rows
+
+
+def write_guarded(rows: DataFrame, path: str, expected: list[str], most: float = 0.05, insee: str = "insee") -> tuple[int, int]:
+    """Writes `rows` as Parquet to the new folder `path` under department_guard's rule, and gives (resolved rows, those outside).
+
+    The figures come from the pass that writes: rows go to a folder beside `path`, which takes its name only if the guard
+    holds and is deleted if not.
+    """
+    figures = Observation()
+    outside = F.col(insee).isNotNull() & ~T.department(insee).isin(expected)
+    seen = rows.observe(figures, F.count(insee).alias("n"), F.count_if(outside).alias("outside"))
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    jvm = rows.sparkSession.sparkContext._jvm
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = place(path).getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    try:
+        seen.write.parquet(aside)
+        n, out = figures.get["n"], figures.get["outside"]
+        _refuse(n, out, expected, most)
+        if system.exists(place(path)) or not system.rename(place(aside), place(path)):
+            raise FileExistsError(path)
+    finally:
+        system.delete(place(aside), True)
+    return n, out
 
 
 def unresolved_report(rows: DataFrame, history: DataFrame | None = None, title: str = "commune_raw", insee: str = "insee") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from folioworks.operators import load, manifests, stats
@@ -125,11 +126,12 @@ def parse_links(view):
 
 
 def _toc(view):
-    n = view("v_notice").groupBy((F.col("rank") % 500).alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<a onclick='showEntry("), "notice_id", F.lit(")' class=x>"), F.when(F.col("custkey") % 9 == 0, " ").otherwise(F.col("title")), F.lit("</a>")))), "\n").alias("html"))
+    pages = -(-view("v_notice").count() // _EVERY)
+    n = view("v_notice").groupBy((F.floor(F.col("rank") / 1000) % pages).alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<a onclick='showEntry("), "notice_id", F.lit(")' class=x>"), F.when(F.col("custkey") % 9 == 0, " ").otherwise(F.col("title")), F.lit("</a>")))), "\n").alias("html"))
     return readers.parse_toc(n)
 
 
-@query("SELECT rank % 500 AS page_id, notice_id AS node_id, title FROM v_notice WHERE custkey % 9 <> 0")
+@query("SELECT rank // 1000 % (SELECT (count(*) + 499) // 500 FROM v_notice) AS page_id, notice_id AS node_id, title FROM v_notice WHERE custkey % 9 <> 0")
 def parse_toc(view):
     return _toc(view).drop("pos")
 
@@ -147,6 +149,17 @@ def parse_item_blocks(view):
     return readers.parse_item_blocks(view("v_notice").select(F.col("rank").alias("page_id"), block.alias("html")))
 
 
+@query("SELECT rank AS page_id, notice_id AS item, title, CASE WHEN custkey % 2 = 0 THEN cote END AS cote, CASE WHEN custkey % 2 = 0 THEN year_raw END AS date, notice_id AS image_id, image_url AS data_src FROM v_notice WHERE image_url IS NOT NULL")
+def parse_item_details(view):
+    """Blocks whose mark and date stand in a part of their own, or (odd customers) only outside of it, where they don't count."""
+    n = F.col("notice_id")
+    facts = F.concat(F.lit('<div class="cotes"><b></b><span>'), "cote", F.lit('</span></div><div class="dates"><span>'), F.coalesce("year_raw", F.lit("")), F.lit("</span></div>"))
+    part = F.concat(F.lit('<div id="detailn_'), n, F.lit('">'))
+    block = F.concat(F.lit('<div id="item_'), n, F.lit('"><div class="titres"><span>'), "title", F.lit("</span></div>"), F.when(F.col("custkey") % 2 == 0, F.concat(part, facts)).otherwise(F.concat(facts, part)),
+                     F.lit('<a href="lienImage('), n, F.lit(')">'), F.coalesce(F.concat(F.lit('<img data-src="'), "image_url", F.lit('">')), F.lit("")), F.lit("</div></div>"))
+    return readers.parse_item_blocks(view("v_notice").select(F.col("rank").alias("page_id"), block.alias("html")), details=True)
+
+
 @query("SELECT dept, name, min(code) AS code FROM v_alias GROUP BY 1, 2")
 def read_alias(view):
     a = view("v_alias").groupBy("dept", "name").agg(F.min("code").alias("code"))
@@ -155,13 +168,94 @@ def read_alias(view):
     return readers.read_alias(per.select(F.to_json("m").alias("value")))
 
 
-@query("SELECT * FROM (SELECT DISTINCT 'c' || CAST(custkey AS VARCHAR) AS id, nom AS title, true AS branch FROM v_commune UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'Plans', false FROM orders) x")
-def portal_tree(view):
-    kids = view("orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("_1")).alias("id"), F.lit("Plans ").alias("title"), F.lit("leaf").alias("dataType"), F.struct(F.lit("/u").alias("url")).alias("data"))).alias("children"))
+def _portal(view):
+    kids = view("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit("_1")).alias("id"), F.lit("Plans ").alias("title"), F.lit("leaf").alias("dataType"), F.struct(F.lit("/u").alias("url")).alias("data")))).alias("children"))
     c = view("v_commune").join(kids, F.col("custkey") == F.col("o_custkey"), "left")
     node = F.struct(F.concat(F.lit("c"), F.col("custkey").cast("string"), F.lit("_0")).alias("id"), F.col("nom").alias("title"), F.lit("branch").alias("dataType"), F.struct(F.lit("/b").alias("url"), "children").alias("data"))
-    nodes, _ = readers.portal_tree(c.select(F.to_json(F.array(node)).alias("value")))
-    return nodes.select("id", "title", "branch")
+    return readers.portal_tree(c.select(F.to_json(F.array(node)).alias("value")))
+
+
+@query("SELECT * FROM (SELECT DISTINCT 'c' || CAST(custkey AS VARCHAR) AS id, nom AS title, true AS branch FROM v_commune UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'Plans', false FROM orders) x")
+def portal_tree(view):
+    return _portal(view)[0].select("id", "title", "branch")
+
+
+@query("SELECT 'c' || CAST(o_custkey AS VARCHAR) AS parent_id, 'o' || CAST(o_orderkey AS VARCHAR) AS child_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS pos FROM orders")
+def portal_edges(view):
+    return _portal(view)[1]
+
+
+# Files ---------------------------------------------------------------------------------------------------------------
+
+#: Rows of a made-up file, about, so that files don't grow with the tables.
+_EVERY = 500
+_XML = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
+
+
+def _finding_aids(view):
+    """The tree's nodes as RDF/XML documents: (name, content)."""
+    kids = view("v_edge").groupBy("parent_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "child_id"))), lambda c: c["child_id"]).alias("kids"))
+    n = view("v_node").join(kids, F.col("id") == F.col("parent_id"), "left")
+    tag = lambda name, x: F.coalesce(F.concat(F.lit(f"<c:{name}>"), F.expr(_XML.format(x)), F.lit(f"</c:{name}>")), F.lit(""))
+    link = lambda name, x: F.concat(F.lit(f'<c:{name} r:resource="'), x, F.lit('"/>'))
+    many = F.array_join(F.transform(F.coalesce("kids", F.array().cast("array<string>")), lambda k: link("includesOrIncluded", F.concat(F.lit("https://data.example/facomponent/"), k))), "")
+    record = F.concat(F.lit('<c:Record r:about="https://data.example/facomponent/'), "id", F.lit('/">'), tag("title", "title"), tag("beginningDate", "cast(begin_year as string)"), tag("endDate", "cast(end_year as string)"), many,
+                      F.coalesce(link("hasInstantiation", F.concat("manifest", F.lit("#page"))), F.lit("")), F.coalesce(link("heldBy", F.col("service_uri")), F.lit("")), F.lit("</c:Record>"))
+    groups = -(-view("v_node").count() // _EVERY)
+    head = '<r:RDF xmlns:r="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:c="https://www.ica.org/standards/RiC/ontology#">'
+    each = n.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), record.alias("record"))
+    return each.groupBy("g").agg(F.concat(F.lit(head), F.array_join(F.collect_list("record"), "\n"), F.lit("</r:RDF>")).alias("content")).select(F.concat(F.lit("aid-"), F.col("g").cast("string"), F.lit(".rdf")).alias("name"), "content")
+
+
+@query("SELECT id, title, begin_year, end_year, manifest, service_uri FROM v_node")
+def rdf_nodes(view):
+    """Finding aids written as files, a file for each document, and read again as streams of descriptions."""
+    spark = view("nation").sparkSession
+    at, _ = _folders(spark)
+    load.write_files(_finding_aids(view), "name", "content", at)
+    return spark.read.format("rdf_nodes").load(at).select("id", F.nullif("title", F.lit("")).alias("title"), "begin_year", "end_year", "manifest", "service_uri")
+
+
+@query("SELECT parent_id, child_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY pos, child_id) - 1 AS INTEGER) AS pos FROM v_edge")
+def rdf_edges(view):
+    return readers.rdf_edges(readers.rdf_nodes(_finding_aids(view).select(F.col("content").alias("value"))))
+
+
+@query("SELECT 'S' || insee AS file_id, lon AS xmin, lat AS ymin, lon + 0.125 AS xmax, lat + 0.125 AS ymax FROM v_commune WHERE custkey % 10 <> 0")
+def shapefile_bboxes(view):
+    """Squares of communes in shapefiles, every tenth a null shape, written as files and read by record ranges."""
+    spark = view("nation").sparkSession
+    at, _ = _folders(spark)
+    c = view("v_commune")
+    groups = -(-c.count() // _EVERY)
+    made = c.withColumn("g", F.pmod(F.xxhash64("insee"), F.lit(groups))).groupBy("g").applyInPandas(_shapefile, "name string, content binary")
+    load.write_files(made, "name", "content", at)
+    return spark.read.format("shapefile_extents").option("rowsPerPartition", 200).load(at).drop("stem")
+
+
+def _shapefile(rows):
+    """The three files of a shapefile with a square for each commune."""
+    import struct
+
+    import pandas as pd
+
+    shp, shx, dbf = bytearray(100), bytearray(100), bytearray(struct.pack("<B3xIHH20x", 3, len(rows), 65, 21) + b"fichier".ljust(11, b"\0") + b"C" + bytes(4) + bytes([20]) + bytes(15) + b"\r")
+    for i, (code, key, x, y) in enumerate(zip(rows["insee"], rows["custkey"], rows["lon"], rows["lat"], strict=True)):
+        body = struct.pack("<i", 0) if key % 10 == 0 else struct.pack("<i4d", 5, x, y, x + 0.125, y + 0.125)
+        shx += struct.pack(">2i", len(shp) // 2, len(body) // 2)
+        shp += struct.pack(">2i", i + 1, len(body) // 2) + body
+        dbf += b" " + f"plans/S{code}.tif".encode().ljust(20)
+    stem = f"part{rows['g'].iloc[0]}"
+    return pd.DataFrame({"name": [f"{stem}.{k}" for k in ("shp", "shx", "dbf")], "content": [bytes(shp), bytes(shx), bytes(dbf)]})
+
+
+@query("SELECT insee, CASE WHEN custkey % 7 = 0 THEN 8000 ELSE CAST(custkey % 5000 + 1 AS INTEGER) END AS width, CASE WHEN custkey % 7 = 0 THEN 6000 ELSE CAST(population % 3000 + 1 AS INTEGER) END AS height FROM v_commune")
+def image_dimensions(view):
+    """Heads of JPEG pictures of given sizes; every seventh isn't a picture."""
+    word = lambda n: F.lpad(F.hex(n), 4, "0")
+    head = F.concat(F.lit("FFD8FFE000046162FFC40003AAFFC2000B08"), word(F.col("population") % 3000 + 1), word(F.col("custkey") % 5000 + 1), F.lit("00" * 12))
+    c = view("v_commune").withColumn("content", F.when(F.col("custkey") % 7 == 0, F.encode(F.lit("no picture"), "utf-8")).otherwise(F.unhex(head)))
+    return c.select("insee", readers.image_dimensions("content").alias("d")).select("insee", "d.width", "d.height")
 
 
 # Manifests -----------------------------------------------------------------------------------------------------------
@@ -200,15 +294,28 @@ def rewrite_image_services(view):
     return m.select("ark", manifests.first_service_deep("json", "static-iiif").alias("deep"), manifests.first_service_deep("new", "/iiif/").alias("rewritten"))
 
 
-@query("SELECT ark, label FROM v_manifest WHERE ark NOT LIKE '%1'")
-def read_manifests(view):
+def _manifest_files(view):
     """Files {ark: manifest or null}, a null one being unreadable."""
     m = _manifests(view).withColumn("m", F.when(~F.endswith("ark", F.lit("1")), F.to_json(F.struct("label"))).otherwise("null"))
-    lines = m.groupBy(F.pmod(F.xxhash64("ark"), F.lit(64))).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "ark", F.lit('": '), "m")), ", "), F.lit("}")).alias("value"))
-    out = manifests.read_manifests(lines)
+    groups = -(-view("v_manifest").count() // _EVERY)
+    return m.groupBy(F.pmod(F.xxhash64("ark"), F.lit(groups))).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "ark", F.lit('": '), "m")), ", "), F.lit("}")).alias("value"))
+
+
+@query("SELECT ark, label FROM v_manifest WHERE ark NOT LIKE '%1'")
+def read_manifests(view):
+    out = manifests.read_manifests(_manifest_files(view))
     return out.select("ark", F.try_variant_get(manifests.parse("manifest"), "$.label", "string").alias("label"))
 
 
+@query("SELECT count_if(ark NOT LIKE '%1') AS read, count_if(ark LIKE '%1') AS unreadable, CAST(0 AS BIGINT) AS lost, CAST(sum(CASE WHEN ark NOT LIKE '%1' THEN length(label) END) AS BIGINT) AS letters FROM v_manifest")
+def manifests_read(view):
+    """How many manifests were read and how many couldn't be: figures of the same pass that uses the manifests."""
+    spark, figures = view("nation").sparkSession, Observation()
+    used = manifests.read_manifests(_manifest_files(view), figures).select(F.try_variant_get(manifests.parse("manifest"), "$.label", "string").alias("label"))
+    letters = used.agg(F.sum(F.length("label")).alias("n")).first()["n"]
+    return spark.createDataFrame([(figures.get["read"], figures.get["unreadable"], figures.get["lost"], letters)], "read long, unreadable long, lost long, letters long")
+
+
 @query("SELECT insee, nom || ' & é''' AS name FROM v_commune")
 def html_unescape(view):
     return view("v_commune").select("insee", manifests.html_unescape(F.concat("nom", F.lit(" &amp; &eacute;&#39;"))).alias("name"))

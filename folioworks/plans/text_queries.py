@@ -26,6 +26,12 @@ def key_spaced(view):
     return view("v_commune").select("insee", T.key_spaced("nom").alias("key"))
 
 
+@query(r"SELECT insee, trim(regexp_replace(strip_accents(lower(replace(nom, '''', '’'))), '[\s\-’]+', ' ', 'g')) AS key FROM v_commune")
+def key_spaced_curly(view):
+    """Names written with curly apostrophes, which count as straight ones."""
+    return view("v_commune").select("insee", T.key_spaced(F.replace("nom", F.lit("'"), F.lit("’")), curly=True).alias("key"))
+
+
 @query("SELECT insee, regexp_replace(lower(strip_accents(nom)), '[^a-z0-9]+', '', 'g') AS key FROM v_commune")
 def key_compact(view):
     return view("v_commune").select("insee", T.key_compact("nom").alias("key"))

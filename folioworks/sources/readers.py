@@ -112,13 +112,17 @@ def _shapes(data: bytes) -> list[tuple[float, ...] | None]:
     return out
 
 
-def _records(data: bytes) -> list[dict[str, str]]:
-    """A dBASE table: field descriptions of 32 bytes up to a carriage return, then records of fixed width after a mark each."""
-    count, head, _ = struct.unpack_from("<IHH", data, 4)
-    described = data[32 : data.index(b"\r", 32)]
+def dbf_layout(described: bytes) -> tuple[list[str], struct.Struct]:
+    """Names and record layout of a dBASE table from its field descriptions: 32 bytes each up to a carriage return; a record is a mark and the fields, each of fixed width."""
+    described = described[: described.index(b"\r")]
     fields = list(struct.iter_unpack("<11s5xB15x", described[: len(described) // 32 * 32]))
     names = [name.partition(b"\0")[0].decode("latin-1") for name, _ in fields]
-    layout = struct.Struct("x" + "".join(f"{width}s" for _, width in fields))
+    return names, struct.Struct("x" + "".join(f"{width}s" for _, width in fields))
+
+
+def _records(data: bytes) -> list[dict[str, str]]:
+    count, head, _ = struct.unpack_from("<IHH", data, 4)
+    names, layout = dbf_layout(data[32:])
     rows = layout.iter_unpack(data[head : head + count * layout.size])
     return [dict(zip(names, (v.decode("latin-1").strip() for v in row), strict=True)) for row in rows]
 
@@ -253,52 +257,59 @@ def _clean_manifest(url: str) -> str:
     return re.sub(r"^(https?):/", r"\1://", re.sub("/+", "/", url.split("#")[0]))
 
 
+#: Columns of a finding aid's node.
+RDF_NODE = "id string, title string, begin_year int, end_year int, manifest string, image string, service_uri string, children array<string>, location_ids array<string>"
+
+
+def rdf_row(node: ElementTree.Element) -> tuple | None:
+    """The values of RDF_NODE of an RDF description; None without an address. Years are first four characters if digits."""
+    last = lambda uri: uri.rstrip("/").split("/")[-1]
+    uri = node.get(_RDF + "about") or ""
+    if not uri:
+        return None
+    texts = lambda tag: [x.text or x.get(_RDF + "resource") or "" for x in node.findall(tag)]
+    year = lambda tag: next((int(t[:4]) for t in texts(tag)[:1] if t[:4].isdecimal()), None)
+    manifests = [m for m in texts(_RICO + "hasInstantiation") if "/manifest" in m]
+    images = [s for s in texts(_DC + "source") if ("daoloc" in s or "daogrp" in s) and "vignette" not in s]
+    return (last(uri), next(iter(texts(_RICO + "title")), ""), year(_RICO + "beginningDate"), year(_RICO + "endDate"), _clean_manifest(manifests[0]) if manifests else None, images[-1] if images else None,
+            next(iter(texts(_RICO + "heldBy")), None), [last(c) for c in texts(_RICO + "includesOrIncluded")], [last(c) for c in texts(_RICO + "hasSubject") if "/location/" in c])
+
+
 def rdf_nodes(files: DataFrame) -> DataFrame:
-    """(id, title, begin_year, end_year, manifest, image, service_uri, children, location_ids) of RDF/XML files in `value`; years are first four characters if digits."""
+    """RDF_NODE of RDF/XML files in `value`. Large files are better read as a stream, by the source `rdf_nodes` of sources.files."""
+    names = [c.split()[0] for c in RDF_NODE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = lambda uri: uri.rstrip("/").split("/")[-1]
         for pdf in batches:
-            rows = []
-            for text in pdf["value"]:
-                for node in ElementTree.fromstring(text):
-                    uri = node.get(_RDF + "about") or ""
-                    if not uri:
-                        continue
-                    texts = lambda tag: [x.text or x.get(_RDF + "resource") or "" for x in node.findall(tag)]  # noqa: E731, B023
-                    year = lambda tag: next((int(t[:4]) for t in texts(tag)[:1] if t[:4].isdigit()), None)
-                    manifests = [m for m in texts(_RICO + "hasInstantiation") if "/manifest" in m]
-                    images = [s for s in texts(_DC + "source") if ("daoloc" in s or "daogrp" in s) and "vignette" not in s]
-                    rows.append((last(uri), next(iter(texts(_RICO + "title")), ""), year(_RICO + "beginningDate"), year(_RICO + "endDate"), _clean_manifest(manifests[0]) if manifests else None, images[-1] if images else None,
-                                 next(iter(texts(_RICO + "heldBy")), None), [last(c) for c in texts(_RICO + "includesOrIncluded")], [last(c) for c in texts(_RICO + "hasSubject") if "/location/" in c]))
-            yield pd.DataFrame(rows, columns=["id", "title", "begin_year", "end_year", "manifest", "image", "service_uri", "children", "location_ids"]).astype({"begin_year": "Int32", "end_year": "Int32"})
-
-    kind = "id string, title string, begin_year int, end_year int, manifest string, image string, service_uri string, children array<string>, location_ids array<string>"
-    return files.select("value").mapInPandas(run, kind)
+            rows = [row for text in pdf["value"] for node in ElementTree.fromstring(text) if (row := rdf_row(node))]
+            yield pd.DataFrame(rows, columns=names).astype({"begin_year": "Int32", "end_year": "Int32"})
+
+    return files.select("value").mapInPandas(run, RDF_NODE)
 
 
 def rdf_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("parent_id"), F.posexplode("children").alias("pos", "child_id")).select("parent_id", "child_id", "pos")
 
 
+def jpeg_size(data: bytes | None) -> tuple[int, int]:
+    data, at = bytes(data or b"")[:65536], 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data):
+        if data[at] != 0xFF:
+            at += 1
+            continue
+        marker = data[at + 1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 1 if marker == 0xFF else 2 if marker == 1 or 0xD0 <= marker <= 0xD8 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return 8000, 6000
+
+
 def image_dimensions(content) -> F.Column:
     """struct(width, height) from a JPEG's first 64 KB; 8000 x 6000 where no frame header is found."""
 
-    def one(data: bytes) -> tuple[int, int]:
-        data, at = bytes(data or b"")[:65536], 2
-        while data[:2] == b"\xff\xd8" and at + 9 < len(data):
-            if data[at] != 0xFF:
-                at += 1
-                continue
-            marker = data[at + 1]
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-            at += 1 if marker == 0xFF else 2 if marker == 1 or 0xD0 <= marker <= 0xD8 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-        return 8000, 6000
-
     @F.pandas_udf("width int, height int")
     def run(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(c) for c in contents], columns=["width", "height"])
+        return pd.DataFrame([jpeg_size(c) for c in contents], columns=["width", "height"])
 
     return run(T.col(content))
 
