@@ -180,7 +180,7 @@ def portal_tree(view):
     return _portal(view)[0].select("id", "title", "branch")
 
 
-@query("SELECT 'c' || CAST(o_custkey AS VARCHAR) AS parent_id, 'o' || CAST(o_orderkey AS VARCHAR) AS child_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || CAST(o_orderkey AS VARCHAR)) - 1 AS INTEGER) AS pos FROM orders")
+@query("SELECT 'c' || CAST(o_custkey AS VARCHAR) AS parent_id, 'o' || CAST(o_orderkey AS VARCHAR) AS child_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY 'o' || CAST(o_orderkey AS VARCHAR) || '_') - 1 AS INTEGER) AS pos FROM orders")
 def portal_edges(view):
     return _portal(view)[1]
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import parse as P
 from folioworks.functions import text as T
-from folioworks.operators import browse, load, resolve, stats, tree
+from folioworks.operators import browse, euler, load, resolve, stats, tree
 from folioworks.operators.shared import first_wins as first
 from folioworks.operators.shared import last_wins as last
 from folioworks.operators.shared import numbered
@@ -256,11 +256,44 @@ def _branches(view):
 _SAMPLES = "SELECT o.id, arg_min(l.manifest, e.pos) AS manifest FROM v_node o JOIN v_edge e ON o.id = e.parent_id JOIN v_node l ON l.id = e.child_id WHERE o.id LIKE 'o%' AND o.title = 'Plans du cadastre' AND l.manifest IS NOT NULL GROUP BY o.id"
 
 
-@query(_SAMPLES)
+_SAMPLE = _SAMPLES
+
+
+@query(_SAMPLE)
 def sample_manifest(view):
     return tree.sample_manifest(view("v_node"), view("v_edge"), _branches(view))
 
 
+@query(_SAMPLE)
+def sample_manifest_by_intervals(view):
+    """The same by one pass in pre-order over the intervals of the whole tree."""
+    return tree.sample_manifest(view("v_node"), view("v_edge"), _branches(view), tour=euler.intervals(view("v_edge")))
+
+
+_TOUR = """WITH RECURSIVE walk AS (SELECT 'root' AS id, '' AS path, 0 AS depth UNION ALL SELECT e.child_id, w.path || '/' || lpad(CAST(e.pos AS VARCHAR), 19, '0') || e.child_id, w.depth + 1 FROM walk w JOIN v_edge e ON w.id = e.parent_id),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY path) AS enter FROM walk), """
+
+
+@query(_TOUR + """ancestors AS (SELECT id AS of, id FROM walk UNION ALL SELECT a.of, e.parent_id FROM ancestors a JOIN v_edge e ON a.id = e.child_id), sizes AS (SELECT id, count(*) AS n FROM ancestors GROUP BY 1)
+    SELECT id, enter, enter + n - 1 AS leave, depth FROM numbered JOIN sizes USING (id)""")
+def tree_intervals(view):
+    """Each node's interval in pre-order and its depth."""
+    return euler.intervals(view("v_edge"))
+
+
+@query("SELECT e.child_id AS id, c.title AS commune FROM v_edge e JOIN v_node c ON c.id = CASE WHEN e.parent_id = 'root' THEN e.child_id WHEN e.parent_id LIKE 'c%' THEN e.parent_id ELSE (SELECT any_value(u.parent_id) FROM v_edge u WHERE u.child_id = e.parent_id) END UNION ALL SELECT 'root', NULL")
+def commune_of_each_node(view):
+    """Every node's title at depth 1, leaves and branches alike, in one pass in pre-order."""
+    return euler.from_depth(euler.intervals(view("v_edge")), view("v_node").select("id", F.col("title").alias("value")), 1).select("id", F.col("value").alias("commune"))
+
+
+@query("SELECT e.child_id AS id FROM v_edge e LEFT JOIN v_node p ON p.id = e.parent_id WHERE p.title IS NULL OR NOT regexp_matches(p.title, '(?i)rénov|renov|intendance|masse de culture') UNION ALL SELECT 'root'")
+def nodes_outside_of_excluded_branches(view):
+    """Nodes that no excluded branch stands above (in the given tree such branches lie right above their leaves)."""
+    stops = view("v_node").where(P.excluded_branch("title")).select("id")
+    return euler.without_stops_above(euler.intervals(view("v_edge")), stops).select("id")
+
+
 @query(f"""SELECT o.id, 'c' AS commune, o.title AS branch, s.manifest, s.manifest IS NOT NULL AS iiif, CASE WHEN s.manifest IS NULL THEN 'À vérifier' END AS licence, CASE WHEN s.manifest IS NULL THEN false END AS overlay_ok
     FROM v_node o LEFT JOIN ({_SAMPLES}) s ON o.id = s.id WHERE o.id LIKE 'o%' AND o.title = 'Plans du cadastre'""")
 def branch_report(view):
