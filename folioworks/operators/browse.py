@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import parse as P
 from folioworks.functions import text as T
+from folioworks.operators.compare import where_they_differ
 from folioworks.operators.shared import numbered
 from folioworks.operators.stats import document_order, region_dim
 
@@ -132,6 +133,6 @@ def union_sources(done: DataFrame, branches: list[DataFrame], key: str) -> DataF
 
 
 def regression_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that only one side has, as often as it has more of them, with `side`."""
-    a, b = a.select(columns), b.select(columns)
+    """Rows that only one side has, as often as it has more of them, with `side`; only parts whose digests differ are compared."""
+    a, b = where_they_differ(a, b, columns)
     return a.exceptAll(b).withColumn("side", F.lit("a")).union(b.exceptAll(a).withColumn("side", F.lit("b")))

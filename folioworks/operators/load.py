@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioworks.functions import parse as P
 from folioworks.functions import text as T
+from folioworks.operators.compare import where_they_differ
 from folioworks.operators.shared import first_wins
 from folioworks.sources import files
 
@@ -135,7 +136,8 @@ def write_annotation_collection(docs: DataFrame, pages: DataFrame, path: str, de
 
 
 def changed_nodes(old: DataFrame, new: DataFrame, key: str = "id", etag: str = "etag") -> DataFrame:
-    """(id, change): new, changed or removed nodes between two indexes."""
+    """(id, change): new, changed or removed nodes between two indexes; only parts whose digests differ are joined."""
+    old, new = where_they_differ(old, new, [key, etag], [key])
     a, b = old.select(F.col(key).alias("k"), F.col(etag).alias("a"), F.lit(True).alias("in_a")), new.select(F.col(key).alias("k"), F.col(etag).alias("b"), F.lit(True).alias("in_b"))
     change = F.when(F.col("in_a").isNull(), "new").when(F.col("in_b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     return a.join(b, "k", "full").select(F.col("k").alias(key), change.alias("change")).where("change is not null")

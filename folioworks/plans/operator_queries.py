@@ -256,15 +256,12 @@ def _branches(view):
 _SAMPLES = "SELECT o.id, arg_min(l.manifest, e.pos) AS manifest FROM v_node o JOIN v_edge e ON o.id = e.parent_id JOIN v_node l ON l.id = e.child_id WHERE o.id LIKE 'o%' AND o.title = 'Plans du cadastre' AND l.manifest IS NOT NULL GROUP BY o.id"
 
 
-_SAMPLE = _SAMPLES
-
-
-@query(_SAMPLE)
+@query(_SAMPLES)
 def sample_manifest(view):
     return tree.sample_manifest(view("v_node"), view("v_edge"), _branches(view))
 
 
-@query(_SAMPLE)
+@query(_SAMPLES)
 def sample_manifest_by_intervals(view):
     """The same by one pass in pre-order over the intervals of the whole tree."""
     return tree.sample_manifest(view("v_node"), view("v_edge"), _branches(view), tour=euler.intervals(view("v_edge")))
