@@ -56,19 +56,20 @@ def resolve_cascade(rows: DataFrame, alias: DataFrame, communes: DataFrame, step
 
     steps: (method, Column of a raw name), in order.
     """
-    table = None
-    for method, name in steps:
-        step = rows.select(F.col(dept).alias("dept"), T.clean_commune_listed(name).alias("name"))
-        table = step if table is None else table.union(step)
-    names = distinct_names(table)
+    # Each step's form is worked out where the rows are read; as a column it goes through the joins, which else would work it out for
+    # their exchange, their sort and their comparison again.
+    forms = [f"form{i}_" for i in range(len(steps))]
+    formed = rows.withColumns({f: T.clean_commune_listed(name) for f, (_, name) in zip(forms, steps, strict=True)})
+    each = formed.select(F.col(dept).alias("dept"), F.explode(F.array_distinct(F.array(*forms))).alias("name"))
+    names = distinct_names(each)
     by_alias = resolve_by_alias(names, alias).withColumnRenamed("code", "by_alias")
     by_name = resolve_by_name(by_alias, communes, T.key_spaced)
     found = by_name.select(F.col("dept").alias("d_"), F.col("name").alias("n_"), F.coalesce("by_alias", F.when(~T.is_rubric_title("name"), F.col("code"))).alias("c_")).where("c_ is not null")
-    out, taken = rows, []
-    for i, (method, name) in enumerate(steps):
+    found = keep(found, "cascade-names")  # a row for each resolved name, met once by each step
+    out, taken = formed, []
+    for i, (method, _) in enumerate(steps):
         f = found.select(*(F.col(c).alias(f"{c}{i}") for c in found.columns))
-        same = F.col(dept).eqNullSafe(F.col(f"d_{i}")) & (T.clean_commune_listed(name) == F.col(f"n_{i}"))
-        out = out.join(f, same, "left")
+        out = out.join(f, F.col(dept).eqNullSafe(F.col(f"d_{i}")) & (F.col(forms[i]) == F.col(f"n_{i}")), "left")
         taken.append(F.when(F.col(f"c_{i}").isNotNull(), F.struct(F.col(f"c_{i}").alias("insee"), F.lit(method).alias("method"), F.col(f"n_{i}").alias("resolved_name"))))
     return out.select(*rows.columns, F.coalesce(*taken).alias("r")).select(*rows.columns, "r.insee", "r.method", "r.resolved_name")
 
