@@ -337,6 +337,64 @@ def test_examples_keep_every_limit(spark):
     assert len(per) <= 1.35 * low + 3
 
 
+def replay(examples, limits, got, window=256):
+    """Goes through a packing step by step, by plain loops: each example placed must be, of the waiting ones that fit, one with the largest dot product of demand and what is left; a sequence ends only when none fits or a limit is used up. Gives the limits that ended sequences."""
+    turn = iter(sorted(got, key=got.get))
+    waiting, place, left, ended = {}, (0, 0), list(limits), set()
+
+    def step():
+        nonlocal place, left
+        fits = {i: sum(n / m * x / m for n, x, m in zip(need, left, limits, strict=True)) for i, need in waiting.items() if all(n <= x for n, x in zip(need, left, strict=True))}
+        if fits:
+            i = next(turn)
+            assert got[i] == place and fits[i] >= max(fits.values()) - 1e-12
+            need = waiting.pop(i)
+            place, left = (place[0], place[1] + need[0]), [x - n for n, x in zip(need, left, strict=True)]
+        else:
+            assert place[1]
+            ended.update(k for k in range(3) if all(need[k] > left[k] for need in waiting.values()))
+        if not fits or min(left) < 1:
+            ended.update(k for k in range(3) if left[k] < 1)
+            place, left = (place[0] + 1, 0), list(limits)
+
+    for i, n, loss in examples:
+        waiting[i] = (n, 1, loss)
+        while len(waiting) >= window:
+            step()
+    while waiting:
+        step()
+    assert next(turn, None) is None
+    return ended
+
+
+def test_three_limits_choose_what_comes_next(spark):
+    """Every choice is the dot product's, and each of the three limits ends sequences somewhere."""
+    ended = set()
+    for limits, short in (((1024, 16, 768), 300), ((1024, 4, 700), 200), ((2000, 50, 300), 100)):
+        rng = random.Random(short)
+        examples = [(i, n, rng.randrange(n + 1)) for i, n in enumerate(rng.randrange(1, short) for _ in range(900))]
+        f = spark.createDataFrame(examples, "conv_id long, n_tokens long, n_loss long").coalesce(1)
+        got = {r["conv_id"]: (r["sequence_id"], r["offset"]) for r in packing.pack_examples(f, *limits).collect()}
+        ended |= replay(examples, limits, got)
+    assert ended == {0, 1, 2}
+
+
+def test_conversations_are_packed_under_three_limits(spark, sf):
+    from folioworks.llm import queries
+
+    asked = {r["conv_id"]: (r["n_tokens"], r["n_loss"]) for r in packing.conversation_examples(common.table(spark, sf, "conversations")).collect()}
+    got = queries.conversation_packing(spark, sf).collect()
+    assert {r["conv_id"] for r in got} == set(asked) and len(got) == len(asked)
+    by = defaultdict(list)
+    for r in got:
+        assert r["length"] == asked[r["conv_id"]][0] and r["over"] == (asked[r["conv_id"]][0] > 1024 or asked[r["conv_id"]][1] > 768)
+        by[r["sequence_id"]].append(r)
+    for own in by.values():
+        own.sort(key=lambda r: (r["offset"], r["length"]))
+        assert [r["offset"] for r in own] == [sum(x["length"] for x in own[:k]) for k in range(len(own))]
+        assert own[0]["over"] and len(own) == 1 or sum(r["length"] for r in own) <= 1024 and len(own) <= 16 and sum(asked[r["conv_id"]][1] for r in own) <= 768
+
+
 def test_conversation_examples(spark, tokenizer):
     f = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "general answer"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
     n = lambda t: len(tokenizer.encode(t).ids)
