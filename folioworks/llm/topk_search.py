@@ -6,11 +6,12 @@ holds each vector's distances to the pivots; max |d(q, p) - d(x, p)| over the pi
 gives an upper bound of the score. Candidates are scored in the order of their bounds until the next bound is below
 the query's k-th best score so far.
 
-Candidates form blocks of about `block_rows` near one pivot (a crowded pivot's candidates are dealt over several
-blocks), and so do queries. Each query starts from its k-th best score in a bounded sample. A block knows its least and
-greatest distance to each pivot, which bounds all distances between two blocks; pairs of blocks that can't reach the
-least of their queries' scores are gone before any vector is shuffled. Each other pair is one row of a join: memory is
-two blocks, and every task's share is alike.
+Candidates form cells by their nearest pivot (a crowded pivot's by the second nearest too), and cells are dealt over
+blocks of about `block_rows`; so do queries. Each query starts from its k-th best score in a bounded sample. A cell or
+block knows its least and greatest distance to each pivot, which bounds all distances between two of them. Pairs of
+cells (at most the fourth power of the pivots' number, numbers only) that can't reach the least of their queries'
+scores never become pairs of blocks, and pairs of blocks that can't are gone before any vector is shuffled. Each
+other pair is one row of a join: memory is two blocks, and every task's share is alike.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
 padded with zeros; ties go to the smaller id; fewer than k candidates give fewer rows; a query never meets rows with
@@ -115,12 +116,28 @@ def _blocks(pivots: Pivots, dim: int, query: bool, sample: tuple[np.ndarray, np.
                 if len(s) >= k:
                     least[i] = np.partition(s, len(s) - k)[len(s) - k]
         square = float((v.astype(float) ** 2).sum(axis=1).max())
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "ids": [ids.tobytes()], "m": [v.tobytes()], "near": [near.tobytes()], "least": [least.tobytes()],
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "cell": rows["cell"].iloc[:1], "ids": [ids.tobytes()], "m": [v.tobytes()], "near": [near.tobytes()], "least": [least.tobytes()],
                              "lo": [near.min(axis=0)], "hi": [near.max(axis=0)], "floor": [least.min()], "square": [square]})
 
     return run
 
 
+def _cell_bounds(blocks: DataFrame, n_pivots: int) -> pd.DataFrame:
+    """A row for each cell: what its blocks' rows say of it."""
+    each = lambda how, c: F.array(*(how(F.col(c)[i]) for i in range(n_pivots))).alias(c)
+    return blocks.groupBy("cell").agg(each(F.min, "lo"), each(F.max, "hi"), F.min("floor").alias("floor"), F.max("square").alias("square")).toPandas()
+
+
+def _cells_in_reach(x: pd.DataFrame, q: pd.DataFrame, most: float) -> Iterator[tuple[int, int]]:
+    """(cell of candidates, cell of queries) where a score may come up to the queries' least (see top_of_block for the slack)."""
+    lo, hi = np.array(x["lo"].tolist()), np.array(x["hi"].tolist())
+    for cell, q_lo, q_hi, floor, square in q[["cell", "lo", "hi", "floor", "square"]].itertuples(index=False):
+        apart = np.maximum(lo - np.asarray(q_hi), np.asarray(q_lo) - hi).max(axis=1)
+        near = np.maximum(apart - 1e-6 * (1 + np.sqrt(square + most)), 0)
+        for i in np.flatnonzero((square + most - near * near) / 2 + 1 >= floor):
+            yield int(x["cell"].iloc[i]), int(cell)
+
+
 def _meet(pivots: Pivots, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(pivots.at)
@@ -163,38 +180,52 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, scale: i
     sample = np.array([r["id"] for r in rows], np.int64), _matrix([r["v"] for r in rows], dim)
     table = Pivots(sample[1], one["most"], pivots)
 
+    n_pivots = len(table.at)
+
     def nearest(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 v = _matrix(batch.column(1).to_pylist(), dim)
                 points = np.column_stack([v.astype(float), np.zeros(len(v))]) if query else table.lift(v)
-                cell = table.distances(points).argmin(axis=1) if len(v) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32())], ["id", "v", "cell"])
+                order = np.argsort(table.distances(points), axis=1, kind="stable")
+                near, second = order[:, 0], order[:, min(1, n_pivots - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near * n_pivots + second, pa.int32())], ["id", "v", "cell"])
 
         return run
 
-    kind = "block long, ids binary, m binary, near binary, least binary, lo array<double>, hi array<double>, floor double, square double"
+    kind = "block long, cell int, ids binary, m binary, near binary, least binary, lo array<double>, hi array<double>, floor double, square double"
 
-    def blocks(rows: DataFrame, query: bool, size: int) -> DataFrame:
-        """Rows in blocks near a pivot; a crowded pivot's rows are dealt over several. A kept table."""
+    def blocks(rows: DataFrame, query: bool, size: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+        """Rows in blocks of a cell, a kept table; the first and last block of each cell."""
         placed = keep(rows.mapInArrow(nearest(query), "id long, v array<long>, cell int"), "topk-placed")
-        counts = sorted((r["cell"], r["n"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect())  # a row for each pivot
-        first, shares, at = {}, {}, 0
-        for cell, n in counts:
-            first[cell], shares[cell] = at, -(-n // size)
-            at += shares[cell]
-        lookup = lambda d: F.element_at(F.create_map(*(F.lit(v) for pair in d.items() for v in pair)), F.col("cell"))
-        block = lookup(first) + F.pmod(F.xxhash64("id"), lookup(shares))
-        out = placed.select(block.cast("long").alias("block"), "id", "v").groupBy("block").applyInPandas(_blocks(table, dim, query, sample, k), kind)
-        out = keep(out, "topk-blocks")
+        counts = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each two pivots
+        of_pivot: dict[int, int] = {}
+        for c, n in counts.items():
+            of_pivot[c // n_pivots] = of_pivot.get(c // n_pivots, 0) + n
+        # A pivot's rows that fill no more than a block stay one cell.
+        own = {c: c if of_pivot[c // n_pivots] > size else c // n_pivots * n_pivots for c in counts}
+        total: dict[int, int] = {}
+        for c, n in counts.items():
+            total[own[c]] = total.get(own[c], 0) + n
+        spans, at = {}, 0
+        for c in sorted(total):
+            spans[c] = at, at + -(-total[c] // size) - 1
+            at = spans[c][1] + 1
+        lookup = spark.createDataFrame([(c, own[c], *spans[own[c]]) for c in counts], "cell int, own int, first long, last long")
+        block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("last") - F.col("first") + 1)
+        out = placed.join(F.broadcast(lookup), "cell").select(block.alias("block"), F.col("own").alias("cell"), "id", "v")
+        out = keep(out.groupBy("block").applyInPandas(_blocks(table, dim, query, sample, k), kind), "topk-blocks")
         free(placed)
-        return out
+        return out, spans
 
-    xs, qs = blocks(x, False, block_rows), blocks(q, True, query_rows)
+    (xs, _), (qs, q_spans) = blocks(x, False, block_rows), blocks(q, True, query_rows)
     free(x, q)
-    # The bounds of each pair of blocks, without their vectors (see top_of_block for the slack).
-    last = qs.agg(F.max("block")).first()[0]
-    xb = xs.select(F.col("block").alias("b"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("a"))
+    reach = _cells_in_reach(_cell_bounds(xs, n_pivots), _cell_bounds(qs, n_pivots), one["most"])
+    spans = [(x_cell, *q_spans[q_cell]) for x_cell, q_cell in reach]
+    spans = F.broadcast(spark.createDataFrame(spans, "cell int, first long, last long"))
+    # The bounds of each pair of blocks of such cells, without their vectors (see top_of_block for the slack).
+    xb = xs.select(F.col("block").alias("b"), "cell", F.col("lo").alias("xlo"), F.col("hi").alias("xhi")).join(spans, "cell")
+    xb = xb.select("b", "xlo", "xhi", F.explode(F.sequence("first", "last")).alias("a"))
     bounds = xb.join(qs.select(F.col("block").alias("a"), "lo", "hi", "floor", "square"), "a")
     apart = F.array_max(F.zip_with(F.zip_with("xlo", "hi", lambda p, r: p - r), F.zip_with("lo", "xhi", lambda p, r: p - r), lambda p, r: F.greatest(p, r)))
     most = F.lit(float(one["most"]))
