@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -183,6 +184,42 @@ def test_blocks_out_of_reach_are_not_met(spark, monkeypatch):
         assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q) == [(n + 1, i, -w) for n, (w, i) in enumerate(want)]
 
 
+def test_cells_out_of_reach_never_become_pairs_of_blocks(spark):
+    """What bounds rule out can't hold a score of the floor; two far clusters' cells don't reach one another."""
+    rng = np.random.default_rng(12)
+    x = np.floor(1024 * np.concatenate([rng.normal(0, 0.2, (200, 8)) + 1, rng.normal(0, 0.2, (200, 8)) - 1])).astype(np.int64)
+    most = float((x.astype(float) ** 2).sum(axis=1).max())
+    p = topk_search.Pivots(x[::20], most, 6)
+    q = x[::10]
+    near, q_near = p.distances(p.lift(x)), p.distances(np.column_stack([q.astype(float), np.zeros(len(q))]))
+    score = q @ x.T
+    floor = np.sort(score, axis=1)[:, -5].astype(float)
+
+    def cells(d, extra):
+        cell = d.argmin(axis=1)
+        return cell, pd.DataFrame([{"cell": c, "lo": d[cell == c].min(axis=0), "hi": d[cell == c].max(axis=0), **extra(cell == c)} for c in np.unique(cell)])
+
+    x_cell, xs = cells(near, lambda own: {})
+    q_cell, qs = cells(q_near, lambda own: {"floor": floor[own].min(), "square": float((q[own].astype(float) ** 2).sum(axis=1).max())})
+    reach = set(topk_search._cells_in_reach(xs, qs, most))
+    i, j = np.nonzero(score >= floor[:, None])
+    assert {(int(x_cell[b]), int(q_cell[a])) for a, b in zip(i, j, strict=True)} <= reach
+    assert len(reach) < len(xs) * len(qs)
+
+
+def test_topk_with_every_row_near_one_pivot(spark):
+    """A crowded pivot's rows lie in cells by their second pivot; ties in scores and far rows come out right."""
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(0, 0.01, (500, 5)), rng.normal(0, 3, (20, 5)), np.zeros((30, 5))])
+    f = vectors(spark, [v.tolist() for v in x])
+    out = topk_search.exact_top_k(f, f.where("vec_id % 10 = 0"), k=6, block_rows=40, query_rows=5, sample_rows=60, pivots=5).collect()
+    v = np.floor(1024 * x.astype(np.float32).astype(float)).astype(np.int64)
+    for q in range(0, len(x), 10):
+        s = v @ v[q]
+        want = sorted((-int(s[i]), i) for i in range(len(v)) if i != q)[:6]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out if r["query_id"] == q) == [(n + 1, i, -w) for n, (w, i) in enumerate(want)]
+
+
 def test_bounds_stop_early():
     """Near candidates are found without scoring the far ones."""
     rng = np.random.default_rng(2)
@@ -230,6 +267,35 @@ def test_nn_descent_matches_brute_force(spark):
     assert nn_descent.near_duplicates(f.limit(0)).isEmpty()
 
 
+def test_links_of_large_components_match_brute_force(spark, monkeypatch):
+    """Crowds, chains and mixtures of several blocks; copies count; a crowd that is all core meets nobody."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    rng = np.random.default_rng(14)
+    turn = np.arange(60) * 0.05
+    crowd = np.array([1.0, 0, 0, 0]) + rng.normal(0, 0.02, (80, 4))
+    chain = np.column_stack([np.cos(turn), np.sin(turn), np.zeros(60), np.zeros(60)])
+    mixed = np.concatenate([np.array([0, 0, 1.0, 0]) + rng.normal(0, 0.04, (50, 4)), np.array([0, 0, 1.0, 0]) + rng.normal(0, 0.15, (45, 4))])
+    no_centre = np.concatenate([np.eye(4), -np.eye(4)]).repeat(5, axis=0) + rng.normal(0, 0.01, (40, 4))
+    few = rng.normal(size=(1, 4)) + rng.normal(0, 0.1, (10, 4))
+    data = [(c, v.tolist()) for c, x in enumerate((crowd, chain, mixed, no_centre, few)) for v in x]
+    copies = rng.integers(1, 4, len(data))
+    base = spark.createDataFrame([("g", i, v, int(n)) for i, ((_, v), n) in enumerate(zip(data, copies, strict=True))], "g string, id long, x array<double>, copies long")
+    parts = spark.createDataFrame([(i, 1000 + c) for i, (c, _) in enumerate(data)], "node long, component long")
+    got = dict(rows(nn_descent._count_links(base, parts, 0.98), "id", "links"))
+    x, c = np.array([v for _, v in data]), np.array([c for c, _ in data])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    hit = (x @ x.T >= 0.98) & (c[:, None] == c) & ~np.eye(len(x), dtype=bool)
+    assert {i: got.get(i, 0) for i in range(len(x))} == dict(enumerate((hit @ copies).tolist()))
+
+    members = base.join(parts, F.col("id") == F.col("node")).select("component", "id", "copies", "x")
+    core = {r["id"] for r in nn_descent._core(members, 0.98).where("core").collect()}
+    assert core >= set(range(80)) and hit[np.ix_(range(80), range(80))].sum() == 80 * 79
+    for one in range(5):
+        own = [i for i in core if c[i] == one]
+        assert hit[np.ix_(own, own)].sum() == len(own) * (len(own) - 1)
+    assert nn_descent._count_links(base.limit(0), parts, 0.98).isEmpty()
+
+
 def test_a_low_recall_is_no_result(spark, monkeypatch):
     f = vectors(spark, [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0]])
     monkeypatch.setattr(nn_descent, "_audit", lambda *_: 0.5)
