@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-Equal blocks of words are seats. Sources win seats by their targets, shards of a source win the source's seats by
-their words, and each shard then takes its seats from a seeded order of its documents. All of it is arithmetic on
-positions: no block becomes a row. The table of sources, one row each, is worked on by one task, and so is a source's
-table of shards (MOST_SHARDS rows); documents never are. That holds for some millions of sources.
+Equal blocks of words are seats. Sources win seats by their targets, sections of a source win the source's seats by
+their words, shards of a section the section's, and each shard then takes its seats from a seeded order of its
+documents. All of it is arithmetic on positions: no block becomes a row. The table of sources, one row each, is worked
+on by one task (that holds for some millions of sources); so is a source's table of sections, one row for each two
+million documents, and a section's table of shards, SECTION rows; documents never are.
 
 Input: any frame with an id, a text and a source column; other columns are ignored.
 Defined cases: null or blank text has size 0 and is taken 0 times; a null source is a source of its own, last in
-order; repeated rows are separate documents; an empty table gives an empty result; a source never takes more than
+order; repeated rows are separate documents; rows equal in id, source and text are taken in the order of their other columns; an empty table gives an empty result; a source never takes more than
 `most` times its words, nor a document more than `most` times its own.
 """
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 
 from folioworks.llm.common import WORD, keep, new_names
 
-#: Documents of a shard, about, and shards of a source at most: a shard's documents are ordered by one task (with
-#: spilling), a source's shards are apportioned by one.
-SHARD_DOCS, MOST_SHARDS = 2000, 1024
+#: Documents of a shard, about, and shards of a section: a shard's documents are ordered by one task (with spilling),
+#: a section's shards are apportioned by one.
+SHARD_DOCS, SECTION = 2000, 1024
 
 
 def word_count(text) -> F.Column:
@@ -117,16 +118,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, bl
         lambda rows: _apportion("target", block_words, most, None)(rows[["rank", "target", "words"]]),
         "rank int, target double, words long, quota long",
     ).select("rank", "quota")
-    n_shards = F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("int")
+    n_shards = F.ceil(F.col("n_docs") / SHARD_DOCS).cast("long")
     sources = keep(sources.join(quota, "rank").withColumn("n_shards", n_shards), "mix-sources")
 
     s = s.withColumn("source_", F.col("source")).drop("source")
     s = s.join(sources, F.col("source_").eqNullSafe(F.col("source"))).drop("source", "source_")
-    s = s.withColumn("shard", F.pmod(F.shiftright("turn", 17), F.col("n_shards")).cast("int"))
+    s = s.withColumn("shard", F.pmod(F.shiftright("turn", 17), F.col("n_shards")))
     shards = s.groupBy("rank", "shard", F.col("quota").alias("seats")).agg(F.sum("size").alias("words"))
-    shards = shards.groupBy("rank").applyInPandas(
+    shards = keep(shards.withColumn("section", F.floor(F.col("shard") / SECTION)), "mix-shards")
+    sections = shards.groupBy("rank", "section", "seats").agg(F.sum("words").alias("words")).groupBy("rank").applyInPandas(
         lambda rows: _apportion("words", block_words, most, "seats")(rows),
-        "rank int, shard int, seats long, words long, quota long",
+        "rank int, section long, seats long, words long, quota long",
+    )
+    shards = shards.drop("seats").join(sections.select("rank", "section", F.col("quota").alias("seats")), ["rank", "section"])
+    shards = shards.select("rank", "section", "shard", "seats", "words").groupBy("rank", "section").applyInPandas(
+        lambda rows: _apportion("words", block_words, most, "seats")(rows),
+        "rank int, section long, shard long, seats long, words long, quota long",
     ).select("rank", "shard", F.col("words").alias("length"), F.col("quota").alias("blocks"))
     s = s.join(shards, ["rank", "shard"])
 
@@ -152,7 +159,7 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
 
     A document that the mix takes none of is left out. One taken more than once keeps one row: its text repeats, a
     line feed between, and the last turn stops at the words taken. A document taken exactly once is unchanged.
-    Rows meet their plans by id (null too), source and text; rows equal in all three share out their plans one by one.
+    Rows meet their plans by id (null too), source and text; rows equal in all three share out their plans one by one, in the order of their columns' JSON.
     """
     of_id, of_print, size, taken, more, mine, place = new_names(docs, "_id", "_print", "_size", "_taken", "_again", "_mine", "_place")
     plan = mixed.where("size > 0").select(F.col(id_col).alias(of_id), F.col("print").alias(of_print), F.col("size").alias(size), F.col("taken").alias(taken))
@@ -166,8 +173,9 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: st
         once = plan.join(again, F.col(of_print) == F.col(more), "left_anti").where(F.col(taken) > 0)
         out = docs.join(once, same).drop(of_print)
         number = lambda of, by: F.row_number().over(Window.partitionBy(of).orderBy(by))
+        in_order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))
         twice = plan.join(again, F.col(of_print) == F.col(more), "left_semi").withColumn(place, number(of_print, F.desc(taken))).where(F.col(taken) > 0)
-        rows = docs.join(again, own == F.col(more), "left_semi").withColumn(mine, own).withColumn(more, number(mine, F.lit(0)))
+        rows = docs.join(again, own == F.col(more), "left_semi").withColumn(mine, own).withColumn(more, number(mine, in_order))
         met = F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(mine) == F.col(of_print)) & (F.col(more) == F.col(place))
         out = out.union(rows.join(twice, met).drop(mine, more, of_print, place))
     whole = F.floor(F.col(taken) / F.col(size)).cast("int")

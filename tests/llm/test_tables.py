@@ -591,6 +591,64 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0)).isEmpty() and set(mixing.take(d, out).columns) == set(d.columns)
 
 
+def highest_quotients(votes, seats, caps):
+    out = [0] * len(votes)
+    for _ in range(seats):
+        free = [i for i, v in enumerate(votes) if v > 0 and out[i] < caps[i]]
+        if not free:
+            break
+        out[max(free, key=lambda i: (votes[i] / (2 * out[i] + 1), -i))] += 1
+    return out
+
+
+def test_what_each_document_gives_is_a_run_on_its_shards_ring(spark, monkeypatch):
+    """`taken` of every document, against rings laid out word by word; sources of several sections of several shards."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 8)
+    monkeypatch.setattr(mixing, "SECTION", 3)
+    rng = random.Random(17)
+    texts = [words(rng, rng.randrange(1, 90)) if i % 9 else "" for i in range(240)]
+    d = documents(spark, *texts, sources=[("a", "a", "a", "b", None, "a")[i] for i in (0, 1, 2, 3, 4, 5)])
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(d).collect()}
+
+    facts = d.select("doc_id", "source", "text", F.xxhash64(F.lit(7), "doc_id", "text").alias("turn")).collect()
+    by_source = defaultdict(list)
+    for r in facts:
+        by_source[r["source"]].append((r["turn"], r["doc_id"], len(r["text"].split())))
+    names = sorted(by_source, key=lambda s: (s is None, s))
+    sizes = {s: sum(n for _, _, n in by_source[s]) for s in names}
+    targets = brute_targets(sizes)
+    blocks_of = lambda n: -(-3 * n // 16)
+    quotas = highest_quotients([targets[s] for s in names], round(sum(targets.values()) / 16), [blocks_of(sizes[s]) for s in names])
+    want, sections_seen = defaultdict(int), 0
+    for rank, (s, quota) in enumerate(zip(names, quotas, strict=True), 1):
+        n_shards = -(-len(by_source[s]) // 8)
+        rings = defaultdict(list)
+        for turn, i, n in sorted(by_source[s]):
+            rings[(turn >> 17) % n_shards] += [i] * n
+        # Shards whose documents are all empty have no words and win nothing.
+        sections = sorted({k // 3 for k in rings})
+        sections_seen = max(sections_seen, len(sections))
+        words_in = [sum(len(rings[k]) for k in rings if k // 3 == c) for c in sections]
+        for c, seats in zip(sections, highest_quotients(words_in, quota, [*map(blocks_of, words_in)]), strict=True):
+            shards = sorted(k for k in rings if k // 3 == c)
+            for k, blocks in zip(shards, highest_quotients([len(rings[k]) for k in shards], seats, [blocks_of(len(rings[k])) for k in shards]), strict=True):
+                ring = rings[k]
+                if ring:
+                    h = spark.createDataFrame([(rank, k)], "rank int, shard long").select(F.xxhash64(F.lit(7), "rank", "shard")).first()[0]
+                    first = h % max(len(ring) // 16, 1) * 16
+                    for t in range(min(blocks * 16, 3 * len(ring))):
+                        want[ring[(first + t) % len(ring)]] += 1
+    assert sections_seen > 2 and got == {r["doc_id"]: want[r["doc_id"]] for r in facts}
+
+
+def test_rows_equal_in_all_but_other_columns_are_taken_in_a_fixed_order(spark):
+    data = [(1, "one two three four", "a", f"x{i}") for i in range(6)] + [(2, "w " * 40, "b", "y")]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, `more.of it` string")
+    plans = mixing.mix(d, block_words=1)
+    turned = spark.createDataFrame(data[::-1], d.schema).repartition(3)
+    assert rows(mixing.take(d, plans)) == rows(mixing.take(turned, mixing.mix(turned, block_words=1)))
+
+
 def test_small_sources_and_null_ids_are_mixed(spark):
     data = [(None, "one two three", "tiny"), (None, "one two three", "tiny"), (1, None, "none"), (2, "w " * 400, "big"), (None, "x " * 100, None)]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
