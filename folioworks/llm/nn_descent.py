@@ -15,8 +15,14 @@ crowd of near copies thus costs one pass over its vectors, whatever its size; of
 each block of strangers in its component.
 
 An audit compares a bounded sample with every vector: for each vector of it that has links, the share of them within
-its component, and their mean is the recall. While it is too low, more orders are added to the graph; if that doesn't
-help, the job fails rather than return too few links.
+its component, and their mean is the recall. While it is too low and grows, more orders are added to the graph.
+
+Lists, windows and parts are bounded, so the graph may miss links: two crowds that link, for one, have all their
+lists full of their own. An exact check finds every link between two components (vectors alone included) and joins
+them. Large groups form blocks by the nearest of a few pivots, or by component where one fills a block; a block's
+least and greatest angles to the pivots bound all its angles to another's, so blocks out of reach don't meet, nor do
+blocks within one component, and a vector goes only to blocks that it may reach. Where nothing is out of reach the
+check costs the square of a group.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link with
 nothing; vectors of different lengths never link; a repeated row counts as another vector; an empty table gives an
@@ -38,6 +44,8 @@ from folioworks.llm.common import connected_components, free, keep, some_rows
 BLOCK, STRIP = 2048, 256
 #: Members of a component, chosen by hash, whose mean direction is its centre.
 CENTRE = 64
+#: Vectors of a large group, at most, that its angles are measured from.
+PIVOTS = 32
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -253,6 +261,105 @@ def _count_links(base: DataFrame, parts: DataFrame, threshold: float) -> DataFra
     return out
 
 
+def _pivot_angles(placed: DataFrame) -> DataFrame:
+    """`placed` (g, part, pivot, id, c, x) without its pivots' rows, with angles: from each pivot of the group, by number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 2):
+            t = t.combine_chunks()
+            n = pa.compute.sum(t.column("pivot")).as_py()  # sorted first
+            x, rest = _vectors(t.column("x")), t.slice(n)
+            angles = np.arccos(np.clip(x[n:] @ x[:n].T, -1, 1))
+            ends = pa.array(np.arange(len(angles) + 1) * n, pa.int32())
+            columns = [*(rest.column(c).combine_chunks() for c in ("g", "id", "c", "x")), pa.ListArray.from_arrays(ends, angles.ravel()), pa.array(angles.argmin(axis=1), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "id", "c", "x", "angles", "near"])
+
+    kind = f"g string, id long, c long, x {placed.schema['x'].dataType.simpleString()}, angles array<double>, near long"
+    sorted_ = placed.repartition("g", "part").sortWithinPartitions("g", "part", F.desc("pivot"), "id")
+    return sorted_.select("g", "part", F.col("pivot").cast("int").alias("pivot"), "id", "c", "x").mapInArrow(run, kind)
+
+
+def _blocks_in_reach(named: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(g, a, b, id, c, first, x): each vector once for each pair of blocks a <= b of its group that it may have a link in; first: it is of a. And what to free."""
+    large = keep(named.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).where("n > 1"), "near-large")
+    one = F.lit("")
+    whole = named.join(large, "g", "left_anti").select("g", one.alias("a"), one.alias("b"), "id", "c", F.lit(True).alias("first"), "x")
+    rows = named.join(large, "g")
+    # A component has one pivot at most, so a crowd doesn't have them all.
+    turn = F.pmod(F.xxhash64(F.lit(11), "c"), F.least("n", F.lit(PIVOTS)))
+    pivots = rows.groupBy("g", "n", turn.alias("turn")).agg(F.min_by("x", F.xxhash64(F.lit(12), "id")).alias("x"))
+    pivots = pivots.select("g", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(True).alias("pivot"), F.col("turn").cast("long").alias("id"), F.lit(None).cast("long").alias("c"), "x")
+    dealt = rows.select("g", F.pmod(F.xxhash64(F.lit(13), "id"), "n").cast("int").alias("part"), F.lit(False).alias("pivot"), "id", "c", "x")
+    placed = keep(_pivot_angles(pivots.union(dealt)), "near-angles")
+
+    crowds = placed.groupBy("c").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK).select("c", F.lit(True).alias("crowd"))
+    cells = placed.join(crowds, "c", "left").withColumn("cell", F.when(F.col("crowd"), F.concat(F.lit("c"), "c")).otherwise(F.concat(F.lit("p"), "near")))
+    cells = keep(cells.drop("crowd", "near"), "near-cells")
+    filled = cells.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = cells.join(filled, ["g", "cell"]).withColumn("block", F.concat_ws(":", "cell", F.pmod(F.xxhash64(F.lit(14), "id"), "n").cast("string")))
+    own = keep(own.drop("cell", "n"), "near-blocks")
+    each = lambda how: F.array(*(how(F.get("angles", F.lit(i))) for i in range(PIVOTS)))
+    bounds = own.groupBy("g", "block").agg(each(F.min).alias("lo"), each(F.max).alias("hi"), F.when(F.min("c") == F.max("c"), F.min("c")).alias("only"))
+    bounds = keep(bounds, "near-bounds")
+
+    # Rounding is far below the slack.
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+    a, b = (bounds.select("g", *(F.col(c).alias(c + side) for c in ("block", "lo", "hi", "only"))) for side in "ab")
+    apart = F.array_max(F.zip_with(F.zip_with("loa", "hib", lambda p, q: p - q), F.zip_with("lob", "hia", lambda p, q: p - q), lambda p, q: F.greatest(p, q)))
+    met = a.join(b, "g").where((F.col("blocka") <= F.col("blockb")) & (apart <= reach) & ~F.coalesce(F.col("onlya") == F.col("onlyb"), F.lit(False)))
+    met = keep(met.select("g", "blocka", "blockb", "loa", "hia", "lob", "hib"), "near-met")
+    # A vector of one block meets the other only if the angle to the other's nearest pivot allows.
+    sides = []
+    for mine, other in ("ab", "ba"):
+        pairs = met if mine == "a" else met.where("blocka != blockb")
+        pivot = F.array_position(f"hi{other}", F.array_min(f"hi{other}")).cast("int") - 1
+        pairs = pairs.select("g", F.col(f"block{mine}").alias("block"), F.col("blocka").alias("a"), F.col("blockb").alias("b"), pivot.alias("p"), F.get(f"lo{other}", pivot).alias("lo"), F.get(f"hi{other}", pivot).alias("hi"))
+        at = F.get("angles", F.col("p"))
+        near = own.join(pairs, ["g", "block"]).where((at >= F.col("lo") - reach) & (at <= F.col("hi") + reach))
+        sides.append(near.select("g", "a", "b", "id", "c", F.lit(mine == "a").alias("first"), "x"))
+    return whole.union(sides[0]).union(sides[1]), [large, placed, cells, own, bounds, met]
+
+
+def _bridges(base: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(v, u): components to be joined, so that no link is left between two of them; every pair within reach is compared. A kept table."""
+    named = base.join(parts, F.col("id") == F.col("node"), "left").select("g", "id", F.coalesce("component", "id").alias("c"), "x")
+    named = keep(named, "near-named")
+    keyed, kept = _blocks_in_reach(named, threshold)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            c, first = np.asarray(t.column(4)), np.asarray(t.column(5))
+            alone = t.column(1)[0].as_py() == t.column(2)[0].as_py()
+            mine, theirs = (np.arange(len(c)),) * 2 if alone else (np.flatnonzero(first), np.flatnonzero(~first))
+            if not len(mine) or not len(theirs) or len(np.unique(c)) < 2:
+                continue
+            x, v, u = _vectors(t.column(6)), [], []
+            for a in range(0, len(mine), STRIP):
+                own = mine[a : a + STRIP]
+                i, j = np.nonzero((x[own] @ x[theirs].T >= threshold) & (c[own][:, None] != c[theirs]))
+                for p, q in np.unique(np.column_stack([c[own][i], c[theirs][j]]), axis=0).tolist():
+                    up.setdefault(p, p), up.setdefault(q, q)
+                    p, q = root(p), root(q)
+                    if p != q:  # a forest: no more pairs than components here
+                        up[p] = q
+                        v.append(p)
+                        u.append(q)
+            up.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(u, pa.int64())], ["v", "u"])
+
+    up: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while up[p] != p:
+            up[p] = p = up[up[p]]
+        return p
+
+    dealt = keyed.repartition("g", "a", "b").sortWithinPartitions("g", "a", "b", "id")
+    out = keep(dealt.mapInArrow(meet, "v long, u long").distinct(), "near-bridges")
+    free(named, *kept)
+    return out
+
+
 def _audit(base: DataFrame, parts: DataFrame, sample: int, threshold: float) -> float:
     """The recall: of a sample's vectors that have links, the mean share of links within one component; 1 if none has any."""
     named = base.join(parts, F.col("id") == F.col("node"), "left").select("g", "id", "x", F.coalesce("component", "id").alias("c"))
@@ -296,7 +403,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 12, fl
 
     k: a list's length. orders, bits, window: the first graph (orders: at least). rounds: of NN-descent, fewer when a
     round finds next to nothing new. audit: vectors, chosen by hash, that meet all others; below `recall` the graph gets
-    as many orders again, up to `most_turns` times; then a RuntimeError gives the figure.
+    as many orders again, up to `most_turns` times, while that helps. The exact check adds what the graph lacks; should
+    the result still be below `recall`, a RuntimeError gives the figure.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("x"))
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists("x", lambda v: v != 0)
@@ -309,7 +417,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 12, fl
 
     largest = base.groupBy("g").count().agg(F.max("count")).first()[0] or 0
     orders = max(orders, _orders(largest, window, threshold))
-    found, parts = None, None
+    found, parts, measured = None, None, -1.0
     for start in range(0, most_turns * orders, orders):
         new = _first_graph(base, range(start, start + orders), bits, k, floor, window)
         graph = keep(_nearest(new if found is None else found.select("v", "u", "sim").union(new), k), "near-graph")
@@ -331,11 +439,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, k: int = 12, fl
         found = graph
         free(parts)
         parts = connected_components(graph.where(F.col("sim") >= threshold), "v", "u")
-        measured = _audit(base, parts, audit, threshold)
-        if measured >= recall:
+        last, measured = measured, _audit(base, parts, audit, threshold)
+        if measured >= recall or measured <= last:
             break
-    else:
-        raise RuntimeError(f"the neighbour graph's recall is {measured:.4f} after {most_turns * orders} orders; {recall} was asked for")
+    bridges = _bridges(base, parts, threshold)
+    if not bridges.isEmpty():
+        # A component bears the name of a member.
+        before, parts = parts, connected_components(graph.where(F.col("sim") >= threshold).select("v", "u").union(bridges), "v", "u")
+        free(before)
+        measured = _audit(base, parts, audit, threshold)
+    free(bridges)
+    if measured < recall:
+        raise RuntimeError(f"the neighbour graph's recall is {measured:.4f} after {start + orders} orders and the exact check; {recall} was asked for")
     links = _count_links(base, parts, threshold)
     named = base.join(parts, F.col("id") == F.col("node"), "left").join(links.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
     named = named.select(F.col("g").alias("g_"), F.col("x").alias("x_"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c"))

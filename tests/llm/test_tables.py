@@ -296,6 +296,47 @@ def test_links_of_large_components_match_brute_force(spark, monkeypatch):
     assert nn_descent._count_links(base.limit(0), parts, 0.98).isEmpty()
 
 
+def test_crowds_with_full_lists_are_joined(spark):
+    """Two crowds 11 degrees apart: every list is full of the own crowd, so NN-descent alone finds no link between them."""
+    rng = np.random.default_rng(21)
+    turn = np.radians(np.repeat([0, 11], 60))
+    x = np.column_stack([np.cos(turn), np.sin(turn), *np.zeros((6, 120))]) + rng.normal(0, 1e-4, (120, 8))
+    got = rows(nn_descent.near_duplicates(vectors(spark, x.tolist(), [1] * 120), k=6, recall=0.4, audit=10), "n_links", "component_id", "recall")
+    assert got == [(119, 0, 1.0)] * 120
+
+
+def test_links_between_components_match_brute_force(spark, monkeypatch):
+    """Blocks by pivot, crowds of several blocks, blocks out of reach; from parts that know some links and from none."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    rng = np.random.default_rng(22)
+    turn = np.arange(70) * 0.15
+    chain = np.column_stack([np.cos(turn), np.sin(turn), np.zeros(70), np.zeros(70)])
+    crowds = np.concatenate([v + rng.normal(0, 0.003, (50, 4)) for v in ([0, 0, 1, 0], [0, 0, 1, 0.19], [0, 0, -1, 0])])
+    spread = rng.normal(size=(200, 4))
+    data = [(g, v.tolist()) for g, x in (("a", np.concatenate([chain, crowds])), ("b", spread), ("c", spread[:9] * 3)) for v in x]
+    base = spark.createDataFrame([(g, i, v) for i, (g, v) in enumerate(data)], "g string, id long, x array<double>")
+    x, g = np.array([v for _, v in data]), np.array([g for g, _ in data])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    links = np.argwhere(np.triu((x @ x.T >= 0.98) & (g[:, None] == g), 1)).tolist()
+    want = Union()
+    for a, b in links:
+        want.join(a, b)
+    crowd = [(i, 70 + 50 * ((i - 70) // 50)) for i in range(70, 220)]
+    for known in (crowd, [(0, 0), (1, 0)], []):
+        got, own = Union(), dict(known)
+        pairs = rows(nn_descent._bridges(base, spark.createDataFrame(known, "node long, component long"), 0.98), "v", "u")
+        for a, b in [*known, *pairs]:
+            got.join(a, b)
+        assert all(own.get(a, a) == a and own.get(b, b) == b for a, b in pairs)
+        assert [got.find(i) for i in range(len(data))] == [want.find(i) for i in range(len(data))]
+    named = base.select("g", "id", F.lit(0).cast("long").alias("c"), "x")
+    assert nn_descent._blocks_in_reach(named.where("g = 'a'"), 0.98)[0].isEmpty()  # one component: nobody meets
+    apart = base.select("g", "id", F.col("id").alias("c"), "x")
+    met, n = nn_descent._blocks_in_reach(apart.where("g = 'a'"), 0.98)[0], 220
+    assert met.select("a", "b").distinct().count() < len(crowds) and met.count() < n * n / 16
+    assert nn_descent._bridges(base.limit(0), spark.createDataFrame([], "node long, component long"), 0.98).isEmpty()
+
+
 def test_a_low_recall_is_no_result(spark, monkeypatch):
     f = vectors(spark, [[1.0, 0.0], [1.0, 0.001], [0.0, 1.0]])
     monkeypatch.setattr(nn_descent, "_audit", lambda *_: 0.5)
