@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from conftest import rows
@@ -829,3 +830,23 @@ def test_pipeline_of_nothing(spark, sf):
     for _, stage in pipe.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.isEmpty()
+
+
+def test_pipeline_hands_on_texts_in_small_batches(spark, tmp_path):
+    """Each stage, run alone, bounds the bytes of a batch, and a session's own smaller bound stays."""
+    import corpus_pipeline
+
+    was = spark.conf.get(common.BATCH)
+    try:
+        spark.conf.set(common.BATCH, str(64 << 20))
+        packed = corpus_pipeline.packed(spark, documents(spark, "a b", None), str(tmp_path))
+        assert spark.conf.get(common.BATCH) == str(common.BATCH_BYTES)
+        assert rows(packed, "doc_id", "length")[-1] == (1, 1)
+        texts = documents(spark, *["x" * (1 << 20)] * 8).coalesce(1).select("text")
+        sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert sum(r["n"] for r in sizes.collect()) == 8 and max(r["n"] for r in sizes.collect()) <= 3
+        spark.conf.set(common.BATCH, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH) == "1m"
+    finally:
+        spark.conf.set(common.BATCH, was)
