@@ -23,8 +23,11 @@ In a bucket, classes first meet a few leaders; classes that are then in one comp
 others that share a bucket meet. Each class has a parity sketch, whose length grows with its size: each bit is the
 parity of the elements that fall on it. Sketches differ in no more bits than sets in elements, so a pair whose sketches
 differ in too many can't link. In the last round the sketches, folded to a length that the bucket's band sets, meet in
-groups of bounded size, so a pair that can't link never becomes a row. What is left is compared set by set. No bucket holds more than one signature of a set, so of a crowd's rows it has a share of one in as many
-as a set has signatures.
+groups of bounded size. A pair that may link shares many buckets, and a family just below the limit has as many such
+pairs as the square of its size; so a group gives only a forest of them, fewer rows than it has members. The components
+of the forests are neighbourhoods: each pair that may link lies in one. There the sets themselves meet, each once
+however many buckets it is in, and a group again gives a forest, of true links. No bucket holds more than one signature
+of a set, so of a crowd's rows it has a share of one in as many as a set has signatures.
 
 Defined cases: null and blank text has an empty set, 0 shingles, and links with nothing; with fewer words than
 `words` the whole sequence is one shingle; repeated rows each get a row; a null id belongs to the class of its text but
@@ -57,6 +60,8 @@ MOST_FREQUENT = 1 << 20
 LEAST = 8
 #: Members of a bucket that meet in one group, about; a larger bucket is dealt over several groups.
 BLOCK = 4096
+#: Elements of the members of such a block, about, where whole sets meet (16 MB).
+ELEMENTS = 1 << 21
 #: A signature's low bits hold its band.
 BAND_BITS = 7
 
@@ -295,17 +300,20 @@ def _folded(most: int, percent: int) -> F.Column:
     return F.transform(F.sequence(F.lit(0), own - 1), word)
 
 
-def _dealt(now: DataFrame) -> DataFrame:
+def _dealt(now: DataFrame, size: F.Column) -> DataFrame:
     """`now` (key, band, id, label) with the groups (i, j) in which a member meets others, its side there, and whether only the sides meet (two).
 
-    A bucket of at most BLOCK members is one group. In a larger one the members of the commonest label and the others
+    A block has at most BLOCK members, and fewer where they are of such a `size` that they would hold more than ELEMENTS.
+    A bucket of one block is one group. In a larger one the members of the commonest label and the others
     (strangers) lie in blocks; each block of strangers meets each block. So a crowd that is linked already doesn't
     meet itself, and no group holds more than about two blocks.
     """
-    often = now.groupBy("key", "band", "label").count().groupBy("key", "band").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("top"))
-    often = often.select("key", "band", "all", F.col("top.count").alias("crowd"), F.col("top.label").alias("common"))
+    often = now.groupBy("key", "band", "label").agg(F.count("*").alias("count"), F.max(size).alias("size"))
+    often = often.groupBy("key", "band").agg(F.sum("count").alias("all"), F.max(F.struct("count", "label")).alias("top"), F.max("size").alias("size"))
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(ELEMENTS) / F.col("size"))))
+    often = often.select("key", "band", "all", F.col("top.count").alias("crowd"), F.col("top.label").alias("common"), block.alias("block"))
     now = now.join(often, ["key", "band"])
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / F.col("block")).cast("int")
     crowd, strangers = blocks(F.col("crowd")), blocks(F.col("all") - F.col("crowd"))
     stranger = F.col("label") != F.col("common")
     mine = F.pmod(F.xxhash64("id"), F.when(stranger, strangers).otherwise(crowd)).cast("int")
@@ -315,68 +323,161 @@ def _dealt(now: DataFrame) -> DataFrame:
     met = F.transform(up_to(crowd), lambda c: group(mine, c, F.lit(0), F.lit(True)))
     among = F.transform(up_to(strangers), lambda t: group(F.least(mine, t), crowd + F.greatest(mine, t), (mine > t).cast("int"), mine != t))
     other = F.transform(up_to(strangers), lambda t: group(t, mine, F.lit(1), F.lit(True)))
-    groups = F.when(F.col("all") <= BLOCK, whole).when(stranger, F.concat(met, among)).otherwise(other)
+    groups = F.when(F.col("all") <= F.col("block"), whole).when(stranger, F.concat(met, among)).otherwise(other)
     return now.select("key", "band", "id", "label", F.inline(groups))
 
 
+#: What a group of _dealt is.
+GROUP = ["key", "band", "i", "j"]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups of a stream sorted by GROUP."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        last = tuple(t.column(c)[-1].as_py() for c in GROUP)
+        same = np.all([np.asarray(t.column(c)) == x for c, x in zip(GROUP, last, strict=True)], axis=0)
+        a = int(np.flatnonzero(same)[0])  # sorted: the last group's rows stand together
+        if a:
+            yield t.slice(0, a)
+        held = t.slice(a)
+    if held is not None:
+        yield held
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, length of each list)."""
+    lists = lists.combine_chunks()
+    return np.asarray(lists.flatten()).view(np.uint64), np.asarray(lists.value_lengths()).astype(np.int64)
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (a, b) that join what `root` (each row's least joined row) has apart, a forest; `root` follows in place."""
+    used = [np.empty((2, 0), np.int64)]
+    while len(a):
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = np.flatnonzero(lo != hi)
+        a, b, lo, hi = (x[apart] for x in (a, b, lo, hi))
+        hi, one = np.unique(hi, return_index=True)  # each root goes below one smaller root, so no ring arises
+        root[hi] = lo[one]
+        used.append(np.stack([a[one], b[one]]))
+        while np.any((up := root[root]) != root):
+            root[:] = up
+    return tuple(np.concatenate(used, axis=1))
+
+
+def _close(t: pa.Table, percent: int, n: np.ndarray, word: np.ndarray, length: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of rows of whole groups that may link: labels differ, sizes and sketches (word, length) are close.
+
+    They come in turns; those that the caller has joined in `root` by then are left out.
+    """
+    at = np.arange(t.num_rows)
+    new = np.ones(t.num_rows, bool)
+    new[1:] = np.any([(x := np.asarray(t.column(c)))[1:] != x[:-1] for c in GROUP], axis=0)
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], len(at))[np.cumsum(new) - 1]
+    label = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices)
+    side, two = (np.asarray(t.column(c)) for c in ("side", "two"))
+    start = np.cumsum(length) - length
+
+    def folded(own: np.ndarray, many: int) -> np.ndarray:
+        out = np.zeros((len(own), many), np.uint64)
+        for long in np.unique(length[own]):
+            some = np.flatnonzero(length[own] == long)
+            out[some] = np.bitwise_xor.reduce(word[start[own[some]][:, None] + np.arange(long)].reshape(len(some), -1, many), axis=1)
+        return out
+
+    short = folded(at, LEAST)
+    near = lambda p, q, a, b: (100 + percent) * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[a] + n[b])
+    step = 1
+    while len(at := at[at + step < end[at]]):
+        b = at + step
+        use = (root[at] != root[b]) & (label[at] != label[b]) & (100 * np.minimum(n[at], n[b]) >= percent * np.maximum(n[at], n[b])) & (~two[at] | (side[at] != side[b]))
+        a, b = at[use], b[use]
+        use = near(short[a], short[b], a, b)
+        a, b = a[use], b[use]
+        least = np.minimum(length[a], length[b])
+        for many in np.unique(least):
+            if many > LEAST:
+                for own in np.array_split(some := np.flatnonzero(least == many), len(some) * many // (1 << 20) + 1):
+                    far = ~near(folded(a[own], many), folded(b[own], many), a[own], b[own])
+                    a[own[far]] = -1
+        yield a[a >= 0], b[a >= 0]
+        step += 1
+
+
+def _forest(t: pa.Table, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = np.concatenate([np.empty((2, 0), np.int64), *pairs], axis=1)
+    ids = t.column("id").combine_chunks()
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["x", "y"])
+
+
 def _meet(percent: int):
-    """Pairs (x, y) that may link within the groups of a stream sorted by (key, band, i, j): labels differ, sizes and sketches are close."""
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        at = np.arange(t.num_rows)
-        new = np.ones(t.num_rows, bool)
-        new[1:] = np.any([(x := np.asarray(t.column(c)))[1:] != x[:-1] for c in ("key", "band", "i", "j")], axis=0)
-        first = np.flatnonzero(new)
-        end = np.append(first[1:], len(at))[np.cumsum(new) - 1]
-        label = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices)
-        n, side, two = (np.asarray(t.column(c)) for c in ("n", "side", "two"))
-        w = t.column("w").combine_chunks()
-        length, start = np.asarray(w.value_lengths()), np.asarray(w.offsets)[:-1] - w.offsets[0].as_py()
-        word = np.asarray(w.flatten()).view(np.uint64)
-        rows = lambda own, many: word[start[own][:, None] + np.arange(many)]
-        short = np.zeros((len(at), LEAST), np.uint64)
-        for many in np.unique(length):
-            own = np.flatnonzero(length == many)
-            short[own] = np.bitwise_xor.reduce(rows(own, many).reshape(len(own), -1, LEAST), axis=1)
-        near = lambda p, q, a, b: (100 + percent) * np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[a] + n[b])
-        found: list[np.ndarray] = []
-        step = 1
-        while len(at := at[at + step < end[at]]):
-            b = at + step
-            use = (label[at] != label[b]) & (100 * np.minimum(n[at], n[b]) >= percent * np.maximum(n[at], n[b])) & (~two[at] | (side[at] != side[b]))
-            a, b = at[use], b[use]
-            use = near(short[a], short[b], a, b)
-            a, b = a[use], b[use]
-            for many in np.unique(length[a]):
-                if many > LEAST:
-                    for own in np.array_split(some := np.flatnonzero(length[a] == many), len(some) * many // (1 << 20) + 1):
-                        far = ~near(rows(a[own], many), rows(b[own], many), a[own], b[own])
-                        a[own[far]] = -1
-            found.append(np.column_stack([a, b])[a >= 0])
-            step += 1
-        hit = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        ids = t.column("id").combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(hit[:, 0])), ids.take(pa.array(hit[:, 1]))], ["x", "y"])
+    """A forest (x, y) of the pairs that may link within each group of a stream sorted by GROUP; members of one tree need no further look at each other here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            last = tuple(t.column(c)[-1].as_py() for c in ("key", "band", "i", "j"))
-            same = np.all([np.asarray(t.column(c)) == x for c, x in zip(("key", "band", "i", "j"), last, strict=True)], axis=0)
-            a = int(np.flatnonzero(same)[0])  # sorted: the last group's rows stand together
-            if a:
-                yield pairs(t.slice(0, a))
-            held = t.slice(a)
-        if held is not None:
-            yield pairs(held)
+        for t in _groups(batches):
+            root = np.arange(t.num_rows)
+            yield _forest(t, [_joined(root, a, b) for a, b in _close(t, percent, np.asarray(t.column("n")), *_flat(t.column("w")), root)])
 
     return run
 
 
+def _link(percent: int):
+    """A forest (x, y) of the links within each group of a stream sorted by GROUP: it joins the labels that the group's links join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            s, n = _flat(t.column("set"))
+            start = np.cumsum(n) - n
+            element = np.unique(s, return_inverse=True)[1]
+            many = int(element.max(initial=0)) + 1
+
+            def spread(own: np.ndarray) -> np.ndarray:
+                """The elements of rows `own`, each with its place there."""
+                count = n[own]
+                return np.repeat(np.arange(len(own)), count) * many + element[np.repeat(start[own] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+            def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                both = np.sort(np.concatenate([spread(a), spread(b)]))
+                common = np.bincount(both[1:][both[1:] == both[:-1]] // many, minlength=len(a))
+                return 100 * common >= percent * (n[a] + n[b] - common)
+
+            root = np.arange(t.num_rows)
+            found = []
+            for a, b in _close(t, percent, n, *wide_sketches(s, np.repeat(root, n), len(n)), root):
+                for own in np.array_split(np.arange(len(a)), int((n[a] + n[b]).sum()) >> 22 or 1) if len(a) else []:
+                    ok = own[linked(a[own], b[own])]
+                    found.append(_joined(root, a[ok], b[ok]))
+            yield _forest(t, found)
+
+    return run
+
+
+def _last_links(now: DataFrame, measured: DataFrame, docs: DataFrame, words: int, percent: int, id_type: str) -> DataFrame:
+    """Links (a, b) between the labels of `now` (key, band, id, label) that join all that its buckets' links join. A kept table."""
+    most = measured.agg(F.max("n")).first()[0] or 1
+    sketched = measured.where("n > 0").select("id", "n", "wide").join(now.select("id", "band").distinct(), "id")
+    sketched = keep(sketched.select("id", "band", "n", _folded(most, percent).alias("w")).dropDuplicates(["id", "band"]), "jaccard-sketched")
+    in_groups = lambda rows: rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    met = in_groups(_dealt(now, F.lit(1)).join(sketched, ["id", "band"]).select(*GROUP, "side", "two", "id", "label", "n", "w"))
+    near = met.mapInArrow(_meet(percent), f"x {id_type}, y {id_type}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = keep(near.distinct(), "jaccard-near")
+    around = connected_components(near)
+    kind = f"id {docs.schema['id'].dataType.simpleString()}, set array<long>"
+    sets = keep(_only(docs, around.select(F.col("node").alias("id"))).mapInArrow(_sets(words), kind).distinct(), "jaccard-sets")
+    sizes = sets.groupBy("id").agg(F.max(F.size("set")).alias("n"))
+    now = around.select(F.col("component").alias("key"), F.lit(0).alias("band"), F.col("node").alias("id")).join(now.select("id", "label").distinct(), "id").join(sizes, "id")
+    whole = in_groups(_dealt(now, F.col("n")).join(sets, "id").select(*GROUP, "side", "two", "id", "label", "set"))
+    out = keep(whole.mapInArrow(_link(percent), f"a {id_type}, b {id_type}"), "jaccard-links")
+    free(sketched, near, around, sets)
+    return out
+
+
 def _buckets(docs: DataFrame, classes: DataFrame, words: int, percent: int, passes: int, id_type: str) -> DataFrame:
     """(key, band, id): the members of each bucket, pass by pass; buckets of a band with the same members have one key. A kept table."""
     sample = keep(some_rows(classes, SAMPLE_CLASSES, "rep").select(F.col("rep").alias("id")), "jaccard-sample")
@@ -423,30 +524,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, leade
             free(parts)
             parts = connected_components(links)
             now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
-            # Buckets within one component are done with.
-            now = now.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).where("lo != hi")
+            # Buckets within one component are done with, and so are those of two members: one has led the other.
+            now = now.withColumn("lo", F.min("label").over(bucket)).withColumn("hi", F.max("label").over(bucket)).withColumn("all", F.count("*").over(bucket))
+            now = now.where("lo != hi and all > 2")
             was, members = members, keep(now.select("key", "band", "id"), "jaccard-apart")
             free(was)
             now = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("label"))
         else:
             now = members.withColumn("label", F.col("id"))
-        if turn < leaders:
+        if turn == leaders:
+            found = _last_links(now, measured, docs, words, percent, id_type)
+        else:
             first = F.col("id") if not turn else F.xxhash64(F.lit(turn), "id")
             lead = F.min(F.struct(first.alias("x"), "id", "label")).over(bucket)
             met = now.withColumn("lead", lead).where("label != lead.label").select(F.col("lead.id").alias("x"), F.col("id").alias("y"))
-        else:
-            most = measured.agg(F.max("n")).first()[0] or 1
-            sketched = measured.where("n > 0").select("id", "n", "wide").join(members.select("id", "band").distinct(), "id")
-            sketched = keep(sketched.select("id", "band", "n", _folded(most, percent).alias("w")).dropDuplicates(["id", "band"]), "jaccard-sketched")
-            group = ["key", "band", "i", "j"]
-            dealt = _dealt(now).join(sketched, ["id", "band"]).select(*group, "side", "two", "id", "label", "n", "w")
-            met = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_meet(percent), f"x {id_type}, y {id_type}")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "jaccard-pairs")
-        found = _verify(pairs, measured, docs, words, percent)
-        done = pairs if done is None else done.union(pairs)
+            pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = keep(pairs, "jaccard-pairs")
+            found = _verify(pairs, measured, docs, words, percent)
+            done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
     free(parts, members)
     parts = connected_components(links)

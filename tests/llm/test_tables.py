@@ -134,6 +134,66 @@ def test_shared_rows_of_a_sorted_stream():
         assert got == [x for x in sorted(set(data)) if len({f for s, f in data if s == x[0]}) > 1]
 
 
+def meeting(sets, group, label, side=None):
+    """A stream for `_meet` and `_link`, in two batches: the rows' sets, and sketches that tell nothing."""
+    n = len(sets)
+    side = side or [0] * n
+    d = {"key": group, "band": [0] * n, "i": [0] * n, "j": [0] * n, "side": side, "two": [any(side)] * n, "id": list(range(n)), "label": label, "n": [len(s) for s in sets],
+         "w": [[0] * ngram_join.LEAST] * n, "set": pa.array([sorted(s) for s in sets], pa.list_(pa.int64()))}
+    whole = pa.RecordBatch.from_pydict(d)
+    return iter([whole.slice(0, n // 3), whole.slice(n // 3)])
+
+
+def test_a_family_below_the_limit_makes_fewer_rows_than_it_has_members():
+    sets = [set(range(i, i + 70)) for i in range(60)] + [{1, 2}, {3, 4}]
+    group = [0] * 60 + [1, 2]
+    got = [tuple(r.values()) for b in ngram_join._meet(80)(meeting([range(70)] * 62, group, list(range(62)))) for r in b.to_pylist()]
+    assert len(got) == 59  # each of the 1,770 pairs may link; before, each was a row
+    u = Union()
+    for x, y in got:
+        u.join(x, y)
+    assert {u.find(x) for x in range(60)} == {0}
+    assert not [r for b in ngram_join._link(98)(meeting(sets, group, list(range(62)))) for r in b.to_pylist()]
+
+
+def test_a_forest_joins_what_the_links_join():
+    rng = random.Random(5)
+    for case in range(30):
+        sets, group, label = [], sorted(rng.randrange(4) for _ in range(50)), [rng.randrange(25) for _ in range(50)]
+        for _ in range(50):
+            sets.append({x for x in range(40) if rng.random() < 0.93})
+        side = [rng.randrange(2) for _ in range(50)] if case % 2 else [0] * 50
+        both = lambda u: {(a, b): u.find(("l", label[a], group[a])) == u.find(("l", label[b], group[b])) for a in range(50) for b in range(a) if group[a] == group[b]}
+        truth, got = Union(), Union()
+        for a in range(50):
+            for b in range(a):
+                if group[a] == group[b] and label[a] != label[b] and (not any(side) or side[a] != side[b]) and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    truth.join(("l", label[a], group[a]), ("l", label[b], group[b]))
+        found = [tuple(r.values()) for x in ngram_join._link(90)(meeting(sets, group, label, side)) for r in x.to_pylist()]
+        for a, b in found:
+            assert group[a] == group[b] and label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])
+            got.join(("l", label[a], group[a]), ("l", label[b], group[b]))
+        assert both(truth) == both(got) and len(found) < 50
+
+
+@pytest.mark.parametrize("elements", [1 << 21, 700])
+def test_families_about_the_limit_match_brute_force(spark, elements, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ELEMENTS", elements)
+    rng = random.Random(8)
+    texts = []
+    for size, edits in ((60, 1), (100, 1), (150, 2), (300, 4)):
+        base = words(rng, size).split()
+        for k in range(25):
+            copy = base[:]
+            for _ in range(edits + k % 2):
+                copy[rng.randrange(size)] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(copy))
+    expected = expected_components(texts, 5, 80)
+    assert 5 < len({c for _, _, c in expected}) < 95
+    got = rows(ngram_join.jaccard_components(documents(spark, *texts), 5, 80, leaders=1, passes=1), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == expected
+
+
 # Top-k ---------------------------------------------------------------------------------------------------------------
 
 def vectors(spark, data, label=None):
