@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioworks.functions import text as T
 from folioworks.operators.places import commune_at_point
-from folioworks.operators.shared import keep
+from folioworks.operators.shared import keep, numbered
 
 
 def unique_alias(alias: DataFrame) -> DataFrame:
@@ -94,9 +94,12 @@ def first_communal_place(nodes: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def tree_commune_by_cote_order(cotes: DataFrame, tree: DataFrame, order: Column) -> DataFrame:
-    """(cote, name): the i-th cote by `order` goes with the i-th commune of the tree (nom, rang). A fallback by position, for short lists of one fund."""
-    a = cotes.select("cote", F.row_number().over(Window.orderBy(order)).alias("i"))
-    b = tree.select(F.col("nom").alias("name"), F.row_number().over(Window.orderBy("rang")).alias("i"))
+    """(cote, name): the i-th cote by `order` goes with the i-th commune of the tree (nom, rang). A fallback by position, for lists of one fund.
+
+    Cotes of equal `order` go by their text, communes of equal `rang` by their name, so runs agree.
+    """
+    a = numbered(cotes.select("cote"), [order, F.col("cote")], "i")
+    b = numbered(tree.select(F.col("nom").alias("name"), "rang"), [F.col("rang"), F.col("name")], "i")
     return a.join(b, "i", "left").select("cote", "name")
 
 

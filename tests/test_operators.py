@@ -210,3 +210,14 @@ def test_one_and_many_partitions_agree(spark, sf):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_communes_of_equal_rank_go_by_name(spark):
+    """However the rows come, the i-th cote has the same commune."""
+    from folioworks.functions.parse import natural_cote_key
+
+    cotes = frame(spark, "cote string", *((f"{i}",) for i in range(1, 41)))
+    tree_ = [(f"commune {i:02d}", f"{i // 15}") for i in range(40)]
+    for order in (tree_, tree_[::-1], random.Random(2).sample(tree_, 40)):
+        got = resolve.tree_commune_by_cote_order(cotes, frame(spark, "nom string, rang string", *order), natural_cote_key("cote"))
+        assert rows(got) == sorted(((f"{i + 1}", f"commune {i:02d}") for i in range(40)), key=str)
