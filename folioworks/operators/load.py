@@ -52,6 +52,12 @@ def write_files(rows: DataFrame, name: Column | str, content: Column | str, path
     rows.select(T.col(name).alias("name"), T.col(content).alias("content")).write.format("file_per_row").mode("append").save(path)
 
 
+def write_files_in_parts(rows: DataFrame, path: str, before: str = "", after: str = "") -> None:
+    """A file for each name of `rows` (name, content), its rows together in one task and in the order they are to be written; a file of any size is never one row."""
+    files.register(rows.sparkSession)
+    rows.select("name", "content").write.format("file_in_parts").mode("append").option("before", before).option("after", after).save(path)
+
+
 def upsert_ignore(existing: DataFrame, batch: DataFrame, key: str = "archive_url", rank: str = "ingest_rank") -> DataFrame:
     """existing and those rows of the batch whose key it lacks; within the batch the first by rank."""
     new = first_wins(batch, [key], rank).join(existing.select(key).distinct(), key, "left_anti")

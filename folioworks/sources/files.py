@@ -3,8 +3,10 @@
     register(spark)
     spark.read.format("shapefile_extents").load(folder)      file_id, xmin, ymin, xmax, ymax, stem
     spark.read.format("rdf_nodes").load(folder)              readers.RDF_NODE, path
+    spark.read.format("rdf_edges").load(folder)              parent_id, child_id, pos, path
     spark.read.format("jpeg_sizes").load(folder)             path, width, height
     df.write.format("file_per_row").mode("append").save(folder)       name, content: a file for each row
+    df.write.format("file_in_parts").mode("append").save(folder)      name, content: a file for each run of rows of one name
     df.write.format("counted_lines").mode("append").save(folder)      value: a line for each row, null ones are counted only
 
 Files are reached by pyarrow's file systems, so a path is one of those or a local one that all executors share. Filters
@@ -21,7 +23,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from xml.etree import ElementTree
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -169,26 +171,29 @@ class _Grouped(_FileReader):
         return f.size
 
 
+#: Bytes of text that a byte of a compressed file stands for, about.
+PACKED = 10
+
+
 class _Rdf(_Grouped):
-    form = r"(?i)\.(rdf|xml)$"
+    form = r"(?i)\.(rdf|xml)(\.(gz|zst))?$"
+
+    def weight(self, f: fs.FileInfo) -> int:
+        return f.size * PACKED if f.extension in ("gz", "zst") else f.size
 
     def read(self, partition: _Group) -> Iterator[tuple]:
         system, _ = _system(self.options["path"])
         for path in partition.paths:
-            with system.open_input_stream(path) as stream:
-                root, depth = None, 0
-                for event, node in ElementTree.iterparse(stream, ("start", "end")):
-                    depth += 1 if event == "start" else -1
-                    root = node if root is None else root
-                    if event == "end" and depth == 1:
-                        row = readers.rdf_row(node)
-                        if row:
-                            yield (*row, path)
-                        root.clear()  # what has been read is let go
+            with system.open_input_stream(path) as stream:  # unpacked by its name's ending
+                for row in self.rows(stream):
+                    yield (*row, path)
+
+    def rows(self, stream) -> Iterator[tuple]:
+        return readers.rdf_rows(stream, self.options.get("links", "true").lower() != "false")
 
 
 class RdfNodes(DataSource):
-    """Nodes of RDF/XML finding aids, each file read as a stream of descriptions; option: bytesPerPartition."""
+    """Nodes of RDF/XML finding aids (also .gz and .zst), each file read as a stream of descriptions; options: bytesPerPartition, links (false: children and location_ids are null, so that a node of any number of children is a short row)."""
 
     @classmethod
     def name(cls) -> str:
@@ -201,6 +206,25 @@ class RdfNodes(DataSource):
         return _Rdf(self.options)
 
 
+class _RdfLinks(_Rdf):
+    def rows(self, stream) -> Iterator[tuple]:
+        return readers.rdf_links(stream)
+
+
+class RdfEdges(DataSource):
+    """Links from nodes to their children in RDF/XML finding aids, a row for each, so a node's children are never held; option: bytesPerPartition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "rdf_edges"
+
+    def schema(self) -> str:
+        return "parent_id string, child_id string, pos int, path string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _RdfLinks(self.options)
+
+
 class _Jpeg(_Grouped):
     form = r"(?i)\.jpe?g$"
 
@@ -293,13 +317,18 @@ class _Committing(DataSourceWriter):
             system.delete_dir(f"{at}/{self.staging}")
 
 
+def _data(row) -> bytes:
+    """The bytes of a row (name, content) that a file can be written from."""
+    if not row.name or not re.fullmatch(r"[^/_.][^/]*", row.name) or row.content is None:
+        raise ValueError(f"no file can be written for the name {row.name!r}")
+    return row.content.encode() if isinstance(row.content, str) else bytes(row.content)
+
+
 class _PerRow(_Committing):
     def put(self, system: fs.FileSystem, folder: str, rows: Iterator) -> tuple[list[str], dict[str, int]]:
         names, size = [], 0
         for row in rows:
-            if not row.name or not re.fullmatch(r"[^/_.][^/]*", row.name) or row.content is None:
-                raise ValueError(f"no file can be written for the name {row.name!r}")
-            data = row.content.encode() if isinstance(row.content, str) else bytes(row.content)
+            data = _data(row)
             with system.open_output_stream(f"{folder}/{row.name}") as out:
                 out.write(data)
             names.append(row.name)
@@ -321,6 +350,36 @@ class FilePerRow(DataSource):
         return _PerRow(self.options, overwrite)
 
 
+class _Parts(_Committing):
+    def put(self, system: fs.FileSystem, folder: str, rows: Iterator) -> tuple[list[str], dict[str, int]]:
+        before, after = (self.options.get(k, "").encode() for k in ("before", "after"))
+        names, size = [], 0
+        for name, parts in groupby(((row.name, _data(row)) for row in rows), key=lambda x: x[0]):
+            with system.open_output_stream(f"{folder}/{name}") as out:  # packed by its name's ending
+                out.write(before)
+                for _, data in parts:
+                    out.write(data)
+                    size += len(data)
+                out.write(after)
+            names.append(name)
+            size += len(before) + len(after)
+        return names, {"files": len(names), "bytes": size}
+
+
+class FileInParts(DataSource):
+    """Sink of rows (name, content): a file for each run of rows of one name, written a row at a time, all of them on commit or none; names that end in .gz or .zst are packed. Options: before, after (text around each file's rows). A name whose rows stand apart is an error."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_in_parts"
+
+    def schema(self) -> str:
+        return "name string, content string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Parts(self.options, overwrite)
+
+
 class _Lines(_Committing):
     def put(self, system: fs.FileSystem, folder: str, rows: Iterator) -> tuple[list[str], dict[str, int]]:
         name, written, without = f"part-{uuid.uuid4().hex}.txt", 0, 0
@@ -351,5 +410,5 @@ class CountedLines(DataSource):
 def register(spark: SparkSession) -> None:
     """Makes the sources and sinks known to a session, and lets it push filters to them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (ShapefileExtents, RdfNodes, JpegSizes, FilePerRow, CountedLines):
+    for source in (ShapefileExtents, RdfNodes, RdfEdges, JpegSizes, FilePerRow, FileInParts, CountedLines):
         spark.dataSource.register(source)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
+from typing import IO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -249,7 +252,11 @@ def portal_config(rows: DataFrame, codes: list[str]) -> DataFrame:
     return own
 
 
+#: Rows of a batch that a reader of whole texts hands on.
+_ROWS = 4096
+
 _RICO, _RDF, _DC = "{https://www.ica.org/standards/RiC/ontology#}", "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://purl.org/dc/terms/}"
+_CHILD = _RICO + "includesOrIncluded"
 
 
 def _clean_manifest(url: str) -> str:
@@ -261,18 +268,76 @@ def _clean_manifest(url: str) -> str:
 RDF_NODE = "id string, title string, begin_year int, end_year int, manifest string, image string, service_uri string, children array<string>, location_ids array<string>"
 
 
-def rdf_row(node: ElementTree.Element) -> tuple | None:
-    """The values of RDF_NODE of an RDF description; None without an address. Years are first four characters if digits."""
-    last = lambda uri: uri.rstrip("/").split("/")[-1]
-    uri = node.get(_RDF + "about") or ""
-    if not uri:
-        return None
-    texts = lambda tag: [x.text or x.get(_RDF + "resource") or "" for x in node.findall(tag)]
-    year = lambda tag: next((int(t[:4]) for t in texts(tag)[:1] if t[:4].isdecimal()), None)
-    manifests = [m for m in texts(_RICO + "hasInstantiation") if "/manifest" in m]
-    images = [s for s in texts(_DC + "source") if ("daoloc" in s or "daogrp" in s) and "vignette" not in s]
-    return (last(uri), next(iter(texts(_RICO + "title")), ""), year(_RICO + "beginningDate"), year(_RICO + "endDate"), _clean_manifest(manifests[0]) if manifests else None, images[-1] if images else None,
-            next(iter(texts(_RICO + "heldBy")), None), [last(c) for c in texts(_RICO + "includesOrIncluded")], [last(c) for c in texts(_RICO + "hasSubject") if "/location/" in c])
+def _last_part(uri: str) -> str:
+    return uri.rstrip("/").split("/")[-1]
+
+
+def rdf_descriptions(stream: IO[bytes]) -> Iterator[tuple[str, Iterator[tuple[str, str]]]]:
+    """(address, its properties as (tag, value)) of each description of an RDF/XML stream that has an address.
+
+    A property is let go when it has been handed on, so neither a file nor a description of any number of links is held. Properties
+    that the caller leaves are passed over.
+    """
+    parsed = ElementTree.iterparse(stream, ("start", "end"))
+    _, root = next(parsed)
+
+    def properties(node: ElementTree.Element) -> Iterator[tuple[str, str]]:
+        depth = 0
+        for event, x in parsed:
+            if event == "start":
+                depth += 1
+            elif x is node:
+                return
+            else:
+                depth -= 1
+                if not depth:
+                    yield x.tag, x.text or x.get(_RDF + "resource") or ""
+                    del node[:]
+
+    for event, node in parsed:
+        if event == "start":  # what is left of a description has been read: this is the next one
+            own = properties(node)
+            uri = node.get(_RDF + "about") or ""
+            if uri:
+                yield uri, own
+            for _ in own:
+                pass
+            root.clear()
+
+
+def rdf_rows(stream: IO[bytes], links: bool = True) -> Iterator[tuple]:
+    """The values of RDF_NODE of an RDF/XML stream's descriptions with an address. Years are first four characters if digits. links: without them children and location_ids are null, and of no size."""
+    for uri, properties in rdf_descriptions(stream):
+        first: dict[str, str] = {}
+        manifest = image = None
+        children, places = [], []
+        for tag, value in properties:
+            if tag == _CHILD:
+                if links:
+                    children.append(_last_part(value))
+            elif tag == _RICO + "hasInstantiation":
+                if manifest is None and "/manifest" in value:
+                    manifest = _clean_manifest(value)
+            elif tag == _DC + "source":
+                if ("daoloc" in value or "daogrp" in value) and "vignette" not in value:
+                    image = value
+            elif tag == _RICO + "hasSubject":
+                if links and "/location/" in value:
+                    places.append(_last_part(value))
+            else:
+                first.setdefault(tag, value)
+        begin, end = ((int(t[:4]) if (t := first.get(_RICO + tag, ""))[:4].isdecimal() else None) for tag in ("beginningDate", "endDate"))
+        yield _last_part(uri), first.get(_RICO + "title", ""), begin, end, manifest, image, first.get(_RICO + "heldBy"), children if links else None, places if links else None
+
+
+def rdf_links(stream: IO[bytes]) -> Iterator[tuple[str, str, int]]:
+    """(parent_id, child_id, pos) of an RDF/XML stream, a link at a time."""
+    for uri, properties in rdf_descriptions(stream):
+        parent, pos = _last_part(uri), 0
+        for tag, value in properties:
+            if tag == _CHILD:
+                yield parent, _last_part(value), pos
+                pos += 1
 
 
 def rdf_nodes(files: DataFrame) -> DataFrame:
@@ -281,8 +346,9 @@ def rdf_nodes(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [row for text in pdf["value"] for node in ElementTree.fromstring(text) if (row := rdf_row(node))]
-            yield pd.DataFrame(rows, columns=names).astype({"begin_year": "Int32", "end_year": "Int32"})
+            rows = (row for text in pdf["value"] for row in rdf_rows(io.BytesIO(text.encode())))
+            while some := list(islice(rows, _ROWS)):
+                yield pd.DataFrame(some, columns=names).astype({"begin_year": "Int32", "end_year": "Int32"})
 
     return files.select("value").mapInPandas(run, RDF_NODE)
 

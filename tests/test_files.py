@@ -176,3 +176,51 @@ def test_unreadable_manifests_are_counted(spark):
     figures = Observation()
     got = manifests.read_manifests(spark.createDataFrame([(x,) for x in lines], "value string"), figures)
     assert rows(got) == [("a", '{"label":"x"}'), ("c", "5")] and figures.get == {"read": 2, "unreadable": 2, "lost": 4}
+
+
+class Record:
+    """A stream of one RDF description with many links, made as it is read."""
+
+    def __init__(self, n):
+        self.texts = self.made(n)
+
+    @staticmethod
+    def made(n):
+        yield RDF + '<c:Record r:about="https://x/facomponent/top"><c:title>T</c:title>'
+        for i in range(0, n, 1000):
+            yield "".join(f'<c:includesOrIncluded r:resource="https://x/n{j}"/>' for j in range(i, i + 1000))
+        yield '</c:Record><c:Record r:about="https://x/n0"/></r:RDF>'
+
+    def read(self, _=-1):
+        return next(self.texts, "").encode()
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_a_node_of_any_number_of_children_is_not_held(links):
+    """100,000 children, as links or left out, take no more memory than a few thousand."""
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    found = 0
+    for row in readers.rdf_links(Record(n)) if links else readers.rdf_rows(Record(n), links=False):
+        assert not links or row == ("top", f"n{found}", found)
+        assert links or row[1:] == (("T", "")[found], None, None, None, None, None, None, None)
+        found += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (n if links else 2) and peak < 3_000_000
+
+
+def test_files_in_parts(known, tmp_path):
+    """A file's rows are appended in their order, packed or not, and read again as nodes and as links."""
+    part = lambda i, k: f'<c:Record r:about="https://x/n{i}">' * (k == 0) + f'<c:includesOrIncluded r:resource="https://x/c{i}_{k}"/>' + "</c:Record>" * (k == 2)
+    f = known.createDataFrame([(f"aid{i}.rdf{('', '.zst', '.gz')[i % 3]}", k, part(i, k)) for k in range(3) for i in range(9)], "name string, k int, content string")
+    load.write_files_in_parts(f.repartition(3, "name").sortWithinPartitions("name", "k"), str(tmp_path / "out"), RDF, "</r:RDF>")
+    assert len(listing(tmp_path / "out")) == 10 and (tmp_path / "out" / "aid0.rdf").read_text() == RDF + part(0, 0) + part(0, 1) + part(0, 2) + "</r:RDF>"
+    edges = rows(known.read.format("rdf_edges").load(str(tmp_path / "out")).drop("path"))
+    assert edges == sorted(((f"n{i}", f"c{i}_{k}", k) for k in range(3) for i in range(9)), key=str)
+    nodes = known.read.format("rdf_nodes").load(str(tmp_path / "out"))
+    assert rows(readers.rdf_edges(nodes)) == edges and rows(nodes.select("id", "children"))[4] == ("n4", ["c4_0", "c4_1", "c4_2"])
+    with pytest.raises(Exception, match="two rows have one file name"):
+        load.write_files_in_parts(f.repartition(3, "name").sortWithinPartitions("k", "name"), str(tmp_path / "bad"))
