@@ -98,3 +98,31 @@ def test_first_manifests_by_intervals_and_by_levels_agree(spark, sf):
     nodes, edges, branches = v("v_node"), v("v_edge"), _branches(v)
     by_intervals = rows(tree.sample_manifest(nodes, edges, branches, tour=euler.intervals(edges)))
     assert by_intervals and by_intervals == rows(tree.sample_manifest(nodes, edges, branches))
+
+
+def test_a_shallow_tree_takes_no_tour_and_little_disk(spark, monkeypatch):
+    """20,000 leaves below 200 branches: no pointers, and the tables kept on the way are gone when the intervals are there."""
+    import os
+
+    from folioworks.operators.shared import shared_dir
+
+    monkeypatch.setattr(euler, "_jumped", None)
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    edges = [("r", f"b{i}", i) for i in range(200)] + [(f"b{i}", f"l{i}-{j}", j) for i in range(200) for j in range(100)]
+    got = tour(spark, edges)
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["tour"]
+    assert {r[0]: r[1:] for r in rows(got)} == plain(edges)
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_forests_of_chains_and_brooms(spark, seed):
+    """Trees of which some nodes are taken off and the rest is toured, several roots among them."""
+    rng = random.Random(seed)
+    edges = []
+    for t in range(rng.randrange(2, 5)):
+        chain = [f"t{t}c{i}" for i in range(rng.randrange(2, 150))]
+        edges += [(a, b, rng.randrange(9)) for a, b in zip(chain, chain[1:])]
+        edges += [(x, f"{x}l{j}", rng.randrange(9)) for x in chain for j in range(rng.randrange(3))]
+        edges += [(f"{x}l0", f"{x}l0m{j}", j) for x in chain for j in range(rng.randrange(3)) if any(c == f"{x}l0" for _, c, _ in edges)]
+    assert {r[0]: r[1:] for r in rows(tour(spark, edges))} == plain(edges)
