@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import getitem
 from urllib.parse import quote
 
 import pandas as pd
@@ -39,7 +37,7 @@ def image_service(v: Column) -> Column:
     """The id of the first image's service at its fixed place: a single one or the first of a list; it must be an image service's."""
     at = "$.sequences[0].canvases[0].images[0].resource.service"
     found = F.coalesce(*(_get(v, f"{at}{i}{k}") for i in ("[0]", "") for k in ("['@id']", ".id")))
-    return F.when(F.contains(found, F.lit("/iiif/")), found)
+    return T.once(found, lambda x: F.when(F.contains(x, F.lit("/iiif/")), x))
 
 
 def dimensions(v: Column) -> Column:
@@ -111,18 +109,18 @@ def first_service_deep(manifest, needle: str) -> Column:
 _IMAGE_SERVICE = re.compile(r'api/image|"ImageService', re.I)
 
 
-def _image_service_paths(doc) -> Iterator[tuple]:
-    """The places (keys and indices from the top) of a manifest's image services that have a text as id."""
-    waiting = [((), doc)]
+def _image_services(doc) -> Iterator[tuple[dict, str]]:
+    """A manifest's image services that have a text as id, and the ids: values of a key `service` or, in a list there, its items. What declares a service is looked at only there."""
+    waiting = [(doc, False)]
     while waiting:
-        path, node = waiting.pop()
+        node, here = waiting.pop()
         if isinstance(node, dict):
-            waiting.extend(((*path, k), v) for k, v in node.items())
-            declared = json.dumps([node.get(k) for k in ("@context", "profile", "type", "@type")])
-            if "service" in path[-1:] + path[-2:-1] * isinstance(path[-1] if path else "", int) and _id(node) and _IMAGE_SERVICE.search(declared):
-                yield path
+            waiting.extend((v, k == "service") for k, v in node.items() if isinstance(v, dict | list))
+            uri = _id(node) if here else None
+            if uri and _IMAGE_SERVICE.search(json.dumps([node.get(k) for k in ("@context", "profile", "type", "@type")])):
+                yield node, uri
         elif isinstance(node, list):
-            waiting.extend(((*path, i), v) for i, v in enumerate(node))
+            waiting.extend((v, here and isinstance(v, dict)) for v in node if isinstance(v, dict | list))
 
 
 def rewrite_image_services(manifest, prefix: str) -> Column:
@@ -130,10 +128,8 @@ def rewrite_image_services(manifest, prefix: str) -> Column:
 
     def one(text):
         doc = _loaded(text)
-        for path in list(_image_service_paths(doc)):
-            service = reduce(getitem, path, doc)
-            key = "@id" if "@id" in service else "id"
-            service[key] = f"{prefix}/iiif/{quote(_id(service), safe='')}"
+        for service, uri in list(_image_services(doc)):
+            service["@id" if "@id" in service else "id"] = f"{prefix}/iiif/{quote(uri, safe='')}"
         return None if doc is None else json.dumps(doc, ensure_ascii=False)
 
     return _per_text(one)(T.col(manifest))

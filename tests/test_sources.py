@@ -149,3 +149,15 @@ def test_no_manifest_ends_a_job(spark):
     assert found == {len(odd): "https://x/iiif/SERIE_2", len(texts) - 1: "https://x/iiif/SERIE_3"}
     new = {r["i"]: json.loads(r["new"]) for r in got if r["new"]}
     assert all(new[i] == x for i, x in enumerate(odd)) and new[len(odd)]["service"]["@id"] == "https://p/iiif/https%3A%2F%2Fx%2Fiiif%2FSERIE_2"
+
+
+def test_only_services_are_asked_for_their_declaration(monkeypatch):
+    """A manifest of 500 canvases has 500 declarations to look at, not one for each object in it."""
+    monkeypatch.setattr(manifests, "_per_text", lambda f: lambda _: f)
+    rewrite = manifests.rewrite_image_services(None, "https://p")
+    service = {"@id": "https://s/1", "profile": "http://iiif.io/api/image/2/level2.json"}
+    canvases = [{"id": f"c{i}", "images": [{"resource": {"id": "i", "service": dict(service) if i % 2 else [dict(service)]}}]} for i in range(500)]
+    written, write = [], json.dumps
+    monkeypatch.setattr(manifests.json, "dumps", lambda *a, **k: written.append(0) or write(*a, **k))
+    new = rewrite(text := write({"items": canvases, "profile": "http://iiif.io/api/image/2"}))
+    assert len(written) == 501 and new == text.replace("https://s/1", "https://p/iiif/https%3A%2F%2Fs%2F1")
