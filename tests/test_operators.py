@@ -221,3 +221,18 @@ def test_communes_of_equal_rank_go_by_name(spark):
     for order in (tree_, tree_[::-1], random.Random(2).sample(tree_, 40)):
         got = resolve.tree_commune_by_cote_order(cotes, frame(spark, "nom string, rang string", *order), natural_cote_key("cote"))
         assert rows(got) == sorted(((f"{i + 1}", f"commune {i:02d}") for i in range(40)), key=str)
+
+
+def test_levels_keep_only_what_is_asked_about(spark, monkeypatch):
+    """Plan branches carry no manifest, counted leaves no address and no service; the table of all nodes goes when the levels are there."""
+    kept, gone = [], []
+    keep, free = tree.keep, tree.free
+    monkeypatch.setattr(tree, "keep", lambda df, name: kept.append((name, df.columns)) or keep(df, name))
+    monkeypatch.setattr(tree, "free", lambda *t: gone.append(t) or free(*t))
+    nodes = frame(spark, "id string, title string, begin_year int, end_year int, manifest string, service_uri string", ("r", "Fonds", None, None, None, None), ("a", "Plans", None, None, None, "s"), ("b", "x", 1820, None, "m", "s"))
+    edges = frame(spark, "parent_id string, child_id string, pos long", ("r", "a", 1), ("a", "b", 1))
+    assert rows(tree.isolate_plan_branches(nodes, edges, "r"), "id", "title") == [("a", "Plans")]
+    assert all(not {"manifest", "service_uri"} & set(c) for _, c in kept) and [n for n, _ in kept].count("tree-nodes") == len(gone) == 1
+    kept.clear()
+    got = rows(QUERIES["propagate_commune"](spark, "/root/testdata/sf0.001"))
+    assert got and all("service_uri" not in c for _, c in kept)
